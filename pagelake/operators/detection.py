@@ -18,6 +18,7 @@ from pagelake.functions.geometry import BOX
 from pagelake.functions.text import DONT_CARE
 from pagelake.operators.joins import CELL, overlap_area, overlapping
 from pagelake.operators.ordered import number_rows, running, split_points
+from pagelake.session import materialise
 
 AREA_RECALL = 0.4
 AREA_PRECISION = 0.4
@@ -140,9 +141,18 @@ def subtract_dont_care(gt: DataFrame, det: DataFrame, cell: int = CELL) -> tuple
     * ``pairs(image_id, det_idx, word_idx, inter, dc_area)``: detection x reduced region, and
     * ``lost(image_id, det_idx, area, twice_mx, twice_my)``: what each detection loses.
     """
-    words = _whole(gt).select(*_GT, *BOX, (F.col("text") == DONT_CARE).alias("dc"))
+    return _subtract(_words_of(gt), materialise(_whole(det).select(*_DET, *BOX), "det"), cell)
+
+
+def _words_of(gt: DataFrame) -> DataFrame:
+    """The narrow truth table that every scoring step reads, written once."""
+    words = _whole(gt).select(*_GT, (F.col("text") == DONT_CARE).alias("dc"), F.length("text").alias("n_chars"), *BOX)
+    return materialise(words, "gt")
+
+
+def _subtract(words: DataFrame, boxes: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    words = words.drop("n_chars")
     dc, care = words.where("dc").drop("dc"), words.where("not dc").drop("dc")
-    boxes = _whole(det).select(*_DET, *BOX)
 
     hits = overlapping(dc, boxes, _IMAGE, cell)
     hit_boxes = hits.select(*_DET, "word_idx", *_clipped(True))
@@ -169,12 +179,11 @@ def subtract_dont_care(gt: DataFrame, det: DataFrame, cell: int = CELL) -> tuple
 
     single = dc.withColumn("plus", F.lit(True))
     both = hit_boxes.unionByName(held)
-    keyed = (
-        region(single.unionByName(dc_care.drop("care_idx")), none, word_key)
-        .unionByName(region(both, det_key, word_key))
-        .unionByName(region(both, det_key, none))
+    # Each covered part of a detection counts for its own region and for all regions together.
+    keyed = region(single.unionByName(dc_care.drop("care_idx")), none, word_key).unionByName(
+        region(both, det_key, F.explode(F.array(word_key, none)))
     )
-    measured = covered_measures(keyed, ["image_id", "a", "b"])
+    measured = materialise(covered_measures(materialise(keyed, "regions"), ["image_id", "a", "b"]), "measured")
     dc_area = measured.where("a = -1").select("image_id", F.col("b").alias("word_idx"), F.col("area").alias("dc_area"))
     pairs = (
         measured.where("a >= 0 and b >= 0 and area > 0")
@@ -290,8 +299,9 @@ def detection_matches(
     its area. ``det_pivot`` is the side that carries the pivot of a detection: "bottom" for
     corners listed from the bottom left, "left" for corners listed from the top left.
     """
-    dc_pairs, lost = subtract_dont_care(gt, det, cell)
-    flagged = mark_det_dont_care(det.select(*_DET, *BOX), dc_pairs, r, p)
+    words, boxes = _words_of(gt), materialise(_whole(det).select(*_DET, *BOX), "det")
+    dc_pairs, lost = _subtract(words, boxes, cell)
+    flagged = mark_det_dont_care(boxes, dc_pairs, r, p)
     left_area = F.col("det_area") - F.coalesce("lost_area", F.lit(0))
 
     def centre_of(low: str, high: str, moment: str) -> Column:
@@ -305,12 +315,13 @@ def detection_matches(
         .withColumn("left_cy", centre_of("ymin", "ymax", "twice_my"))
         .drop("lost_area", "twice_mx", "twice_my")
     )
-    care = _whole(gt).where(F.col("text") != DONT_CARE).select(*_GT, F.length("text").alias("n_chars"), *BOX)
+    care = words.where("not dc").drop("dc")
     pairs = overlapping(care, dets, _IMAGE, cell).withColumns(
         {"inter": overlap_area(), "gt_area": (F.col("l_xmax") - F.col("l_xmin")) * (F.col("l_ymax") - F.col("l_ymin"))}
     )
     over_r, over_p = _ratio("inter", "gt_area") >= r, _ratio("inter", "left_area") >= p
     pairs = pairs.withColumns({"hit_r": over_r, "hit_p": over_p}).where("hit_r or hit_p")
+    pairs = materialise(pairs, "pairs")
 
     def stats(keys: list[str], side: Column, name: str) -> DataFrame:
         return pairs.groupBy(*keys).agg(
@@ -338,6 +349,8 @@ def detection_matches(
         }
     )
 
+    judged = materialise(judged.where("one_to_one or om or mo"), "judged")
+
     def centre_xy(side: str) -> tuple[Column, Column]:
         return (
             (F.col(f"{side}_xmin") + F.col(f"{side}_xmax")) / 2.0,
@@ -356,8 +369,7 @@ def detection_matches(
     bent_gt = bent_groups(members("om", _GT, "det_idx", "gt_many", "r", det_pivot), _GT)
     bent_det = bent_groups(members("mo", _DET, "word_idx", "det_many", "l", "left"), _DET)
     matches = (
-        judged.where("one_to_one or om or mo")
-        .join(bent_gt.withColumn("bent_gt", F.lit(True)), _GT, "left")
+        judged.join(bent_gt.withColumn("bent_gt", F.lit(True)), _GT, "left")
         .join(bent_det.withColumn("bent_det", F.lit(True)), _DET, "left")
         .withColumn("one_to_many", F.col("om") & F.col("bent_gt").isNull())
         .withColumn("many_to_one", F.col("mo") & F.col("bent_det").isNull())
@@ -410,8 +422,11 @@ def detection_eval_per_image(
     """
     if empty not in ("one", "zero"):
         raise ValueError(f"unknown rule {empty}")
+    gt = gt.select("image_id", "word_idx", "text", *BOX)
     matches, dets = detection_matches(gt, det, r, p, centre, det_pivot, cell)
-    inside = chars_in_detections(matches)
+    inside = materialise(
+        chars_in_detections(matches).select(*_IMAGE, "word_idx", "det_idx", "n_chars", "inside"), "chars"
+    )
     once = (
         inside.select(*_GT, "n_chars", F.explode("inside").alias("c"))
         .groupBy(*_GT, "n_chars", "c").agg(F.count(F.lit(1)).alias("k"))

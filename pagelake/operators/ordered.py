@@ -30,16 +30,21 @@ _CARRY = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 
 def split_points(
-    df: DataFrame, keys: Sequence[str], rows_per_slice: int | None = None, max_slices: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    rows_per_slice: int | None = None,
+    max_slices: int | None = None,
+    total: int | None = None,
 ) -> list[tuple]:
     """Evenly spaced values of the key tuple, from one count and one bounded sample.
 
     Empty for a table of at most ``rows_per_slice`` rows. The driver sees at most about
-    ``SAMPLES_PER_SLICE * max_slices`` key tuples, whatever the table size.
+    ``SAMPLES_PER_SLICE * max_slices`` key tuples, whatever the table size. A known bound of the
+    row count in ``total`` saves the counting pass.
     """
     rows_per_slice = rows_per_slice or ROWS_PER_SLICE
     table = df.select(*keys)
-    total = table.count()
+    total = table.count() if total is None else total
     slices = min(total // rows_per_slice, max_slices or MAX_SLICES)
     if slices < 1:
         return []
@@ -97,11 +102,12 @@ def number_rows(
     name: str = "row_num",
     start: int = 1,
     points: Sequence[tuple] | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """Consecutive numbers in ``order_by`` order inside each ``by`` group."""
     keys = [*by, *order_by]
     if points is None:
-        points = split_points(df, keys)
+        points = split_points(df, keys, total=total)
     if not points:
         return df.withColumn(name, (F.row_number().over(_window(by, order_by, False)) + (start - 1)).cast("long"))
     sliced = df.withColumn("__slice", slice_of(df, keys, points))

@@ -41,6 +41,12 @@ def gt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scoring_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(truth, detections). A line gives at most three detections, so its count bounds theirs."""
+    words = gt_words(spark, sf_dir)
+    return gt_eval(words), det_boxes(words, total=3 * table(spark, sf_dir, "lineitem").count())
+
+
 def gt_eval(words: DataFrame) -> DataFrame:
     """Truth boxes; some words come as two halves. One pass: each row becomes one or two."""
     half = F.floor((F.col("xmin") + F.col("xmax")) / 2)
@@ -59,8 +65,11 @@ def gt_eval(words: DataFrame) -> DataFrame:
     )
 
 
-def det_boxes(words: DataFrame) -> DataFrame:
-    """Simulated detections: shifted boxes, halves, misses and false positives, one pass."""
+def det_boxes(words: DataFrame, total: int | None = None) -> DataFrame:
+    """Simulated detections: shifted boxes, halves, misses and false positives, one pass.
+
+    ``total`` bounds the number of detections where the caller knows it.
+    """
     k = (F.col("image_id") + F.col("word_idx")) % 11
     d = (F.col("image_id") + F.col("word_idx") * 7) % 9 - 4
     half = F.floor((F.col("xmin") + F.col("xmax")) / 2)
@@ -78,7 +87,7 @@ def det_boxes(words: DataFrame) -> DataFrame:
     pieces = words.select(
         "image_id", F.explode(F.concat(F.coalesce(own, empty), F.coalesce(false_hit, empty))).alias("b")
     ).select("image_id", "b.*")
-    numbered = number_rows(pieces, ["ord", "piece"], ["image_id"], name="det_idx", start=0)
+    numbered = number_rows(pieces, ["ord", "piece"], ["image_id"], name="det_idx", start=0, total=total)
     conf = ((F.col("image_id") * 31 + F.col("ord") * 17 + F.col("piece")) % 1000).cast("double") / 1000
     return numbered.select("image_id", "det_idx", "xmin", "ymin", "xmax", "ymax", conf.alias("conf"))
 

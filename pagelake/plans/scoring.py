@@ -17,9 +17,7 @@ from pagelake.plans.registry import query
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def _sides(spark, sf_dir):
-    words = fx.gt_words(spark, sf_dir)
-    return fx.gt_eval(words), fx.det_boxes(words)
+_sides = fx.scoring_sides
 
 
 def _r(name: str, digits: int = 6):
@@ -325,7 +323,7 @@ def detection_eval_micro(spark, sf_dir):
 @query("rank_detections", ("det_boxes",), """
   SELECT image_id, det_idx, conf, row_number() OVER (ORDER BY conf DESC, image_id, det_idx) AS rank FROM det_boxes""")
 def rank_detections(spark, sf_dir):
-    det = fx.det_boxes(fx.gt_words(spark, sf_dir)).select("image_id", "det_idx", "conf")
+    det = _sides(spark, sf_dir)[1].select("image_id", "det_idx", "conf")
     return D.rank_detections(det, ["image_id", "det_idx"])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,7 +63,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: survives executor loss and drops the plan behind it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "part") -> DataFrame:
+    """Write a table once to the shared checkpoint folder and read it back.
+
+    For results that several branches of one plan read: they are computed once, survive executor
+    loss, keep columns prunable, and give the optimiser a measured size. ``clear_scratch`` removes
+    what a session has written.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/pagelake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables this session wrote with ``materialise``."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pagelake-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
