@@ -499,6 +499,6 @@ def average_precision(
     ranked = number_rows(keyed, keys, name="rank", points=points)
     hits = running(ranked, keys, {"correct": ("sum", F.col(match).cast("int"))}, points=points)
     total = hits.agg(F.sum(F.when(F.col(match), F.col("correct") / F.col("rank"))).alias("s"))
-    joined = total.withColumn("one", F.lit(1)).join(n_gt.withColumn("one", F.lit(1)), "one")
+    joined = total.withColumn("one", F.lit(1)).join(F.broadcast(n_gt.withColumn("one", F.lit(1))), "one")
     share = F.when(F.col("n_gt") > 0, F.col("s") / F.col("n_gt")).otherwise(F.col("s"))
     return joined.select(F.coalesce(share, F.lit(0.0)).alias("average_precision"))

@@ -188,7 +188,7 @@ def char_lm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     uni_n = ones.groupBy("ch").agg(n.alias("n"))
     pair_n = pairs.groupBy("pair", F.substring("pair", 1, 1).alias("ch")).agg(n.alias("n"))
     total = uni_n.agg(F.sum("n").alias("total")).withColumn("one", F.lit(1))
-    unigram = uni_n.withColumn("one", F.lit(1)).join(total, "one").select("ch", (F.col("n") / F.col("total")).alias("p"))
+    unigram = uni_n.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("ch", (F.col("n") / F.col("total")).alias("p"))
     starts = pair_n.groupBy("ch").agg(F.sum("n").alias("total"))
     bigram = pair_n.join(starts, "ch").select("pair", (F.col("n") / F.col("total")).alias("p"))
     return starts.select("ch", F.lit(0.9).alias("weight")), bigram, unigram
