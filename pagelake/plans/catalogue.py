@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from pagelake.plans import scoring  # noqa: F401
+from pagelake.plans import prep, scoring  # noqa: F401
 from pagelake.plans.registry import ORACLES, QUERIES  # noqa: F401

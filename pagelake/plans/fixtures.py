@@ -175,6 +175,19 @@ def score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_chars(words: DataFrame) -> DataFrame:
+    """Characters of each word with equal shares of its box as quads."""
+    n = F.length("text")
+    each = words.withColumn("n", n.cast("long")).withColumn("char_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    width = F.col("xmax") - F.col("xmin")
+    x0 = F.col("xmin") + F.floor(width * F.col("char_idx") / F.col("n"))
+    x1 = F.col("xmin") + F.floor(width * (F.col("char_idx") + 1) / F.col("n"))
+    y0, y1 = F.col("ymin"), F.col("ymax")
+    corners = zip(("x1", "y1", "x2", "y2", "x3", "y3", "x4", "y4"), (x0, y0, x1, y0, x1, y1, x0, y1))
+    ch = F.substring("text", (F.col("char_idx") + 1).cast("int"), F.lit(1))
+    return each.select("image_id", "word_idx", "char_idx", ch.alias("ch"), *[v.alias(k) for k, v in corners])
+
+
 def char_lm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lambda, bigram, unigram) tables from the benchmark texts, as relative frequencies."""
     texts = table(spark, sf_dir, "benchmark").select("text")

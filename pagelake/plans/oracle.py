@@ -82,6 +82,10 @@ cte("lm_pairs", """
 cte("lm_unigram", "SELECT ch, n / (SELECT sum(n) FROM lm_ones) AS p FROM lm_ones", ("lm_ones",))
 cte("lm_bigram", "SELECT pair, n / sum(n) OVER (PARTITION BY ch) AS p FROM lm_pairs", ("lm_pairs",))
 cte("lm_lambda", "SELECT DISTINCT ch, CAST(0.9 AS DOUBLE) AS weight FROM lm_pairs", ("lm_pairs",))
+cte("word_chars", """
+  SELECT image_id, word_idx, i AS char_idx, substr(text, CAST(i + 1 AS BIGINT), 1) AS ch,
+         xmin + (xmax - xmin) * i // n AS cx0, ymin AS cy0, xmin + (xmax - xmin) * (i + 1) // n AS cx1, ymax AS cy1
+  FROM (SELECT *, length(text) AS n, unnest(range(0, length(text))) AS i FROM gt_words)""", ("gt_words",))
 
 
 def with_ctes(names: tuple[str, ...] | list[str], body: str, recursive: bool = False) -> str:
