@@ -123,7 +123,7 @@ def nest_flatten_words(spark, sf_dir):
 
 
 @query("normalise_mean_variance", (), """
-  SELECT vec_id, round(list_sum(list_transform(range(0, 64), i ->
+  SELECT vec_id, round(list_sum(list_transform(range(0, 64), lambda i:
     (CAST(embedding[i + 1] AS DOUBLE) * 255 - [0.485, 0.456, 0.406][i % 3 + 1]::DOUBLE * 255)
     / ([0.229, 0.224, 0.225][i % 3 + 1]::DOUBLE * 255))), 6) AS total FROM embeddings""")
 def normalise_mean_variance(spark, sf_dir):
@@ -133,7 +133,7 @@ def normalise_mean_variance(spark, sf_dir):
 
 
 @query("denormalise_mean_variance", (), """
-  SELECT vec_id, list_transform(range(0, 64), i -> CAST(trunc(least(greatest((CAST(embedding[i + 1] AS DOUBLE) * 5
+  SELECT vec_id, list_transform(range(0, 64), lambda i: CAST(trunc(least(greatest((CAST(embedding[i + 1] AS DOUBLE) * 5
     * [0.229, 0.224, 0.225][i % 3 + 1]::DOUBLE + [0.485, 0.456, 0.406][i % 3 + 1]::DOUBLE) * 255.0, 0), 255)) AS SMALLINT)) AS pixels
   FROM embeddings""")
 def denormalise_mean_variance(spark, sf_dir):
