@@ -138,16 +138,17 @@ def sample_text(
 ) -> DataFrame:
     """``n`` random texts of about min..max characters out of a corpus of lines.
 
-    A longer line gives a random slice (four times out of five at most half of ``max_len``, if
-    that is at least ``min_len``); a shorter or blank one is drawn again. Every row draws
-    ``tries`` lines by hash and takes the first that fits, so no row waits for another.
+    Lines that are blank or shorter than ``min_len`` are never drawn. A longer line gives a random
+    slice (four times out of five at most half of ``max_len``, if that is at least ``min_len``); a
+    blank slice is drawn again. Every row draws ``tries`` lines by hash and takes the first that
+    fits, so no row waits for another.
     """
-    lines = corpus.count() if lines is None else lines
-    numbered = number_rows(corpus, order_by, name="line_no", start=0, total=lines).select("line_no", F.col(text).alias("line"))
-    fits = numbered.where(F.length("line") >= min_len)
+    fits = corpus.where((F.length(text) >= min_len) & (F.length(F.replace(text, F.lit(" "))) > 0))
+    lines = fits.count() if lines is None else lines
+    numbered = number_rows(fits, order_by, name="line_no", start=0, total=lines).select("line_no", F.col(text).alias("line"))
     want = spark.range(n).select("id", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
     want = want.withColumn("line_no", F.floor(hash_uniform(seed, "id", "try") * lines))
-    drawn = want.join(fits, "line_no")
+    drawn = want.join(numbered, "line_no")
     size = F.length("line")
     start = hash_int(seed + 1, 0, F.greatest(size - max_len, F.lit(0)), "id", "try")
     short = (hash_uniform(seed + 2, "id", "try") <= 0.8) & F.lit(max_len / 2 >= min_len)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions.geometry import BOX, QUAD, affinity_quad, dist
+from pagelake.operators.grouped import map_groups
 from pagelake.operators.joins import CELL, in_cells
 from pagelake.operators.ordered import number_rows, running, split_points
 
@@ -59,7 +60,6 @@ def reading_order_exact(boxes: DataFrame, id_col: str = "box_idx") -> DataFrame:
     id_name = id_col
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_name)
         rects = [tuple(r) for r in pdf[list(BOX)].itertuples(index=False)]
         first = {}
         for rect, box_id in zip(rects, pdf[id_name]):
@@ -69,7 +69,7 @@ def reading_order_exact(boxes: DataFrame, id_col: str = "box_idx") -> DataFrame:
             {"image_id": pdf["image_id"].iloc[0], id_name: [first[r] for r in ranked], "position": range(len(ranked))}
         )
 
-    return boxes.select("image_id", id_col, *BOX).groupBy("image_id").applyInPandas(order, ", ".join(fields))
+    return map_groups(boxes.select("image_id", id_col, *BOX), ["image_id"], [id_col], order, ", ".join(fields))
 
 
 def plan_tiles(
