@@ -62,7 +62,7 @@ def discover_datasets(spark: SparkSession, root: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, suffix: str = "*.txt") -> DataFrame:
     """(file, line_no, line) of small text files; line numbers come from the file itself."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", suffix).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("pathGlobFilter", suffix).option("recursiveFileLookup", True).text(path, wholetext=True)
     named = files.select(file_stem(F.col("_metadata.file_path")).alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     rows = named.withColumn("line", F.regexp_replace("line", "\r$", ""))
     return rows
@@ -70,7 +70,7 @@ def read_lines(spark: SparkSession, path: str, suffix: str = "*.txt") -> DataFra
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """One character per line, in order, as (idx, ch)."""
-    text = spark.read.option("wholetext", True).text(path).select(F.btrim(strip_bom("value"), F.lit(" \t\r\n")).alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.btrim(strip_bom("value"), F.lit(" \t\r\n")).alias("value"))
     return text.select(F.posexplode(F.split("value", "\r?\n")).alias("idx", "ch"))
 
 
@@ -88,7 +88,7 @@ def build_charset(vocab: DataFrame, unknown: str | None = "?") -> DataFrame:
 
 def read_vocab_groups(spark: SparkSession, path: str) -> DataFrame:
     """(ch, members) from a JSON list of lists; a character in several lists takes the last."""
-    text = spark.read.option("wholetext", True).text(path).select(F.from_json(strip_bom("value"), "array<array<string>>").alias("g"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json(strip_bom("value"), "array<array<string>>").alias("g"))
     lists = text.select(F.posexplode("g").alias("pos", "members"))
     each = lists.select("pos", "members", F.explode("members").alias("ch")).where(F.col("ch") != "")
     return each.groupBy("ch").agg(F.max_by("members", "pos").alias("members"))
@@ -96,7 +96,7 @@ def read_vocab_groups(spark: SparkSession, path: str) -> DataFrame:
 
 def read_char_lm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(weights, bigram, unigram) tables of a JSON character model."""
-    text = spark.read.option("wholetext", True).text(path).select(F.from_json(strip_bom("value"), CHAR_LM).alias("m"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json(strip_bom("value"), CHAR_LM).alias("m"))
 
     def table(field: str, key: str, value: str) -> DataFrame:
         return text.select(F.explode(f"m.{field}").alias(key, value))
