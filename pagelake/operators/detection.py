@@ -299,7 +299,13 @@ def detection_matches(
     its area. ``det_pivot`` is the side that carries the pivot of a detection: "bottom" for
     corners listed from the bottom left, "left" for corners listed from the top left.
     """
-    words, boxes = _words_of(gt), materialise(_whole(det).select(*_DET, *BOX), "det")
+    return _matches(_words_of(gt), det, r, p, centre, det_pivot, cell)
+
+
+def _matches(
+    words: DataFrame, det: DataFrame, r: float, p: float, centre: float, det_pivot: str, cell: int
+) -> tuple[DataFrame, DataFrame]:
+    boxes = materialise(_whole(det).select(*_DET, *BOX), "det")
     dc_pairs, lost = _subtract(words, boxes, cell)
     flagged = mark_det_dont_care(boxes, dc_pairs, r, p)
     left_area = F.col("det_area") - F.coalesce("lost_area", F.lit(0))
@@ -315,6 +321,7 @@ def detection_matches(
         .withColumn("left_cy", centre_of("ymin", "ymax", "twice_my"))
         .drop("lost_area", "twice_mx", "twice_my")
     )
+    dets = materialise(dets, "dets")
     care = words.where("not dc").drop("dc")
     pairs = overlapping(care, dets, _IMAGE, cell).withColumns(
         {"inter": overlap_area(), "gt_area": (F.col("l_xmax") - F.col("l_xmin")) * (F.col("l_ymax") - F.col("l_ymin"))}
@@ -422,8 +429,8 @@ def detection_eval_per_image(
     """
     if empty not in ("one", "zero"):
         raise ValueError(f"unknown rule {empty}")
-    gt = gt.select("image_id", "word_idx", "text", *BOX)
-    matches, dets = detection_matches(gt, det, r, p, centre, det_pivot, cell)
+    words = _words_of(gt)
+    matches, dets = _matches(words, det, r, p, centre, det_pivot, cell)
     inside = materialise(
         chars_in_detections(matches).select(*_IMAGE, "word_idx", "det_idx", "n_chars", "inside"), "chars"
     )
@@ -439,7 +446,7 @@ def detection_eval_per_image(
         .groupBy(*_IMAGE).agg(F.sum(_ratio("held", "total")).alias("precision_sum"))
     )
     counts = (
-        gt.select("image_id", (F.col("text") != DONT_CARE).cast("long").alias("g"), F.lit(0).alias("d"))
+        words.select("image_id", (~F.col("dc")).cast("long").alias("g"), F.lit(0).alias("d"))
         .unionByName(dets.select("image_id", F.lit(0).cast("long").alias("g"), (~F.col("det_dc")).cast("int").alias("d")))
         .groupBy(*_IMAGE).agg(F.sum("g").alias("n_gt"), F.sum("d").alias("n_det"))
     )

@@ -125,11 +125,16 @@ def collect_charset(df: DataFrame, text: str = "label") -> DataFrame:
 
 
 def build_vocabulary(df: DataFrame, tokens: Column, order_by: Sequence[str], points=None) -> DataFrame:
-    """Distinct tokens with counts, numbered in first-seen order."""
-    seen = df.select(*order_by, F.posexplode(tokens).alias("__pos", "token"))
-    first = F.min(F.struct(*order_by, "__pos")).alias("__first")
+    """Distinct tokens with counts, numbered in first-seen order.
+
+    The place of a token is one number (line number and place in the line), so counting stays a
+    hash aggregation with partial results before the shuffle.
+    """
+    numbered = number_rows(df.withColumn("__tokens", tokens), order_by, name="__line", start=0, points=points)
+    seen = numbered.select("__line", F.posexplode("__tokens").alias("__pos", "token"))
+    first = F.min(F.col("__line") * F.lit(1 << 31) + F.col("__pos")).alias("__first")
     counted = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"), first)
-    return number_rows(counted, ["__first"], name="idx", start=0, points=points).select("idx", "token", "n")
+    return number_rows(counted, ["__first"], name="idx", start=0).select("idx", "token", "n")
 
 
 def sample_text(

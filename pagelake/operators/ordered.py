@@ -15,7 +15,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 1_000_000
+ROWS_PER_SLICE = 4_000_000
 MAX_SLICES = 4096
 SAMPLES_PER_SLICE = 40
 
@@ -77,22 +77,25 @@ def slice_of(df: DataFrame, keys: Sequence[str], points: Sequence[tuple]) -> Col
     return F.aggregate(halving, F.lit(0), advance)
 
 
-def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on group keys; null keys match each other only where the column can be null."""
-    nullable = {f.name: f.nullable for f in left.schema.fields}
-    renamed = right
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"__r_{key}")
-    condition = F.lit(True)
-    for key in keys:
-        a, b = F.col(key), F.col(f"__r_{key}")
-        condition = condition & (a.eqNullSafe(b) if nullable.get(key, True) and key != "__slice" else a == b)
-    return left.join(renamed, condition, "left").drop(*[f"__r_{k}" for k in keys])
+def _sliced(df: DataFrame, by: Sequence[str], keys: Sequence[str], points: Sequence[tuple]) -> DataFrame:
+    """Add ``__slice``, a struct of the group columns and the slice number.
+
+    The struct itself is never null and equals itself where a group column is null, so one plain
+    key serves the join with the carried values and the window after it: one shuffle for both.
+    """
+    number = slice_of(df, keys, points).alias("number")
+    return df.withColumn("__slice", F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(by)], number))
+
+
+def _before(by: Sequence[str]):
+    """Earlier slices of the same group, in a table with one row per slice."""
+    groups = [F.col(f"__slice.g{i}") for i in range(len(by))] or [F.lit(0)]
+    return Window.partitionBy(*groups).orderBy("__slice.number").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _window(by: Sequence[str], order_by: Sequence[str], sliced: bool):
-    parts = [F.col(c) for c in by] + ([F.col("__slice")] if sliced else [])
-    return Window.partitionBy(*(parts or [F.lit(0)])).orderBy(*order_by)
+    parts = [F.col("__slice")] if sliced else [F.col(c) for c in by] or [F.lit(0)]
+    return Window.partitionBy(*parts).orderBy(*order_by)
 
 
 def number_rows(
@@ -110,12 +113,11 @@ def number_rows(
         points = split_points(df, keys, total=total)
     if not points:
         return df.withColumn(name, (F.row_number().over(_window(by, order_by, False)) + (start - 1)).cast("long"))
-    sliced = df.withColumn("__slice", slice_of(df, keys, points))
-    totals = sliced.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    before = _window(by, ["__slice"], False).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    sliced = _sliced(df, by, keys, points)
+    totals = sliced.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = totals.select("__slice", F.coalesce(F.sum("__n").over(_before(by)), F.lit(0)).alias("__offset"))
     return (
-        _join_groups(sliced, offsets, [*by, "__slice"])
+        sliced.join(offsets, "__slice")
         .withColumn(
             name,
             (F.row_number().over(_window(by, order_by, True)) + F.col("__offset") + (start - 1)).cast("long"),
@@ -143,18 +145,16 @@ def running(
     if not points:
         frame = _window(by, order_by, False).rowsBetween(Window.unboundedPreceding, last)
         return df.withColumns({n: _AGG[kind](expr).over(frame) for n, (kind, expr) in aggs.items()})
-    sliced = df.withColumn("__slice", slice_of(df, keys, points))
-    parts = sliced.groupBy(*by, "__slice").agg(
+    sliced = _sliced(df, by, keys, points)
+    parts = sliced.groupBy("__slice").agg(
         *[_AGG[kind](expr).alias(f"__part_{n}") for n, (kind, expr) in aggs.items()]
     )
-    before = _window(by, ["__slice"], False).rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(
-        *by,
         "__slice",
-        *[_CARRY[kind](f"__part_{n}").over(before).alias(f"__carry_{n}") for n, (kind, _) in aggs.items()],
+        *[_CARRY[kind](f"__part_{n}").over(_before(by)).alias(f"__carry_{n}") for n, (kind, _) in aggs.items()],
     )
     frame = _window(by, order_by, True).rowsBetween(Window.unboundedPreceding, last)
-    out = _join_groups(sliced, carried, [*by, "__slice"])
+    out = sliced.join(carried, "__slice")
     out = out.withColumns({n: _AGG[kind](expr).over(frame) for n, (kind, expr) in aggs.items()})
     out = out.withColumns({n: _MERGE[kind](F.col(n), F.col(f"__carry_{n}")) for n, (kind, _) in aggs.items()})
     return out.drop("__slice", *[f"__carry_{n}" for n in aggs])
@@ -192,7 +192,8 @@ def sliding(
         F.struct(F.when(place < after, own - 1).alias("slice"), F.lit(False).alias("home")),
     )
     spread = ranked.withColumn("__home", F.explode(F.filter(homes, lambda h: h["slice"].isNotNull())))
-    spread = spread.withColumn("__slice", F.col("__home.slice")).withColumn("__own", F.col("__home.home"))
+    block_key = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(by)], F.col("__home.slice").alias("number"))
+    spread = spread.withColumn("__slice", block_key).withColumn("__own", F.col("__home.home"))
     window = _window(by, ["__rank"], True)
     out = spread.withColumns({n: make(window) for n, make in exprs.items()})
     return out.where("__own").drop("__home", "__slice", "__own", "__rank")
