@@ -15,15 +15,20 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 CLASSES = "".join(chr(c) for c in range(33, 33 + 62))  # 62 characters: with two marks, one class per score
 
 
+def _joined(array):
+    return F.array_join(array.cast("array<string>"), ",")
+
+
 def _pairs(spark, sf_dir):
     return fx.recog_pairs(fx.gt_words(spark, sf_dir))
 
 
 @query("ctc_encode", ("recog_pairs",), """
-  SELECT sample_id, list_transform(string_split(replace(gt, ' ', ''), ''), lambda c: instr('abcdefghijklmnopqrstuvwxyz', c)::INTEGER) AS indices
+  SELECT sample_id, array_to_string(list_transform(string_split(replace(gt, ' ', ''), ''), lambda c: instr('abcdefghijklmnopqrstuvwxyz', c)::INTEGER), ',') AS indices
   FROM recog_pairs""")
 def ctc_encode(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("sample_id", D.ctc_encode(F.replace("gt", F.lit(" ")), LETTERS).alias("indices"))
+    codes = D.ctc_encode(F.replace("gt", F.lit(" ")), LETTERS)
+    return _pairs(spark, sf_dir).select("sample_id", _joined(codes).alias("indices"))
 
 
 @query("ctc_decode", ("recog_pairs",), """
@@ -39,12 +44,12 @@ def ctc_decode(spark, sf_dir):
 
 
 @query("attn_encode", ("recog_pairs",), """
-  SELECT sample_id, length(gt) + 1 AS length, list_resize(list_concat([0], list_transform(string_split(replace(gt, ' ', ''), ''),
-    lambda c: instr('abcdefghijklmnopqrstuvwxyz', c)::INTEGER + 1), [1]), 27, 0)::INTEGER[] AS indices FROM recog_pairs""")
+  SELECT sample_id, length(gt) + 1 AS length, array_to_string(list_resize(list_concat([0], list_transform(string_split(replace(gt, ' ', ''), ''),
+    lambda c: instr('abcdefghijklmnopqrstuvwxyz', c)::INTEGER + 1), [1]), 27, 0)::INTEGER[], ',') AS indices FROM recog_pairs""")
 def attn_encode(spark, sf_dir):
     coded = D.attn_encode("gt", LETTERS)
     return _pairs(spark, sf_dir).select(
-        "sample_id", coded["length"].cast("long").alias("length"), coded["indices"].alias("indices")
+        "sample_id", coded["length"].cast("long").alias("length"), _joined(coded["indices"]).alias("indices")
     )
 
 
@@ -70,11 +75,11 @@ def prune_eos(spark, sf_dir):
 
 
 @query("oov_chars", ("recog_pairs",), """
-  SELECT sample_id, list_sort(list_distinct(list_filter(string_split(pred, ''), lambda c: instr('abcdefghijklmnopqrstuvwxyz', c) = 0))) AS oov
+  SELECT sample_id, array_to_string(list_sort(list_distinct(list_filter(string_split(pred, ''), lambda c: instr('abcdefghijklmnopqrstuvwxyz', c) = 0))), ',') AS oov
   FROM recog_pairs WHERE pred <> ''""")
 def oov_chars(spark, sf_dir):
     rows = _pairs(spark, sf_dir).where("pred <> ''")
-    return rows.select("sample_id", F.array_sort(D.oov_chars("pred", LETTERS)).alias("oov"))
+    return rows.select("sample_id", _joined(F.array_sort(D.oov_chars("pred", LETTERS))).alias("oov"))
 
 
 @query("argmax_decode", (), """
@@ -87,11 +92,12 @@ def argmax_decode(spark, sf_dir):
 
 
 @query("softmax", (), """
-  SELECT vec_id, list_transform(e, lambda v: round(v / list_sum(e), 6)) AS probs FROM (
+  SELECT vec_id, CAST(unnest(range(0, 64)) AS INTEGER) AS class, unnest(list_transform(e, lambda v: round(v / list_sum(e), 6))) AS prob FROM (
     SELECT vec_id, list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE))) AS e FROM embeddings)""")
 def softmax(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", F.transform(D.softmax("embedding"), lambda v: F.round(v, 6)).alias("probs"))
+    classes = rows.select("vec_id", F.posexplode(D.softmax("embedding")).alias("class", "prob"))
+    return classes.withColumn("prob", F.round("prob", 6))
 
 
 cte("steps", """
@@ -118,11 +124,13 @@ def sequence_confidence(spark, sf_dir):
 
 
 @query("restrict_vocab", ("logits",), """
-  SELECT l.seq_id, step, list_transform(range(0, 64), lambda i: CASE WHEN i IN (1, 5, 9, 17, 33) THEN round(CAST(scores[i + 1] AS DOUBLE) - low, 6) ELSE 0.0 END) AS scores
+  SELECT l.seq_id, step, CAST(unnest(range(0, 64)) AS INTEGER) AS class, unnest(list_transform(range(0, 64),
+    lambda i: CASE WHEN i IN (1, 5, 9, 17, 33) THEN round(CAST(scores[i + 1] AS DOUBLE) - low, 6) ELSE 0.0 END)) AS score
   FROM logits l JOIN (SELECT seq_id, CAST(min(list_min(scores)) AS DOUBLE) AS low FROM logits GROUP BY seq_id) m ON l.seq_id = m.seq_id""")
 def restrict_vocab(spark, sf_dir):
     out = Q.restrict_vocab(fx.logits(spark, sf_dir), [1, 5, 9, 17, 33])
-    return out.select("seq_id", "step", F.transform("scores", lambda v: F.round(v, 6)).alias("scores"))
+    classes = out.select("seq_id", "step", F.posexplode("scores").alias("class", "score"))
+    return classes.withColumn("score", F.round("score", 6))
 
 
 @query("char_lm", ("lm_bigram", "lm_unigram"), """

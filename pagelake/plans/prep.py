@@ -133,12 +133,13 @@ def normalise_mean_variance(spark, sf_dir):
 
 
 @query("denormalise_mean_variance", (), """
-  SELECT vec_id, list_transform(range(0, 64), lambda i: CAST(trunc(least(greatest((CAST(embedding[i + 1] AS DOUBLE) * 5
-    * [0.229, 0.224, 0.225][i % 3 + 1]::DOUBLE + [0.485, 0.456, 0.406][i % 3 + 1]::DOUBLE) * 255.0, 0), 255)) AS SMALLINT)) AS pixels
+  SELECT vec_id, array_to_string(list_transform(range(0, 64), lambda i: CAST(trunc(least(greatest((CAST(embedding[i + 1] AS DOUBLE) * 5
+    * [0.229, 0.224, 0.225][i % 3 + 1]::DOUBLE + [0.485, 0.456, 0.406][i % 3 + 1]::DOUBLE) * 255.0, 0), 255)) AS SMALLINT)), ',') AS pixels
   FROM embeddings""")
 def denormalise_mean_variance(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 5).alias("pixels"))
-    return P.denormalise_mean_variance(rows)
+    out = P.denormalise_mean_variance(rows)
+    return out.select("vec_id", F.array_join(F.col("pixels").cast("array<string>"), ",").alias("pixels"))
 
 
 # ---- joins -----------------------------------------------------------------------------------

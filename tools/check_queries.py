@@ -1,6 +1,6 @@
 """Run the named queries in Spark and their SQL twins in DuckDB and compare the rows.
 
-Usage: python tools/check_queries.py [--sf 0.01] [name ...]
+Usage: python tools/check_queries.py [--sf 0.01] [--exact] [name ...]
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import duckdb  # noqa: E402
 from pagelake.plans.catalogue import ORACLES, QUERIES  # noqa: E402
 from pagelake.session import local_session  # noqa: E402
 
+EXACT = "--exact" in sys.argv  # compare doubles bit by bit instead of to nine digits
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -28,7 +30,7 @@ TABLES = (
 def plain(value):
     """A comparable form: floats to 9 significant digits, nested rows to tuples."""
     if isinstance(value, float):
-        return None if math.isnan(value) else float(f"{value:.9g}") + 0.0
+        return None if math.isnan(value) else (value if EXACT else float(f"{value:.9g}")) + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     if isinstance(value, dict):
@@ -70,6 +72,7 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[str, str]:
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--exact", action="store_true")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
