@@ -1,3 +1,10 @@
 """pagelake: a Spark engine for the data side of text detection and recognition."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Python functions of this package travel to executors by value, so workers need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def apply_detector(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
@@ -54,7 +55,7 @@ def handle_labels(df: DataFrame, handler: Callable[[Column], Column], label: str
 def tokenizer(fn: Callable[[str], list[str]]) -> Callable[[Column], Column]:
     """A Python tokenizer as an Arrow-batched function of a text column."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def tokens(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: fn(t) if t is not None else None)
 

@@ -500,3 +500,90 @@ def intersect_ids(spark, sf_dir):
     det = fx.scoring_sides(spark, sf_dir)[1]
     train = fx.imgs(_words(spark, sf_dir)).where("split = 'train'").select("image_id")
     return train.intersect(det.where("conf > 0.9").select("image_id"))
+
+
+# ---- files written from the tables and read back ------------------------------------------------
+
+
+@query("read_corpus", (), """
+  SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line""")
+def read_corpus(spark, sf_dir):
+    path = _scratch(spark, "corpus")
+    fx.table(spark, sf_dir, "documents").select("text").write.text(path)
+    return S.read_corpus(spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("read_vocab", ("lm_ones",), """
+  SELECT CAST(row_number() OVER (ORDER BY ch) - 1 AS INTEGER) AS idx, ch FROM lm_ones WHERE regexp_matches(ch, '[A-Za-z]')""")
+def read_vocab(spark, sf_dir):
+    """The letters in use, written as one vocabulary file."""
+    path = _scratch(spark, "vocab")
+    letters = fx.char_lm(spark, sf_dir)[2].where(F.col("ch").rlike("[A-Za-z]"))
+    letters.agg(F.array_join(F.array_sort(F.collect_list("ch")), "\n").alias("value")).write.text(path)
+    return S.read_vocab(spark, path)
+
+
+@query("read_char_lm", ("lm_bigram", "lm_unigram", "lm_lambda"), """
+  SELECT 'bigram' AS kind, pair AS item, round(p, 9) AS p FROM lm_bigram UNION ALL SELECT 'unigram', ch, round(p, 9) FROM lm_unigram
+  UNION ALL SELECT 'lambda', ch, weight FROM lm_lambda""")
+def read_char_lm(spark, sf_dir):
+    """The model as one JSON document; its maps are bounded by the pairs of characters in use."""
+    weights, bigram, unigram = fx.char_lm(spark, sf_dir)
+    parts = [("lambda", weights, "ch", "weight"), ("bigram", bigram, "pair", "p"), ("unigram", unigram, "ch", "p")]
+    rows = None
+    for kind, df, key, value in parts:
+        part = df.select(F.lit(kind).alias("kind"), F.col(key).alias("item"), F.col(value).alias("p"))
+        rows = part if rows is None else rows.unionByName(part)
+    maps = [
+        F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("item", "p")))).alias(kind) for kind, *_ in parts
+    ]
+    path = _scratch(spark, "model")
+    rows.agg(*maps).select(F.to_json(F.struct(*[kind for kind, *_ in parts])).alias("value")).write.text(path)
+    w, b, u = S.read_char_lm(spark, path)
+    back = None
+    for kind, df, key, value in (("lambda", w, "ch", "weight"), ("bigram", b, "pair", "p"), ("unigram", u, "ch", "p")):
+        part = df.select(F.lit(kind).alias("kind"), F.col(key).alias("item"), F.round(value, 9).alias("p"))
+        back = part if back is None else back.unionByName(part)
+    return back
+
+
+IMAGES_PER_FILE = 4000
+
+
+@query("read_annotations", ("gt_words",), """
+  SELECT concat('img_', CAST(image_id AS VARCHAR), '.jpg') AS file, CAST(word_idx AS INTEGER) AS word_idx, text, 'None' AS type,
+         CAST(xmin AS DOUBLE) AS x1, CAST(ymax AS DOUBLE) AS y3 FROM gt_words""")
+def read_annotations(spark, sf_dir):
+    """Annotations in the drifted spelling, many images per JSON file."""
+    words = _words(spark, sf_dir).select(
+        "image_id", "word_idx", "text", *G.ltrb_to_quad(*G.BOX), F.array().cast("array<string>").alias("char")
+    )
+    nested = A.nest_words(words, ("image_id",)).withColumn("file", F.concat(F.lit("img_"), F.col("image_id").cast("string"), F.lit(".jpg")))
+    shard = F.floor(F.col("image_id") / IMAGES_PER_FILE)
+    docs = nested.groupBy(shard.alias("shard")).agg(F.to_json(F.collect_list(F.struct("file", "words"))).alias("value"))
+    path = _scratch(spark, "annotation-files")
+    docs.repartition("shard").write.partitionBy("shard").option("compression", "none").text(path)
+    good, _ = A.read_annotations(spark, path, suffix="*.txt")
+    return P.flatten_words(good).select("file", "word_idx", "text", "type", "x1", "y3")
+
+
+@query("read_coco_text", ("imgs", "anns"), """
+  SELECT a.image_id, ann_id, split, area, legibility, utf8_string FROM anns a JOIN imgs i ON a.image_id = i.image_id""")
+def read_coco_text(spark, sf_dir):
+    """Catalogue documents with id-keyed maps, a fixed span of images each."""
+    words = _words(spark, sf_dir)
+    shard = F.floor(F.col("image_id") / IMAGES_PER_FILE)
+    imgs = fx.imgs(words).select(
+        shard.alias("shard"), F.struct(F.col("image_id").cast("string"), F.struct("file_name", "width", "height", F.col("split").alias("set"))).alias("e")
+    ).groupBy("shard").agg(F.map_from_entries(F.collect_list("e")).alias("imgs"))
+    fields = F.struct(
+        "image_id", F.array("bx", "byy", "bw", "bh").alias("bbox"), F.col("area").cast("double").alias("area"), "utf8_string", "legibility", "class"
+    )
+    anns = fx.anns(words).select(shard.alias("shard"), F.struct(F.col("ann_id").cast("string"), fields).alias("e"))
+    anns = anns.groupBy("shard").agg(F.map_from_entries(F.collect_list("e")).alias("anns"))
+    path = _scratch(spark, "catalogue")
+    docs = imgs.join(anns, "shard").select("shard", F.to_json(F.struct("imgs", "anns")).alias("value"))
+    docs.repartition("shard").write.partitionBy("shard").text(path)
+    tables = A.read_coco_text(spark, path)
+    out = tables["anns"].join(tables["imgs"].select("image_id", "split"), "image_id")
+    return out.select("image_id", "ann_id", "split", F.col("area").cast("long").alias("area"), "legibility", "utf8_string")

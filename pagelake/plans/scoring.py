@@ -352,3 +352,27 @@ def average_precision(spark, sf_dir):
 @query("split_dont_care", ("gt_words",), "SELECT image_id, word_idx, text <> '###' AS care FROM gt_words")
 def split_dont_care(spark, sf_dir):
     return P.split_dont_care(fx.gt_words(spark, sf_dir)).select("image_id", "word_idx", "care")
+
+
+@query("quad_overlap_pairs", ("gt_eval", "det_boxes"), """
+  SELECT image_id, word_idx, det_idx, round(CAST(inter AS DOUBLE), 3) AS inter, round(CAST(inter AS DOUBLE) / gt_area, 6) AS recall FROM (
+    SELECT g.image_id, word_idx, det_idx, (g.xmax - g.xmin) * (g.ymax - g.ymin) AS gt_area,
+           (least(g.xmax, d.xmax) - greatest(g.xmin, d.xmin)) * (least(g.ymax, d.ymax) - greatest(g.ymin, d.ymin)) AS inter
+    FROM gt_eval g JOIN det_boxes d ON g.image_id = d.image_id AND least(g.xmax, d.xmax) > greatest(g.xmin, d.xmin)
+      AND least(g.ymax, d.ymax) > greatest(g.ymin, d.ymin))""")
+def quad_overlap_pairs(spark, sf_dir):
+    """Both sides turned by the same angle per image: shared areas stay those of the upright boxes."""
+    from pagelake.functions.polygons import quad_overlap_pairs as pairs
+
+    turn = (F.col("image_id") % 17) * 0.1
+
+    def turned(df, idx):
+        x0, y0, x1, y1 = (F.col(c) for c in G.BOX)
+        cols = []
+        for k, (x, y) in enumerate(((x0, y0), (x1, y0), (x1, y1), (x0, y1)), 1):
+            cols += [(x * F.cos(turn) - y * F.sin(turn)).alias(f"x{k}"), (x * F.sin(turn) + y * F.cos(turn)).alias(f"y{k}")]
+        return df.select("image_id", idx, *cols)
+
+    gt, det = _sides(spark, sf_dir)
+    out = pairs(turned(gt, "word_idx"), turned(det, "det_idx"), truncate=False).where("inter > 0.001")
+    return out.select("image_id", "word_idx", "det_idx", _r("inter", 3), _r("recall"))

@@ -176,3 +176,24 @@ def test_average_precision(spark):
     want = (1 / 1 + 2 / 3) / 4
     for points in (None, [(-0.85, 1), (-0.65, 3)]):
         assert D.average_precision(det, n_gt, ["id"], points=points).first()[0] == pytest.approx(want)
+
+
+def test_rotated_quads_share_what_upright_boxes_share():
+    import numpy as np
+
+    from pagelake.functions.polygons import convex_overlap
+
+    rng = np.random.default_rng(2)
+    a, b = (np.sort(rng.integers(0, 9, (400, 2, 2)), axis=1).astype(float) for _ in range(2))  # [low, high] corners
+    want = np.prod(np.clip(np.minimum(a[:, 1], b[:, 1]) - np.maximum(a[:, 0], b[:, 0]), 0, None), axis=1)
+
+    def ring(box):
+        (x0, y0), (x1, y1) = box[:, 0].T, box[:, 1].T
+        return np.stack([np.stack(c, axis=1) for c in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))], axis=1)
+
+    for angle in (0.0, 0.3, 1.2):
+        spin = np.array([[np.cos(angle), np.sin(angle)], [-np.sin(angle), np.cos(angle)]])
+        assert np.allclose(convex_overlap(ring(a) @ spin, ring(b)[:, ::-1] @ spin), want, atol=1e-6)
+    diamond = np.array([[[0.0, -1], [1, 0], [0, 1], [-1, 0]]])
+    square = np.array([[[0.0, 0], [2, 0], [2, 2], [0, 2]]])
+    assert np.allclose(convex_overlap(diamond, square), [0.5])
