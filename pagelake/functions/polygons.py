@@ -34,7 +34,8 @@ def convex_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     da, db = np.roll(a, -1, axis=1) - a, np.roll(b, -1, axis=1) - b
     gap = b[:, None, :, :] - a[:, :, None, :]
     det = _cross(da[:, :, None, :], db[:, None, :, :])
-    parallel = np.abs(det) < 1e-12
+    # Relative to the side lengths: rounding must not turn sides on one line into a crossing.
+    parallel = np.abs(det) <= 1e-9 * np.linalg.norm(da, axis=2)[:, :, None] * np.linalg.norm(db, axis=2)[:, None, :]
     safe = np.where(parallel, 1.0, det)
     t, u = _cross(gap, db[:, None, :, :]) / safe, _cross(gap, da[:, :, None, :]) / safe
     meets = ~parallel & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)

@@ -355,8 +355,8 @@ def split_dont_care(spark, sf_dir):
 
 
 @query("quad_overlap_pairs", ("gt_eval", "det_boxes"), """
-  SELECT image_id, word_idx, det_idx, round(CAST(inter AS DOUBLE), 3) AS inter, round(CAST(inter AS DOUBLE) / gt_area, 6) AS recall FROM (
-    SELECT g.image_id, word_idx, det_idx, (g.xmax - g.xmin) * (g.ymax - g.ymin) AS gt_area,
+  SELECT image_id, word_idx, det_idx, round(CAST(inter AS DOUBLE), 3) AS inter FROM (
+    SELECT g.image_id, word_idx, det_idx,
            (least(g.xmax, d.xmax) - greatest(g.xmin, d.xmin)) * (least(g.ymax, d.ymax) - greatest(g.ymin, d.ymin)) AS inter
     FROM gt_eval g JOIN det_boxes d ON g.image_id = d.image_id AND least(g.xmax, d.xmax) > greatest(g.xmin, d.xmin)
       AND least(g.ymax, d.ymax) > greatest(g.ymin, d.ymin))""")
@@ -375,4 +375,4 @@ def quad_overlap_pairs(spark, sf_dir):
 
     gt, det = _sides(spark, sf_dir)
     out = pairs(turned(gt, "word_idx"), turned(det, "det_idx"), truncate=False).where("inter > 0.001")
-    return out.select("image_id", "word_idx", "det_idx", _r("inter", 3), _r("recall"))
+    return out.select("image_id", "word_idx", "det_idx", _r("inter", 3))

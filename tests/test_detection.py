@@ -191,9 +191,9 @@ def test_rotated_quads_share_what_upright_boxes_share():
         (x0, y0), (x1, y1) = box[:, 0].T, box[:, 1].T
         return np.stack([np.stack(c, axis=1) for c in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))], axis=1)
 
-    for angle in (0.0, 0.3, 1.2):
+    for angle in (0.0, 0.3, 1.2, 1.6):
         spin = np.array([[np.cos(angle), np.sin(angle)], [-np.sin(angle), np.cos(angle)]])
-        assert np.allclose(convex_overlap(ring(a) @ spin, ring(b)[:, ::-1] @ spin), want, atol=1e-6)
+        assert np.allclose(convex_overlap(ring(a * 150) @ spin, ring(b * 150)[:, ::-1] @ spin), want * 150**2, atol=1e-3)
     diamond = np.array([[[0.0, -1], [1, 0], [0, 1], [-1, 0]]])
     square = np.array([[[0.0, 0], [2, 0], [2, 2], [0, 2]]])
     assert np.allclose(convex_overlap(diamond, square), [0.5])

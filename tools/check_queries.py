@@ -64,8 +64,7 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[str, str]:
         return "FAIL", f"columns {sorted(df.columns)} against {sorted(columns)}"
     if ours == theirs:
         return "ok", f"{len(ours)} rows"
-    only_a = [r for r in ours if r not in set(theirs)][:3] if len(ours) < 200_000 else []
-    only_b = [r for r in theirs if r not in set(ours)][:3] if len(ours) < 200_000 else []
+    only_a, only_b = list(set(ours) - set(theirs))[:3], list(set(theirs) - set(ours))[:3]
     return "FAIL", f"{len(ours)} against {len(theirs)} rows\n  only Spark: {only_a}\n  only SQL:   {only_b}"
 
 
