@@ -124,17 +124,17 @@ def collect_charset(df: DataFrame, text: str = "label") -> DataFrame:
     return df.select(F.explode(F.array_distinct(chars(text))).alias("ch")).distinct()
 
 
-def build_vocabulary(df: DataFrame, tokens: Column, order_by: Sequence[str], points=None) -> DataFrame:
-    """Distinct tokens with counts, numbered in first-seen order.
+def build_vocabulary(df: DataFrame, tokens: Column, order_by: str, points=None) -> DataFrame:
+    """Distinct tokens with counts, numbered in first-seen order of the whole-number column ``order_by``.
 
-    The place of a token is one number (line number and place in the line), so counting stays a
-    hash aggregation with partial results before the shuffle.
+    The place of a token (row, then place in the row) is one decimal number, so counting stays a
+    hash aggregation with partial results before the shuffle, and texts are never sorted.
     """
-    numbered = number_rows(df.withColumn("__tokens", tokens), order_by, name="__line", start=0, points=points)
-    seen = numbered.select("__line", F.posexplode("__tokens").alias("__pos", "token"))
-    first = F.min(F.col("__line") * F.lit(1 << 31) + F.col("__pos")).alias("__first")
-    counted = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"), first)
-    return number_rows(counted, ["__first"], name="idx", start=0).select("idx", "token", "n")
+    row = F.col(order_by).cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+    seen = df.select(row.alias("__row"), F.posexplode(tokens).alias("__pos", "token"))
+    place = F.col("__row") + F.col("__pos").cast("decimal(10,0)")
+    counted = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("__first"))
+    return number_rows(counted, ["__first"], name="idx", start=0, points=points).select("idx", "token", "n")
 
 
 def sample_text(

@@ -1,7 +1,7 @@
 """Numbering, running totals and sliding frames that never put a whole group in one task.
 
 A plain ``Window.partitionBy(group).orderBy(key)`` sorts each group in a single task. Here a
-table above ``ROWS_PER_SLICE`` rows is cut into slices of consecutive ``(group, key)`` values,
+table above ``ROWS_PER_SLICE`` rows (``WIDE_ROWS_PER_SLICE`` with texts or lists) is cut into slices of consecutive ``(group, key)`` values,
 each slice is worked on alone, and a small table with one row per (group, slice) carries the
 count, sum or maximum of the earlier slices over. Slice membership depends on the row's own
 values and on literal split points only, so any retry of a task gives the same slices, and
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 4_000_000
+WIDE_ROWS_PER_SLICE = 200_000
 MAX_SLICES = 4096
 SAMPLES_PER_SLICE = 40
 
@@ -29,6 +30,12 @@ _AGG = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 _CARRY = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 
+def _slice_rows(df: DataFrame) -> int:
+    """Fewer rows per task where rows carry texts, bytes or lists of unknown length."""
+    wide = any(f.dataType.typeName() in ("string", "binary", "array", "map", "struct") for f in df.schema.fields)
+    return WIDE_ROWS_PER_SLICE if wide else ROWS_PER_SLICE
+
+
 def split_points(
     df: DataFrame,
     keys: Sequence[str],
@@ -42,7 +49,7 @@ def split_points(
     ``SAMPLES_PER_SLICE * max_slices`` key tuples, whatever the table size. A known bound of the
     row count in ``total`` saves the counting pass.
     """
-    rows_per_slice = rows_per_slice or ROWS_PER_SLICE
+    rows_per_slice = rows_per_slice or _slice_rows(df)
     table = df.select(*keys)
     total = table.count() if total is None else total
     slices = min(total // rows_per_slice, max_slices or MAX_SLICES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.operators.ordered import number_rows, split_points
+from pagelake.operators.ordered import ROWS_PER_SLICE, number_rows, split_points
 
 # Total order of lineitem rows inside an order; the two keys alone are not unique.
 LINE_ORDER = (
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def gt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of images: one image per order, one word per line."""
     lineitem, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    points = split_points(lineitem, ["l_orderkey", *LINE_ORDER])
+    points = split_points(lineitem, ["l_orderkey", *LINE_ORDER], rows_per_slice=ROWS_PER_SLICE)  # short texts only
     rows = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
     rows = number_rows(rows, LINE_ORDER, ["l_orderkey"], name="word_idx", start=0, points=points)
     pk, sk, q = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("long")

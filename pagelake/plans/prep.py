@@ -482,7 +482,7 @@ def build_charset(spark, sf_dir):
   FROM (SELECT token, count(*) AS n, min((doc_id, pos)) AS first_at FROM seen GROUP BY token)""")
 def build_vocabulary(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return E.build_vocabulary(docs, X.word_tokenize("text"), ["doc_id"])
+    return E.build_vocabulary(docs, X.word_tokenize("text"), "doc_id")
 
 
 @query("unite_datasets", ("imgs", "anns"), """
