@@ -132,3 +132,10 @@ def order_by_position(mixed: DataFrame, key_col: str = "doc_id") -> DataFrame:
     """One row for every time a document is taken, with its ``position``, range-sorted by position over all partitions."""
     taken = mixed.withColumn("position", F.explode("positions")).drop("positions")
     return taken.orderBy("position", key_col)
+
+
+def curriculum(docs: DataFrame, rows: int, key_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix as training reads it: the columns of ``docs`` alone, a row for every time a document is taken, in order of position."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text, source = (names[docs.columns.index(c)] for c in (key_col, text_col, source_col))
+    return order_by_position(mix(docs.toDF(*names), rows, key, text, source, **how), key).select(*names).toDF(*docs.columns)

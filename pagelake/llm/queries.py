@@ -65,7 +65,7 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "text", "source"), docs.count())
-    chosen = mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"), F.get("positions", F.lit(1)).alias("second_position"))
+    chosen = mixed.select("doc_id", "size", "source_size", "target", "taken", *(F.round(F.get("positions", F.lit(i)), 9).alias(c) for i, c in enumerate(("first_position", "second_position"))))
     return chosen.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 

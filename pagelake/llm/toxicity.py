@@ -20,17 +20,20 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.llm.text import rolling
 from pagelake.session import materialise
 
 MOST_ROWS = 200_000
 MOST_TOXIC = 10_000
 MOST_CANDIDATES = 100_000
 MOST_EXCEPTIONS = 5_000
-LEAST_SUPPORT = 3  # toxic texts that a term must explain by itself
-LEAST_WEIGHT = 2.5
+LEAST_SUPPORT = 3  # toxic texts, or harmless ones for an exception, and
+SUPPORT_PART = 200  # one in so many toxic texts
+LEAST_WEIGHT = 3.0
 STEMS = range(4, 9)  # lengths of word beginnings
 
 # Letters that look like Latin ones (Cyrillic, Greek, Armenian, other), and what stands for letters.
@@ -108,13 +111,14 @@ def features(folded: str, matcher: Matcher) -> tuple[float, float]:
     return float(np.log1p(total)), float(np.log1p(100 * total / (folded.count(" ") - 1)))
 
 
+def _terms_of(word: str) -> list[str]:
+    """All patterns that a word could give to a lexicon."""
+    return [f" {word} ", *(f" {word[:n]}" for n in STEMS if n < len(word))]
+
+
 def _terms(folded: str) -> set[str]:
-    """All patterns that a text could give to a lexicon."""
-    out = set()
-    for word in set(folded.split()):
-        out.add(f" {word} ")
-        out.update(f" {word[:n]}" for n in STEMS if n < len(word))
-    return out
+    """The patterns of all words of a text."""
+    return {t for word in set(folded.split()) for t in _terms_of(word)}
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, modulus: int, held: int) -> DataFrame:
@@ -133,11 +137,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([fold(t or "") for t in batch["text"].to_pylist()], pa.string()), pa.array([int(x > 0) for x in batch["toxic"].to_pylist()], pa.int32())], ["folded", "toxic"])
+            folded = [fold(t or "") for t in batch["text"].to_pylist()]
+            names = [_least_shingle(t) for t in folded]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(folded, pa.string()), pa.array([int(x > 0) for x in batch["toxic"].to_pylist()], pa.int32())], ["row", "folded", "toxic"])
+
+    # A text that stands in the corpus many times, unchanged or nearly so, teaches once, as its longest form.
+    folded = texts.mapInArrow(run, "row long, folded string, toxic int")
+    chosen = folded.groupBy("row", "toxic").agg(F.max_by("folded", F.struct(F.length("folded"), "folded")).alias("folded"))
+    return materialise(chosen.select("folded", "toxic"), "toxicity-rows")
 
-    # A text that stands in the corpus many times teaches once.
-    folded = texts.mapInArrow(run, "folded string, toxic int")
-    return materialise(folded.groupBy(F.sha2(F.col("folded").cast("binary"), 256).alias("row")).agg(F.first("folded").alias("folded"), F.max("toxic").alias("toxic")), "toxicity-rows")
+
+def _least_shingle(folded: str) -> int:
+    words = folded.encode().split()
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    return int(rolling(hashes, min(5, len(words))).min().view(np.int64)) if words else 0
 
 
 def _count_terms(rows: DataFrame, among: set[str] | None) -> DataFrame:
@@ -179,35 +192,43 @@ def choose_lexicon(rows: DataFrame) -> dict[str, float]:
     harmless = {r.term: r.n for r in _count_terms(others, set(have)).collect()}
 
     def weight(n: int, other: int) -> float:
-        return float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_others + 1)))
+        # A standard error below what was counted, so rare terms weigh less.
+        return float(np.log((n - n**0.5 + 0.1) / (n_toxic + 1)) - np.log((other + 1) / (n_others + 1)))
 
-    weights = {t: w for t, n in have.items() if (w := weight(n, harmless.get(t, 0))) >= LEAST_WEIGHT}
+    support = max(LEAST_SUPPORT, n_toxic // SUPPORT_PART)
+    weights = {t: w for t, n in have.items() if n >= support and (w := weight(n, harmless.get(t, 0))) >= LEAST_WEIGHT}
     names = sorted(weights)
     place = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(place.value[t] for t in _terms(folded) if t in place.value) for folded in batch["folded"].to_pylist()]
+            found = []
+            for folded in batch["folded"].to_pylist():
+                for word in set(folded.split()):
+                    own = [place.value[t] for t in _terms_of(word) if t in place.value]
+                    if own:
+                        found.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["terms"])
 
-    texts = [np.array(r.terms, np.int64) for r in toxic.select("folded").mapInArrow(run, "terms array<int>").toLocalIterator()]
+    # One row a (text, word) that some candidate meets.
+    units = [np.array(r.terms, np.int64) for r in toxic.select("folded").mapInArrow(run, "terms array<int>").toLocalIterator()]
     holders: list[list[int]] = [[] for _ in names]
-    for i, own in enumerate(texts):
+    for i, own in enumerate(units):
         for t in own:
             holders[t].append(i)
     open_count = np.array([len(h) for h in holders])
-    # Whole words go before beginnings, and long ones before short ones, where they explain as much.
-    rank = np.array([(len(t) + (t[-1] == " ")) / 1000 + min(weights[t], 20) / 100 for t in names])
-    explained, chosen = np.zeros(len(texts), bool), {}
+    # Whole words go before beginnings, and long ones before short ones, where they meet as much.
+    rank = np.array([(len(t) + (t[-1] == " ")) / 1000 for t in names])
+    explained, chosen = np.zeros(len(units), bool), {}
     while len(open_count):
         best = int(np.argmax(open_count + rank))
-        if open_count[best] < LEAST_SUPPORT:
+        if open_count[best] < support:
             break
         chosen[names[best]] = weights[names[best]]
         for i in holders[best]:
             if not explained[i]:
                 explained[i] = True
-                open_count[texts[i]] -= 1
+                open_count[units[i]] -= 1
     return chosen
 
 
