@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.llm.text import WordHashes, alnum_words, rolling
+from pagelake.llm.text import ALNUM, WordHasher, alnum_words, rolling
 from pagelake.session import materialise
 
 N = 13
@@ -52,11 +52,11 @@ class Block:
     """One block of windows as a task uses it: bits, sorted hashes by length, and the words behind each hash."""
 
     def __init__(self, rows: list[tuple[str | None, bytes]]):
-        hashes = WordHashes()
+        hasher = WordHasher(ALNUM)
         found: dict[int, dict[int, list[tuple[list[bytes], str | None]]]] = defaultdict(lambda: defaultdict(list))
         for item, joined in rows:
             words = joined.split(b" ")
-            found[len(words)][int(rolling(hashes.of(words), len(words))[0])].append((words, item))
+            found[len(words)][int(rolling(hasher.of(words), len(words))[0])].append((words, item))
         self.behind = {length: dict(by_hash) for length, by_hash in found.items()}
         self.sorted = {length: np.sort(np.array(list(by_hash), np.uint64)) for length, by_hash in found.items()}
         self.bits = {}
@@ -65,9 +65,9 @@ class Block:
             bits[(values >> np.uint64(64 - _BITS)).astype(np.int64)] = True
             self.bits[length] = bits
 
-    def hits(self, words: list[bytes], hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of words [start, end) that equal a window, and the items they belong to."""
-        spans, items = [], set()
+    def hits(self, data: bytes, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+        """Spans of words [start, end) that equal a window, and the items they belong to. Words are cut only if a hash is met."""
+        spans, items, words = [], set(), None
         for length, values in self.sorted.items():
             windows = rolling(hashes, length)
             at = np.flatnonzero(self.bits[length][(windows >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -76,6 +76,7 @@ class Block:
             place = np.minimum(np.searchsorted(values, windows[at]), len(values) - 1)
             at = at[values[place] == windows[at]]
             for start in at.tolist():
+                words = alnum_words(data) if words is None else words
                 same = [item for own, item in self.behind[length][int(windows[start])] if own == words[start : start + length]]
                 if same:
                     spans.append((start, start + length))
@@ -140,14 +141,14 @@ def scan(
         shared = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block, hashes = Block(shared.value), WordHashes()
+            block, hasher = Block(shared.value), WordHasher(ALNUM)
             for batch in batches:
                 counts, spans, items = [], [], []
-                for data, starts, ends, ids in zip(*(batch[c].to_pylist() for c in ("body", "start", "end", "items"))):
-                    words = alnum_words(data or b"")
-                    new, own = block.hits(words, hashes.of(words))
+                texts = batch["body"].to_pylist()
+                for data, hashes, starts, ends, ids in zip(texts, hasher.each(texts), *(batch[c].to_pylist() for c in ("start", "end", "items"))):
+                    new, own = block.hits(data, hashes)
                     whole = merged([*zip(starts, ends), *new])
-                    counts.append(len(words))
+                    counts.append(len(hashes))
                     spans.append(whole)
                     items.append(sorted(own.union(ids)))
                 # The text goes on only to a further block.

@@ -27,13 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.text import WordHashes, lower_words, mix, rolling
+from pagelake.llm.text import LOWER, WordHasher, mix, rolling
 from pagelake.operators.graph import connected_components
 from pagelake.session import materialise
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
 COUNTER_BITS = 22
+PARITY_BITS = 1024
 _PARTS = 64
 _BROADCAST_NODES = 4_000_000
 _SEEN = 1_000_000
@@ -42,12 +43,13 @@ _TOKENS_PER_HUB = 2_000_000
 _SALTS = 1024
 
 
-def shingles(words: list[bytes], hashes: WordHashes, width: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text; the whole sequence if it is shorter; none without words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    own = min(width, len(words))
-    return np.unique(rolling(hashes.of(words), own) + np.uint64(width - own))
+def shingles(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text's words; the whole sequence if it is shorter; none without words."""
+    if not len(hashes):
+        return hashes
+    own = min(width, len(hashes))
+    ranked = np.sort(rolling(hashes, own) + np.uint64(width - own))
+    return ranked[np.concatenate(([True], ranked[1:] != ranked[:-1]))]
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -56,6 +58,15 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(total ^ np.uint64(len(tokens))).view(np.int64)[0])
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """``PARITY_BITS`` bits: whether a set has an odd number of the tokens that fall on a bit.
+
+    Two sets differ by at least as many tokens as their parities differ by bits.
+    """
+    counts = np.bincount((tokens % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def least_overlap(n: int, threshold: int) -> int:
     """The least number of own tokens that any partner must share."""
     return -(-n * threshold // 100)
@@ -107,25 +118,25 @@ def describe(docs: DataFrame, id_col: str, text_col: str, counter_bits: int = CO
     key = chosen.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, kind = WordHashes(), np.zeros(1 << counter_bits, np.uint32), None
+        hasher, counts, kind = WordHasher(LOWER), np.zeros(1 << counter_bits, np.uint32), None
         for batch in batches:
             kind, found = batch["id"].type, []
-            for data in batch["text"].to_pylist():
-                tokens = shingles(lower_words(data or b""), hashes)
+            for hashes in hasher.each(batch["text"].to_pylist()):
+                tokens = shingles(hashes)
                 counts[(tokens >> np.uint64(64 - counter_bits)).astype(np.int64)] += 1
-                found.append((node_of(tokens) if len(tokens) else None, len(tokens)))
+                found.append((node_of(tokens), len(tokens), parities(tokens)) if len(tokens) else (None, 0, None))
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())],
-                ["id", "node", "n", "part", "counts"],
+                [batch["id"], pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64())), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())],
+                ["id", "node", "n", "parity", "part", "counts"],
             )
         if kind is not None:
             parts = np.split(counts, min(_PARTS, 1 << counter_bits))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(parts), kind), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([_pack(p) for p in parts], pa.binary())],
-                ["id", "node", "n", "part", "counts"],
+                [pa.nulls(len(parts), kind), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.list_(pa.int64())), pa.array(range(len(parts)), pa.int32()), pa.array([_pack(p) for p in parts], pa.binary())],
+                ["id", "node", "n", "parity", "part", "counts"],
             )
 
-    return chosen.mapInArrow(run, f"id {key}, node long, n long, part int, counts binary")
+    return chosen.mapInArrow(run, f"id {key}, node long, n long, parity array<long>, part int, counts binary")
 
 
 def token_counters(described: DataFrame) -> np.ndarray:
@@ -161,11 +172,11 @@ def signature_rows(docs: DataFrame, text_col: str, counters: np.ndarray, thresho
     shift, limit = np.uint64(65 - len(counters).bit_length()), frequent_above(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, counted = WordHashes(), set(), shared.value
+        hasher, seen, counted = WordHasher(LOWER), set(), shared.value
         for batch in batches:
             sigs, nodes, hot, size = [], [], [], 0
-            for data in batch["text"].to_pylist():
-                tokens = shingles(lower_words(data or b""), hashes)
+            for hashes in hasher.each(batch["text"].to_pylist()):
+                tokens = shingles(hashes)
                 node = node_of(tokens)
                 if not len(tokens) or node in seen:
                     continue
@@ -215,11 +226,11 @@ def token_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     names = spark.sparkContext.broadcast(np.sort(np.array([r.node for r in wanted.select("node").toLocalIterator()], np.int64))) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hasher, seen = WordHasher(LOWER), set()
         for batch in batches:
             nodes, sets, size = [], [], 0
-            for data in batch["text"].to_pylist():
-                tokens = shingles(lower_words(data or b""), hashes)
+            for hashes in hasher.each(batch["text"].to_pylist()):
+                tokens = shingles(hashes)
                 node = node_of(tokens)
                 if not len(tokens) or node in seen:
                     continue
@@ -273,16 +284,20 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     about = described.where("part IS NULL").select("id", "node", "n")
     counters = token_counters(described)
     shared = materialise(shared_signatures(signature_rows(docs, text_col, counters, threshold)), "found")
-    sized = materialise(about.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n")), "sized")
-    nodes = materialise(shared.select("node").distinct().join(sized, "node"), "nodes")
-    shared = materialise(shared.join(nodes, "node"), "shared")
-    sets = token_sets(docs, text_col, nodes)
+    sized = described.where("node IS NOT NULL").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.first("parity").alias("parity"))
+    nodes = materialise(sized, "nodes")
 
     def proposals(pairs: DataFrame) -> DataFrame:
-        fits = f"100 * least(n, m) >= {threshold} * greatest(n, m)"
-        return pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-    links, roots = None, nodes.select("node", F.col("node").alias("root"))
+        """Distinct pairs that may be similar by their sizes and by their parities; both bounds are exact."""
+        few = materialise(pairs.where(f"100 * least(n, m) >= {threshold} * greatest(n, m)").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "proposed")
+        sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab"]
+        differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        # |A and B| is at most (|A| + |B| - differ) / 2, and similarity wants (100 + t) |A and B| >= t (|A| + |B|).
+        fits = (100 + threshold) * (F.col("na") + F.col("nb") - differ) >= 2 * threshold * (F.col("na") + F.col("nb"))
+        return few.join(sides[0], "a").join(sides[1], "b").where(fits).select("a", "b")
+
+    shared = materialise(shared.join(nodes.select("node", "n"), "node"), "shared")
+    links, roots, sets = None, nodes.select("node", F.col("node").alias("root")), None
     tested = None
     for pick in (F.min, F.max, None):
         placed = shared.join(roots, "node")
@@ -301,6 +316,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = materialise(pairs, "pairs")
         if pairs.isEmpty():
             continue
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("node"), "node", "left_anti")
+        more = token_sets(docs, text_col, materialise(wanted, "wanted"))
+        sets = more if sets is None else sets.unionByName(more)
         found = verified(pairs, sets, threshold)
         links = materialise(found if links is None else links.unionByName(found), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -338,9 +358,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields)), "node long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hasher = WordHasher(LOWER)
         for batch in batches:
-            sets = [shingles(lower_words(t or b""), hashes) for t in batch[text].cast(pa.binary()).to_pylist()]
+            sets = [shingles(h) for h in hasher.each(batch[text].cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], [*names, "node"])
 
     wordless = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.text import lower_words, mix
+from pagelake.llm.text import LOWER, WordHasher, mix
 from pagelake.session import materialise
 
 MOST_DISCOUNTED = 5
@@ -42,7 +42,8 @@ WORDS_PER_PARTITION = 1_000_000
 PAIRS_PER_PARTITION = 1_500_000
 LEAST_PARTITIONS = 48
 TOKENS_PER_CONTEXT_PART = 750_000
-_END, _START = b"", b" "  # no words: the end of a text, a token; and what stands before its first one, a context alone
+# Not hashes of words: the end of a text, a token; and what stands before its first one, a context alone.
+END, START = np.uint64(xxhash.xxh64_intdigest(b"end", 2)), np.uint64(xxhash.xxh64_intdigest(b"start", 2))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -88,12 +89,6 @@ def in_training(key: str, modulus: int, held: int) -> bool:
     return zlib.crc32(key.encode()) % modulus != held
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self)
-        return code
-
-
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:
     """The rows of a stream sorted by ``key``, a group at a time."""
     at, rows = None, []
@@ -114,60 +109,45 @@ def encode(docs: DataFrame, id_col: str, text_col: str, learns: Callable[[object
     key = chosen.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
-
-        def fresh():
-            own = _Codes()
-            return own, own[_END], own[_START], [], [], 0
-
-        codes, end, start, tokens, pieces, size = fresh()
+        hasher, kind = WordHasher(LOWER), None
+        tokens: list[np.ndarray] = []
+        pieces: list[dict] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in codes], np.uint64)
-            order = np.argsort(hashes)
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            flat = rank[np.concatenate(tokens)]
+            before = np.array([p["before"] for p in pieces], np.uint64)
+            words, places = np.unique(np.concatenate([*tokens, before, [START]]), return_inverse=True)
+            flat, contexts, start = places[:size], places[size:-1], int(places[-1])
             lengths = np.array([p["tokens"] for p in pieces])
             learnt = np.array([p["learnt"] for p in pieces], bool)
-            counts = np.bincount(flat[np.repeat(learnt, lengths)], minlength=len(order))
-            counts[rank[start]] = sum(p["learnt"] and p["first"] for p in pieces)
-            before = np.array([p["before"] for p in pieces])
+            counts = np.bincount(flat[np.repeat(learnt, lengths)], minlength=len(words))
+            counts[start] = sum(p["learnt"] and p["first"] for p in pieces)
             row = {
-                "batch": uuid.uuid4().int >> 65, "words": pack(hashes[order]), "n_words": len(order), "counts": pack(counts), "codes": pack(flat), "lengths": pack(lengths),
-                "learnt": pack(learnt), "before": pack(rank[before]), "whole": pack(np.array([p["last"] for p in pieces], bool)),
-                "start": int(rank[start]), "n_tokens": int(lengths.sum()), "rows": [p["row"] for p in pieces], "ids": [p["id"] for p in pieces],
+                "batch": uuid.uuid4().int >> 65, "words": pack(words), "n_words": len(words), "counts": pack(counts), "codes": pack(flat), "lengths": pack(lengths),
+                "learnt": pack(learnt), "before": pack(contexts), "n_tokens": size, "rows": [p["row"] for p in pieces], "ids": [p["id"] for p in pieces],
             }
-            types = {"batch": pa.int64(), "n_words": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "rows": pa.list_(pa.int64()), "ids": pa.list_(kind)}
+            types = {"batch": pa.int64(), "n_words": pa.int64(), "n_tokens": pa.int64(), "rows": pa.list_(pa.int64()), "ids": pa.list_(kind)}
             return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.binary())) for k, v in row.items()], list(row))
 
         for batch in batches:
             kind = batch["id"].type
-            for doc_id, data in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
-                words = lower_words(data or b"")
-                learnt, row, at, before = learns(doc_id), uuid.uuid4().int >> 65, 0, None
-                while True:
-                    take = words[at : at + batch_tokens - size]
-                    at += len(take)
-                    own = np.fromiter(map(codes.__getitem__, take), np.int64, len(take))
-                    last = at == len(words)
-                    context = start if before is None else codes[before]
-                    tokens.append(np.append(own, end) if last else own)
-                    pieces.append({"row": row, "id": doc_id, "learnt": learnt, "tokens": len(own) + last, "first": before is None, "before": context, "last": last})
-                    size += len(own) + last
-                    if take:
-                        before = take[-1]
+            for doc_id, words in zip(batch["id"].to_pylist(), hasher.each(batch["text"].to_pylist())):
+                learnt, row, at, before = learns(doc_id), uuid.uuid4().int >> 65, 0, START
+                whole = np.append(words, END)
+                while at < len(whole):
+                    own = whole[at : at + batch_tokens - size]
+                    tokens.append(own)
+                    pieces.append({"row": row, "id": doc_id, "learnt": learnt, "tokens": len(own), "first": at == 0, "before": before})
+                    at, before, size = at + len(own), own[-1], size + len(own)
                     if size >= batch_tokens or len(pieces) >= BATCH_PIECES:
                         yield flush()
-                        codes, end, start, tokens, pieces, size = fresh()
-                    if last:
-                        break
+                        tokens, pieces, size = [], [], 0
         if pieces:
             yield flush()
 
     return chosen.mapInArrow(run, (
-        "batch long, words binary, n_words long, counts binary, codes binary, lengths binary, learnt binary, before binary, whole binary, "
-        f"start long, n_tokens long, rows array<long>, ids array<{key}>"))
+        "batch long, words binary, n_words long, counts binary, codes binary, lengths binary, learnt binary, before binary, "
+        f"n_tokens long, rows array<long>, ids array<{key}>"))
 
 
 def count_words(batches: DataFrame, partitions: int) -> DataFrame:
@@ -175,8 +155,6 @@ def count_words(batches: DataFrame, partitions: int) -> DataFrame:
 
     Ids are unique and small for frequent words. Words never seen in training have count 0 and share id 0.
     """
-    start_hash = np.uint64(xxhash.xxh64_intdigest(_START))
-
     def ask(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for row in batch.to_pylist():
@@ -199,7 +177,7 @@ def count_words(batches: DataFrame, partitions: int) -> DataFrame:
             counts = np.bincount(place, np.concatenate([unpack(r["counts"]) for r in rows]).astype(float), len(words)).astype(np.int64)
             ids, known = np.zeros(len(words), np.int64), np.flatnonzero(counts)
             ids[known[np.argsort(-counts[known], kind="stable")]] = np.arange(len(known)) * partitions + part + 1
-            token = known[words[known] != start_hash]
+            token = known[words[known] != START]
             out = [{"part": part, "batch": None, "ids": pack(words[known]), "counts": pack(counts[known]), "types": len(token), "tokens": int(counts[token].sum()), "tallies": tallies(counts[token]).tolist(), "spare": int((counts[token] > MOST_DISCOUNTED).sum())}]
             at = 0
             for row, hashes in zip(rows, own):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.llm.text import BLANKS, WordHashes, rolling, split_words
+from pagelake.llm.text import BLANKS, WordHasher, rolling
 
 WINDOW = 8
 _SYMBOLS = b"#*$%&|<>"
@@ -82,16 +82,15 @@ def repeat_words(hashes: np.ndarray, width: int = WINDOW) -> int:
     return int((before[upto] > before[since]).sum())
 
 
-def _measured(data: bytes, hashes: WordHashes) -> tuple[int, ...]:
-    words = split_words(data)
+def _measured(data: bytes, hashes: np.ndarray) -> tuple[int, ...]:
     lines = [x for x in data.split(b"\n") if x.strip()]
     return (
-        len(words),
+        len(hashes),
         len(data.translate(None, BLANKS + _CONTINUATION)),
         len(data) - len(data.translate(None, _SYMBOLS)),
         len(lines),
         len(lines) - len(set(lines)),
-        repeat_words(hashes.of(words)),
+        repeat_words(hashes),
         len(data) - len(data.translate(None, _UPPER)),
         len(data) - len(data.translate(None, _LETTERS)),
         data.count(b"!"),
@@ -110,9 +109,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     schema = T.StructType([T.StructField("id", key), *(T.StructField(m, T.LongType(), False) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hasher = WordHasher()
         for batch in batches:
-            rows = [_measured(t or b"", hashes) for t in batch["text"].to_pylist()]
+            texts = batch["text"].to_pylist()
+            rows = [_measured(t or b"", h) for t, h in zip(texts, hasher.each(texts))]
             values = np.array(rows, np.int64).reshape(len(rows), len(MEASURES))
             yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(values[:, i]) for i in range(len(MEASURES)))], ["id", *MEASURES])
 
@@ -175,9 +175,10 @@ def keep_good(docs: DataFrame, policy: Policy = PRODUCTION_POLICY, id_col: str =
     measured = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(inner, fields)), *(T.StructField(m, T.LongType(), False) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hasher = WordHasher()
         for batch in batches:
-            rows = [_measured(t or b"", hashes) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            rows = [_measured(t or b"", h) for t, h in zip(texts, hasher.each(texts))]
             values = np.array(rows, np.int64).reshape(len(rows), len(MEASURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(values[:, i]) for i in range(len(MEASURES)))], [*inner, *MEASURES])
 
