@@ -13,8 +13,9 @@ token's frequency from above, so a rare token's group has a bounded size. The co
 the same result. Signatures only propose; every link is verified on the whole sets.
 
 Links are looked for in rounds. First each signature proposes a star around one member, then, for members that are not yet
-connected, a star around another one, and at last all pairs of members in different components. Pairs inside a component
-need no check, so copies by the thousand cost a few checks each, and no component can be missed.
+connected, a star around another one, and at last members in different components against each other, where a comparison of
+bitmaps leaves few pairs to verify. Pairs inside a component need no check, so copies by the thousand cost a few checks each, and
+no component can be missed.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ _SEEN = 1_000_000
 _LEAST_BAND = 5  # sets below 2^5 tokens take single tokens throughout
 _TOKENS_PER_HUB = 2_000_000
 _SALTS = 1024
+_TILE = 2048
+_COMPARISONS = 50_000_000  # a task, about
 
 
 def shingles(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
@@ -303,10 +306,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         placed = shared.join(roots, "node")
         if pick is None:
             # What is still open: members of one signature in different components, against each other.
-            mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-            open_rows = materialise(placed.join(mixed, "sig"), "open")
-            others = open_rows.select("sig", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"))
-            pairs = proposals(open_rows.join(others, "sig").where("node < other AND root <> its"))
+            mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("sig", "lo", "members")
+            pairs = close_in_blocks(placed.join(mixed, "sig").join(nodes.select("node", "parity"), "node"), threshold).distinct()
         else:
             hubs = placed.groupBy("sig").agg(pick(F.struct("node", "n", "root")).alias("hub")).select("sig", "hub.*")
             hubs = hubs.select("sig", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"))
@@ -329,6 +330,61 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return about, roots
 
 
+def close_in_blocks(members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members of one signature and of different components whose sizes and parities allow a link.
+
+    ``members``: rows (sig, lo, members, node, n, root, parity). Members are dealt to tiles of bounded size and compared tile by tile,
+    bit by bit in numpy, so no pair becomes a row but those that pass. Signatures with one least root ``lo`` have much the same
+    members: their blocks go to as few tasks as their comparisons allow, and a task gives a pair once.
+    """
+    work = members.groupBy("sig", "lo").agg(F.first("members").cast("double").alias("members")).groupBy("lo").agg(F.sum(F.col("members") * F.col("members")).alias("work"))
+    tiles = F.ceil(F.col("members") / F.lit(_TILE)).cast("int")
+    dealt = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # Tile i meets every tile j; the lower one of the two comes first in the block's name.
+    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    blocks = blocks.withColumn("block", F.xxhash64("sig", F.least("tile", "other"), F.greatest("tile", "other")))
+    blocks = blocks.join(work, "lo").withColumn("task", F.xxhash64("lo", F.pmod("block", F.ceil(F.col("work") / F.lit(_COMPARISONS)))))
+    blocks = blocks.select("task", "block", "node", "n", "root", "parity")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+
+        def compared(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(rows).combine_chunks()
+            nodes, n, roots = (whole[c].to_numpy() for c in ("node", "n", "root"))
+            bits = whole["parity"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(nodes), -1)
+            found = []
+            for i in range(len(nodes) - 1):
+                differ = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                both = n[i + 1 :] + n[i]
+                fits = ((100 + threshold) * (both - differ) >= 2 * threshold * both) & (roots[i + 1 :] != roots[i]) & (nodes[i + 1 :] != nodes[i])
+                fits &= 100 * np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])
+                for other in nodes[i + 1 :][fits].tolist():
+                    pair = (min(int(nodes[i]), other), max(int(nodes[i]), other))
+                    if pair not in seen:
+                        if len(seen) < _SEEN:
+                            seen.add(pair)
+                        found.append(pair)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        at, waiting = None, []
+        for batch in batches:
+            edges = [0, *(np.flatnonzero(np.diff(batch["block"].to_numpy())) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                block = batch["block"][a].as_py()
+                if waiting and block != at:
+                    yield compared(waiting)
+                    waiting = []
+                at = block
+                waiting.append(batch.slice(a, b - a))
+        if waiting:
+            yield compared(waiting)
+
+    return blocks.repartition("task").sortWithinPartitions("task", "block").mapInArrow(run, "a long, b long")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """Rows (id, n_shingles, component_id), one a document; the component's least id, the document's own if it is alone.
 

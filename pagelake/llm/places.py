@@ -32,11 +32,14 @@ def running_total(df: DataFrame, group: str, order: list[str], value: Column, na
     ``order[0]`` must be an ``order_number``; the others break its ties, and rows equal in all of them may be placed
     either way. Null groups are a group. Two shuffles: counted buckets, and the rows by (group, bucket).
     """
-    bucketed = df.withColumn("__bucket", F.shiftright(F.col(order[0]), ORDER_BITS - bucket_bits(rows))).withColumn("__value", value)
-    totals = bucketed.groupBy(F.col(group).alias("__group"), F.col("__bucket").alias("__at")).agg(F.sum("__value").alias("__sum"))
-    upto = Window.partitionBy("__group").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__group", "__at", F.coalesce(F.sum("__sum").over(upto), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy(group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = bucketed.join(offsets, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__bucket") == F.col("__at")), "left")
+    # Null groups have a name of their own, so that the join and the window deal the rows out by the same plain keys.
+    named = {"__group": F.coalesce(F.col(group).cast("string"), F.lit("")), "__none": F.col(group).isNull()}
+    bucketed = df.withColumns(named).withColumn("__bucket", F.shiftright(F.col(order[0]), ORDER_BITS - bucket_bits(rows))).withColumn("__value", value)
+    keys = ["__group", "__none", "__bucket"]
+    totals = bucketed.groupBy(*keys).agg(F.sum("__value").alias("__sum"))
+    upto = Window.partitionBy("__group", "__none").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, F.coalesce(F.sum("__sum").over(upto), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = bucketed.join(offsets, keys, "left")
     placed = placed.withColumn(name, F.col("__offset") + F.coalesce(F.sum("__value").over(inside), F.lit(0)))
-    return placed.drop("__bucket", "__value", "__group", "__at", "__offset")
+    return placed.drop(*keys, "__value", "__offset")
