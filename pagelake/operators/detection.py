@@ -146,7 +146,7 @@ def subtract_dont_care(gt: DataFrame, det: DataFrame, cell: int = CELL) -> tuple
 
 def _words_of(gt: DataFrame) -> DataFrame:
     """The narrow truth table that every scoring step reads, written once."""
-    words = _whole(gt).select(*_GT, (F.col("text") == DONT_CARE).alias("dc"), F.length("text").alias("n_chars"), *BOX)
+    words = _whole(gt).select(*_GT, F.coalesce(F.col("text") == DONT_CARE, F.lit(False)).alias("dc"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), *BOX)
     return materialise(words, "gt")
 
 

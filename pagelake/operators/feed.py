@@ -42,19 +42,19 @@ def merge_stores(stores: Sequence[DataFrame], order_by: Sequence[str], points=No
         merged = part if merged is None else merged.unionByName(part)
     numbered = number_rows(merged, ["__store", *order_by], name="new_id", start=0, points=points)
     total = merged.agg(F.count(F.lit(1)).alias("total")).withColumn("one", F.lit(1))
-    out = numbered.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")  # one row.drop("one", "__store")
+    out = numbered.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one", "__store")  # one row
     width = F.length(F.col("total").cast("string"))
     return out.withColumn("key", F.concat(F.lit("image-"), F.lpad(F.col("new_id").cast("string"), width, F.lit("0")))).drop("total")
 
 
 def split_store(
-    df: DataFrame, order_by: Sequence[str], size: int, max_shards: int | None = 10, drop_partial: bool = True,
+    df: DataFrame, order_by: Sequence[str], size: int, max_shards: int | None = None, drop_partial: bool = False,
     name: str = "store", points=None,
 ) -> DataFrame:
     """Fixed-size shards ``name_0000``.. with keys from 0 inside each.
 
-    An incomplete last shard is dropped and at most ``max_shards`` shards are kept, as asked by
-    the two options.
+    All rows are kept unless asked otherwise: ``drop_partial`` leaves out an incomplete last shard,
+    ``max_shards`` all shards beyond that number.
     """
     numbered = number_rows(df, order_by, name="__rn", start=0, points=points)
     place = F.floor(F.col("__rn") / size)

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from functools import cmp_to_key
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions.geometry import BOX, QUAD, affinity_quad, dist
-from pagelake.operators.grouped import map_groups
 from pagelake.operators.joins import CELL, in_cells
 from pagelake.operators.ordered import number_rows, running, split_points
 
@@ -20,8 +16,7 @@ def reading_order(boxes: DataFrame, id_col: str = "box_idx", points=None) -> Dat
     """Add ``line`` and ``position``: lines are chains of boxes that overlap in y, read left to right.
 
     The chain is a running maximum of the lower edges, and both numbers are distributed, so a page
-    may hold any number of boxes. This is a total order; ``reading_order_exact`` reproduces a
-    pairwise comparison sort instead.
+    may hold any number of boxes. This is a total order.
     """
     keys = ["ymin", "xmin", id_col]
     if points is None:
@@ -35,43 +30,6 @@ def reading_order(boxes: DataFrame, id_col: str = "box_idx", points=None) -> Dat
     return number_rows(lined, order, ["image_id"], name="position", start=0, points=lined_points)
 
 
-def _before(a, b) -> int:
-    """Above comes first where the boxes share no row; else smaller xmin, ymin, xmax, ymax."""
-    if a[3] <= b[1]:
-        return -1
-    if b[3] <= a[1]:
-        return 1
-    if a[2] <= a[0]:
-        return -1
-    if b[3] <= b[1]:
-        return 1
-    ka, kb = (a[0], a[1], a[2], a[3]), (b[0], b[1], b[2], b[3])
-    return (ka > kb) - (ka < kb)
-
-
-def reading_order_exact(boxes: DataFrame, id_col: str = "box_idx") -> DataFrame:
-    """Position by a pairwise comparison sort in the order of ``id_col``, one page per group.
-
-    The comparison is not transitive, so its outcome depends on the input order and only a
-    sequential sort of the page reproduces it. Same boxes take the first one's id.
-    """
-    fields = [f"image_id {boxes.schema['image_id'].dataType.simpleString()}"]
-    fields += [f"{id_col} {boxes.schema[id_col].dataType.simpleString()}", "position bigint"]
-    id_name = id_col
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        rects = [tuple(r) for r in pdf[list(BOX)].itertuples(index=False)]
-        first = {}
-        for rect, box_id in zip(rects, pdf[id_name]):
-            first.setdefault(rect, box_id)
-        ranked = sorted(rects, key=cmp_to_key(_before))
-        return pd.DataFrame(
-            {"image_id": pdf["image_id"].iloc[0], id_name: [first[r] for r in ranked], "position": range(len(ranked))}
-        )
-
-    return map_groups(boxes.select("image_id", id_col, *BOX), ["image_id"], [id_col], order, ", ".join(fields))
-
-
 def plan_tiles(
     images: DataFrame, window: tuple[int, int] = WINDOW, buf: tuple[int, int] = BUFFER, cover: bool = False
 ) -> DataFrame:

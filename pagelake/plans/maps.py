@@ -28,11 +28,6 @@ def reading_order(spark, sf_dir):
     return L.reading_order(_boxes(spark, sf_dir)).select("image_id", "box_idx", "line", "position")
 
 
-@query("reading_order_exact")
-def reading_order_exact(spark, sf_dir):
-    return L.reading_order_exact(_boxes(spark, sf_dir))
-
-
 _PAGES = "SELECT image_id, 900 + image_id % 4000 AS width, 600 + image_id % 2500 AS height FROM imgs"
 
 

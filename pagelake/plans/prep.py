@@ -409,10 +409,19 @@ def merge_stores(spark, sf_dir):
     return E.merge_stores(parts, ["dataset", "sample_id"]).select("dataset", "sample_id", "new_id", "key")
 
 
-@query("split_store", ("samples",), """
+@query("split_store_capped", ("samples",), """
   SELECT dataset, sample_id, printf('all_%04d', n // 70) AS shard, printf('image-%02d', n % 70) AS key
   FROM (SELECT dataset, sample_id, row_number() OVER (ORDER BY dataset, sample_id) - 1 AS n, count(*) OVER () AS total FROM samples)
   WHERE n // 70 < 10 AND (n // 70 + 1) * 70 <= total""")
+def split_store_capped(spark, sf_dir):
+    rows = fx.samples(spark, sf_dir).select("dataset", "sample_id")
+    out = E.split_store(rows, ["dataset", "sample_id"], 70, max_shards=10, drop_partial=True, name="all")
+    return out.select("dataset", "sample_id", "shard", "key")
+
+
+@query("split_store", ("samples",), """
+  SELECT dataset, sample_id, printf('all_%04d', n // 70) AS shard, printf('image-%02d', n % 70) AS key
+  FROM (SELECT dataset, sample_id, row_number() OVER (ORDER BY dataset, sample_id) - 1 AS n FROM samples)""")
 def split_store(spark, sf_dir):
     rows = fx.samples(spark, sf_dir).select("dataset", "sample_id")
     return E.split_store(rows, ["dataset", "sample_id"], 70, name="all").select("dataset", "sample_id", "shard", "key")
@@ -423,7 +432,7 @@ def split_store(spark, sf_dir):
   FROM samples) GROUP BY shard""")
 def split_store_whole(spark, sf_dir):
     rows = fx.samples(spark, sf_dir).select("dataset", "sample_id")
-    out = E.split_store(rows, ["dataset", "sample_id"], 70, max_shards=None, drop_partial=False, name="all")
+    out = E.split_store(rows, ["dataset", "sample_id"], 70, name="all")
     return out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -106,7 +106,6 @@ def test_reading_order(spark):
     keys = ["image_id", "ymin", "xmin", "box_idx"]
     forced = L.reading_order(df, points=[(1, 3, 0, 1), (1, 11, 60, 3)])
     assert rows(forced.select("position", "box_idx", "line")) == rows(L.reading_order(df).select("position", "box_idx", "line")), keys
-    assert rows(L.reading_order_exact(df).select("position", "box_idx")) == [(0, 1), (1, 0), (2, 3), (3, 2)]
 
 
 def test_tiles_cover_the_page(spark):
@@ -117,3 +116,13 @@ def test_tiles_cover_the_page(spark):
     assert ends.where("r < width or b < height").count() == 0
     plain = L.plan_tiles(spark.createDataFrame([(1, 2511, 800)], "image_id int, width int, height int"))
     assert rows(plain.select("i", "j", "x_off", "w")) == [(0, 0, 0, 1280), (0, 1, 1230, 1280), (0, 2, 2460, 51), (1, 0, 0, 1280), (1, 1, 1230, 1280), (1, 2, 2460, 51)]
+
+
+def test_components_of_winding_graphs(spark):
+    """A U, a comb and a path: no limit on rounds, and few of them."""
+    u = [(i, i + 2) for i in range(0, 436, 2)] + [(i, i + 2) for i in range(1, 437, 2)] + [(438, 439), (436, 438), (437, 439)]
+    comb = [(1000 + 20 * t + i, 1000 + 20 * t + i + 1) for t in range(12) for i in range(15)] + [(1000 + 20 * t + 15, 1000 + 20 * (t + 1) + 15) for t in range(11)]
+    edges = spark.createDataFrame([(1, *e) for e in u] + [(2, *e) for e in comb] + [(3, 5, 5), (3, 7, 8), (3, 8, 7)], "image_id long, u long, v long")
+    got = H.propagate_labels(edges)
+    least = {(1, n): 0 for e in u for n in e} | {(2, n): 1000 for e in comb for n in e} | {(3, 5): 5, (3, 7): 7, (3, 8): 7}
+    assert {(r.image_id, r.node): r.label for r in got.collect()} == least

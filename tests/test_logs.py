@@ -108,10 +108,10 @@ def test_mix_restarts_short_datasets(spark):
 
 def test_split_store(spark):
     df = spark.range(25).toDF("id")
-    kept = E.split_store(df, ["id"], 10, name="s")
+    kept = E.split_store(df, ["id"], 10, max_shards=10, drop_partial=True, name="s")
     assert rows(kept.groupBy("shard").count()) == [("s_0000", 10), ("s_0001", 10)]
-    assert E.split_store(df, ["id"], 10, drop_partial=False).count() == 25
-    assert E.split_store(df, ["id"], 1).count() == 10
+    assert E.split_store(df, ["id"], 10).count() == 25
+    assert E.split_store(df, ["id"], 1, max_shards=10).count() == 10
 
 
 def test_sampled_texts(spark):
