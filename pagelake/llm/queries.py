@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import chat, decontamination, jaccard, lm, mixing, rules, sharding, toxicity, warc
+from pagelake.llm import chat, decontamination, jaccard, lm, mixing, rules, sharding, toxicity, warc, weak
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 24
@@ -56,6 +56,14 @@ def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = weak.score(docs, weak.learn(docs))
+    good = F.col("score") >= 0.5
+    return scored.select("doc_id", weak.held_out().alias("held_out"), "n_words", "votes", "posterior", "score", good.cast("int").alias("predicted"), good.alias("kept"))
+
+
 @query
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pagelake.llm import chat, decontamination, jaccard, lm, mixing, rules, sharding, toxicity, warc
+from pagelake.llm import chat, decontamination, jaccard, lm, mixing, rules, sharding, toxicity, warc, weak
 from pagelake.llm.text import ALNUM, LOWER, PLAIN, WordHasher
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -329,3 +329,42 @@ def test_escapes_are_reversible():
             assert chat.parse(segment) == (role, text) and chat.unescape(segment[start:end]) == text
     with pytest.raises(ValueError):
         chat.parse("<turn a>\nx</turn>\ny</turn>\n")
+
+
+def test_vote_estimate_against_truth():
+    rng = np.random.default_rng(3)
+    kind = rng.choice(4, 40_000, p=[0.8, 0.1, 0.06, 0.04])
+    alarm = np.array([[0.01, 0.005, 0.0], [0.98, 0.3, 0.0], [0.05, 0.98, 0.5], [0.1, 0.2, 0.98]])
+    votes = np.where(rng.random((len(kind), 3)) < alarm[kind], weak.BAD, weak.GOOD)
+    votes[rng.random(votes.shape) < 0.2] = weak.ABSTAIN
+    found, counts = np.unique((votes << (2 * np.arange(3))).sum(1), return_counts=True)
+    model = weak.fit_votes(found, counts, 3)
+    assert abs(model.shares[0] - 0.8) < 0.03 and np.abs(model.bad[0] - alarm[0]).max() < 0.01
+    truth = [((votes[:, i] == weak.GOOD) == (kind == 0))[votes[:, i] != weak.ABSTAIN].mean() for i in range(3)]
+    assert np.abs(model.accuracies(found, counts) - truth).max() < 0.03
+    # Bayes by hand for every pattern.
+    for packed in found:
+        odds = model.shares.copy()
+        for i, vote in enumerate(weak.unpack(np.array([packed]), 3)[0]):
+            odds *= {weak.ABSTAIN: 1.0, weak.GOOD: 1 - model.bad[:, i], weak.BAD: model.bad[:, i]}[vote]
+        assert abs(model.posterior(np.array([packed]))[0] - odds[0] / odds.sum()) < 1e-9
+
+
+def test_quality_learns_without_labels(spark, docs, none):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(900):
+        words = [f"w{rng.integers(3000)}" for _ in range(90)]
+        if i % 6 == 0:
+            words = [w + "%%%" for w in words] if i % 12 else ["spam", "eggs", "ham"] * 30
+        rows.append((i, ". ".join(" ".join(words[j : j + 9]) for j in range(0, 90, 9)) + "."))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    model = weak.learn(made)
+    out = {r.doc_id: r.score for r in weak.score(made, model).collect()}
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(out[i] >= 0.5) == (i % 6 > 0) for i in held]) > 0.97
+    scored = weak.score(docs, model).collect()
+    assert len(scored) == len(ROWS) and all(0 <= r.score <= 1 for r in scored) and all(r.posterior < 0.5 for r in scored if not r.n_words)
+    empty = weak.learn(none)
+    assert weak.score(none, empty).count() == 0 and all(r.score == 0.5 for r in weak.score(docs, empty).collect())
+    assert weak.score(docs, weak.learn(docs, most_rows=0)).count() == len(ROWS)
