@@ -6,7 +6,7 @@ are one long, two bits a labeller, so the corpus is first counted by vote patter
 the estimate runs on these counts of all rows. A pattern's posterior is then the soft label of its documents.
 
 The scorer is logistic over ``DIMENSIONS`` hashed features: words, and the measurements by step. It is fitted on the soft labels of
-at most about ``MOST_ROWS`` rows, chosen by a hash of their ids, and scores every row in one map without a shuffle. Labels of
+at most about ``MOST_ROWS`` rows, chosen by a hash of id and text, and scores every row in one map without a shuffle. Labels of
 people are used nowhere; they only measure the result.
 """
 
@@ -228,7 +228,7 @@ def held_out(id_col: str = "doc_id", modulus: int = 3, held: int = 1) -> Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> Model:
     """Both models from the rows that aren't held out: the vote counts from all of them, the scorer from a sample of ``most_rows``
-    on average. Rows with one id share their fate. An empty table gives the starting model, which scores a half."""
+    on average, where equal rows count once. Rows with one id are all held out or none. An empty table gives the starting model, which scores a half."""
     own = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +259,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
 
     # Another hash than the one that holds rows out, so the sample is even.
     share = int(min(1.0, most_rows / max(total, 1)) * (1 << 30))
-    order = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")))
-    chosen = own.select(order.alias("order"), "text").where(F.pmod(F.col("order"), F.lit(1 << 30)) < share)
+    # An id and text that many rows repeat come once, so the sample stays small whatever is repeated.
+    order = F.xxhash64(F.col("id").cast("string"), F.col("text"))
+    chosen = own.select(order.alias("order"), "text").where(F.pmod(F.col("order"), F.lit(1 << 30)) < share).groupBy("order").agg(F.first("text").alias("text"))
     sample = sorted((r.order, r.votes, bytes(r.places), bytes(r.vals)) for r in chosen.mapInArrow(take, "order long, votes long, places binary, vals binary").toLocalIterator())
     rows = [(np.frombuffer(p, np.int16).astype(np.int32), np.frombuffer(v, np.float32)) for _, _, p, v in sample]
     return Model(votes, fit_scorer(rows, votes.posterior(np.array([s[1] for s in sample], np.int64))))
