@@ -10,10 +10,11 @@ Neither the vocabulary nor the pairs are ever in one place. The work runs over t
 1. ``encode``: the texts once, as batches of bounded size with a dictionary of their own;
 2. ``count_words``: the words of all batches by ranges of their hashes, counted over the training texts, with an answer (id and
    count) to every batch that asked;
-3. ``count_pairs``: each batch's pairs, once a text, dealt to partitions by their context. A partition counts its pairs, discounts
-   them (counts of counts are taken by partition), normalises its contexts and answers with a sum a text. A context of very many
-   tokens is split over partitions by the next word; its parts' leftovers are added up before its alpha is known, and only
-   its unseen pairs wait for that.
+3. ``count_pairs``: each batch's pairs, once a text, dealt to partitions by their context. A partition counts its pairs and answers
+   with a sum a text of all that the discounts do not touch, and with counts for the rest: a text's pairs seen 1 to k times, and, for
+   its unseen pairs, how many words were seen 1 to k times, and more often, after the context. Counts of counts are added up over all
+   partitions; the one table of discounts made of them turns these counts into the rest of the sums. A context of very many tokens
+   is split over partitions by the next word; its parts' counts are added up before its alpha is known.
 
 Words and contexts are named by 64-bit hashes of their bytes.
 """
@@ -214,7 +215,12 @@ class Unigram:
         return np.log10((counts + 1) / (self.tokens + self.types + 1))
 
 
-def _pair_rows(row: dict, ids: np.ndarray, counts: np.ndarray, unigram: Unigram, partitions: int) -> Iterator[dict]:
+def discounts(star: np.ndarray) -> np.ndarray:
+    """What is taken off a pair seen once, twice, up to k times, and more often."""
+    return np.append(np.arange(1, len(star) + 1) - star, TAIL_DISCOUNT)
+
+
+def _pair_rows(row: dict, ids: np.ndarray, counts: np.ndarray, unigram: Unigram, partitions: int, context_tokens: int) -> Iterator[dict]:
     """Of one batch: sums a piece that need no pairs, then the pairs by partition."""
     codes, lengths = unpack(row["codes"]).astype(np.int64), unpack(row["lengths"]).astype(np.int64)
     learnt, before = unpack(row["learnt"]).astype(bool), unpack(row["before"]).astype(np.int64)
@@ -224,26 +230,30 @@ def _pair_rows(row: dict, ids: np.ndarray, counts: np.ndarray, unigram: Unigram,
     context[1:] = codes[:-1]
     filled = lengths > 0
     context[starts[filled]] = before[filled]
-    word_count, context_count = counts[codes], counts[context]
     sums = lambda values: np.bincount(piece, values, n)
-    direct = np.where(context_count > 0, -np.log10(np.maximum(context_count, 1)), np.log10(unigram.probability(word_count)))
+    heads = counts[context] > 0
+    direct = np.where(heads, -np.log10(np.maximum(counts, 1))[context], np.log10(unigram.probability(counts))[codes])
     yield {
-        "kind": 0, "part": -1, "batch": row["batch"], "a": pack(lengths), "b": pack(sums(word_count > 0).astype(np.int64)), "c": pack(sums(unigram.log_base(word_count))),
+        "kind": 0, "part": -1, "batch": row["batch"], "a": pack(lengths), "b": pack(sums((counts > 0)[codes]).astype(np.int64)), "c": pack(sums(unigram.log_base(counts)[codes])),
         "d": pack(sums(direct)), "e": row["learnt"], "rows": row["rows"], "ids": row["ids"],
     }
-    asks = np.flatnonzero(context_count > 0)
+    del direct
+    asks = np.flatnonzero(heads)
     if not len(asks):
         return
     size = np.int64(len(ids) + 1)
     # All words unseen in training are one here.
-    word = np.where(word_count[asks] > 0, codes[asks], size - 1)
-    pairs, repeats = np.unique((context[asks] * size + word) * n + piece[asks], return_counts=True)
+    pairs = (context[asks] * size + np.where(counts > 0, np.arange(len(counts)), size - 1)[codes[asks]]) * n + piece[asks]
+    del codes, context, piece, heads, asks
+    pairs, repeats = np.unique(pairs, return_counts=True)
     own, pairs = pairs % n, pairs // n
     context, word = pairs // size, pairs % size
+    del pairs
     word_ids, word_counts = np.append(ids, 0)[word], np.append(counts, 0)[word]
-    context_ids, shares = ids[context], -(-counts[context] // TOKENS_PER_CONTEXT_PART)
+    context_ids, shares = ids[context], -(-counts[context] // context_tokens)
     share = np.where(shares > 1, (mix(word_ids.astype(np.uint64)) % shares.astype(np.uint64)).astype(np.int64), 0)
     part = (mix(mix(context_ids.astype(np.uint64)) + share.astype(np.uint64)) % np.uint64(partitions)).astype(np.int64)
+    del context, word, share
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(partitions + 1))
     for p in range(partitions):
@@ -260,7 +270,7 @@ def _pair_rows(row: dict, ids: np.ndarray, counts: np.ndarray, unigram: Unigram,
 
 
 def _score_partition(part: int, rows: list[dict], unigram: Unigram) -> Iterator[dict]:
-    """Of one partition: the table of its pairs, a sum a piece for each batch, and what its split contexts still need."""
+    """Of one partition: the table of its pairs with their counts of counts, sums and counts a piece for each batch, and what its split contexts still need."""
     contexts, words, counts, pieces, repeats, split, sizes = [], [], [], [], [], [], []
     for row in rows:
         runs, place = unpack(row["b"]).astype(np.int64), unpack(row["e"]).astype(np.int64)
@@ -283,37 +293,63 @@ def _score_partition(part: int, rows: list[dict], unigram: Unigram) -> Iterator[
     pair_context, pair_word = pair_ids // len(word_ids), pair_ids % len(word_ids)
     word_count[pair_word[pair]] = np.concatenate(counts)
     is_split[pair_context[pair]] = np.concatenate(split)
+    del counts, split
     p1 = unigram.probability(word_count)
-    known = np.flatnonzero(seen)
-    star_table = discounted(tallies(seen[known]))
-    star = apply_discount(star_table, seen[known])
-    left = np.bincount(pair_context[known], seen[known] - star, len(context_ids))
+    known, k = np.flatnonzero(seen), MOST_DISCOUNTED
+    level = np.minimum(seen, k + 1).astype(np.int8) - 1
+    # Of each context, the words seen after it once, twice, up to k times, and more often.
+    spread = np.bincount(pair_context[known] * (k + 1) + level[known], minlength=len(context_ids) * (k + 1)).reshape(-1, k + 1)
     used = np.bincount(pair_context[known], p1[pair_word[known]], len(context_ids))
+    # What is known of a pair's value before the discounts are.
     with np.errstate(divide="ignore"):
-        back = np.log10(left / (1 - used))  # alpha(h) c(h)
-    value = np.log10(p1)[pair_word] + np.where(is_split[pair_context], 0.0, back[pair_context])
-    value[known] = np.log10(star)
-    yield {"kind": 2, "part": part, "a": pack(context_ids[pair_context[known]]), "b": pack(word_ids[pair_word[known]]), "c": pack(seen[known]), "d": pack(star_table), "e": pack(context_ids), "f": pack(back), "h": pack(is_split)}
-    waits = np.flatnonzero(is_split[pair_context[pair]] & (seen[pair] == 0))
+        value = np.log10(p1)[pair_word] - np.where(is_split, 0.0, np.log10(1 - used))[pair_context]
+    value[known] = np.where(level[known] == k, np.log10(seen[known] - TAIL_DISCOUNT), 0.0)
+    yield {"kind": 2, "part": part, "a": pack(context_ids[pair_context[known]]), "b": pack(word_ids[pair_word[known]]), "c": pack(seen[known]), "e": pack(context_ids), "f": pack(used), "h": pack(is_split), "tallies": tallies(seen[known]).tolist()}
     for h in np.flatnonzero(is_split):
-        yield {"kind": 3, "part": part, "context": int(context_ids[h]), "left": float(left[h]), "used": float(used[h])}
+        yield {"kind": 3, "part": part, "context": int(context_ids[h]), "tallies": spread[h].tolist(), "used": float(used[h])}
+    backs_off = np.unique(pair_context[seen == 0])
+    spreads, of = np.unique(spread[backs_off], axis=0, return_inverse=True)
+    spread_of = np.zeros(len(context_ids), np.int64)
+    spread_of[backs_off] = of.reshape(-1)
     ends = np.cumsum(sizes)
     for row, a, b, own in zip(rows, ends - sizes, ends, pieces):
-        times = repeat[a:b] >> 1
-        yield {"kind": 4, "part": part, "batch": row["batch"], "c": pack(np.bincount(own, value[pair[a:b]] * times, row["n"]))}
-        mine = waits[np.searchsorted(waits, a) : np.searchsorted(waits, b)]
-        if len(mine):
-            yield {"kind": 5, "part": part, "batch": row["batch"], "contexts": context_ids[pair_context[pair[mine]]], "pieces": own[mine - a], "times": times[mine - a]}
-
-
-def count_pairs(batches: DataFrame, answers: DataFrame, unigram: Unigram, partitions: int, id_kind: str) -> DataFrame:
+        mine, times = pair[a:b], repeat[a:b] >> 1
+        low = np.flatnonzero((level[mine] >= 0) & (level[mine] < k))
+        places, at = np.unique(own[low] * k + level[mine[low]], return_inverse=True)
+        out = {"kind": 4, "part": part, "batch": row["batch"], "c": pack(np.bincount(own, value[mine] * times, row["n"]))}
+        out |= {"a": pack(np.diff(places, prepend=0)), "b": pack(np.bincount(at, times[low], len(places)).astype(np.int64))}
+        unseen, late = seen[mine] == 0, is_split[pair_context[mine]]
+        back = np.flatnonzero(unseen & ~late)
+        kinds, kind = np.unique(spread_of[pair_context[mine[back]]], return_inverse=True)
+        asks, at = np.unique(own[back] * max(len(kinds), 1) + kind, return_inverse=True)
+        out |= {"d": pack(spreads[kinds].reshape(-1)), "e": pack(np.diff(asks, prepend=0)), "f": pack(np.bincount(at, times[back], len(asks)).astype(np.int64))}
+        yield out
+        waits = np.flatnonzero(unseen & late)
+        if len(waits):
+            yield {"kind": 5, "part": part, "batch": row["batch"], "contexts": context_ids[pair_context[mine[waits]]], "pieces": own[waits], "times": times[waits]}
+
+
+def _discounted_sums(row: dict, star: np.ndarray, n: int) -> np.ndarray:
+    """A sum a piece from a row of kind 4: what was known before the discounts, and what waited for them."""
+    value, k = unpack(row["c"]).copy(), len(star)
+    places, times = np.cumsum(unpack(row["a"]).astype(np.int64)), unpack(row["b"]).astype(np.int64)
+    value += np.bincount(places // k, np.log10(star)[places % k] * times, n)
+    spreads = unpack(row["d"]).astype(np.int64).reshape(-1, k + 1)
+    if len(spreads):
+        asks, times = np.cumsum(unpack(row["e"]).astype(np.int64)), unpack(row["f"]).astype(np.int64)
+        left = np.log10((spreads * discounts(star)).sum(axis=1))
+        value += np.bincount(asks // len(spreads), left[asks % len(spreads)] * times, n)
+    return value
+
+
+def count_pairs(batches: DataFrame, answers: DataFrame, unigram: Unigram, partitions: int, id_kind: str, context_tokens: int) -> DataFrame:
     """The rows of ``_pair_rows`` (kind 0 alone) and ``_score_partition`` for all partitions."""
     shape = f"kind int, part int, batch long, n long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary, rows array<long>, ids array<{id_kind}>"
     fields = [x.split(" ")[0] for x in shape.split(", ")]
     # A pass-through row keeps its place in the stream; others are told apart by kind.
-    out_shape = shape + ", context long, left double, used double, contexts array<long>, pieces array<long>, times array<long>"
+    out_shape = shape + ", context long, used double, tallies array<long>, contexts array<long>, pieces array<long>, times array<long>"
     out_fields = [x.split(" ")[0] for x in out_shape.split(", ")]
-    kinds = {"kind": pa.int32(), "part": pa.int32(), "batch": pa.int64(), "n": pa.int64(), "rows": pa.list_(pa.int64()), "context": pa.int64(), "left": pa.float64(), "used": pa.float64(), **dict.fromkeys(("contexts", "pieces", "times"), pa.list_(pa.int64()))}
+    kinds = {"kind": pa.int32(), "part": pa.int32(), "batch": pa.int64(), "n": pa.int64(), "rows": pa.list_(pa.int64()), "context": pa.int64(), "used": pa.float64(), **dict.fromkeys(("tallies", "contexts", "pieces", "times"), pa.list_(pa.int64()))}
 
     def as_batch(row: dict, names: list[str], ids: pa.DataType) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([row.get(x)], ids if x == "ids" else kinds.get(x, pa.binary())) for x in names], names)
@@ -323,7 +359,7 @@ def count_pairs(batches: DataFrame, answers: DataFrame, unigram: Unigram, partit
         ids = np.concatenate([unpack(r["ids"]) for r in replies]).astype(np.int64)
         counts = np.concatenate([unpack(r["counts"]) for r in replies]).astype(np.int64)
         kind = own.schema.field("ids").type
-        return pa.Table.from_batches([as_batch(out, fields, kind) for row in own.to_pylist() for out in _pair_rows(row, ids, counts, unigram, partitions)])
+        return pa.Table.from_batches([as_batch(out, fields, kind) for row in own.to_pylist() for out in _pair_rows(row, ids, counts, unigram, partitions, context_tokens)])
 
     def score(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = {}
@@ -348,13 +384,15 @@ def count_pairs(batches: DataFrame, answers: DataFrame, unigram: Unigram, partit
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2,
     batch_tokens: int = BATCH_TOKENS, words_per_partition: int = WORDS_PER_PARTITION, pairs_per_partition: int = PAIRS_PER_PARTITION, least_partitions: int = LEAST_PARTITIONS,
+    context_tokens: int | None = None,
 ) -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score), one a row of ``docs``.
 
     A text is held out if crc32 of its id as text leaves ``held`` modulo ``modulus``; a null id counts as the text "null".
     A null text is an empty one: its end is its only token. Repeated rows are learnt from and scored each for itself.
     ``base_score`` adds one to every count, ``score`` is the model's. Without any training text all probability is the
-    unknown word's, and both scores are 0. No columns but the two named are read.
+    unknown word's, and both scores are 0. No columns but the two named are read. Contexts of more than ``context_tokens`` tokens
+    are split; neither that nor any number of partitions changes a score.
     """
     def learns(doc_id: object) -> bool:
         return in_training("null" if doc_id is None else str(doc_id), modulus, held)
@@ -370,18 +408,22 @@ def score(
     ).first()
     unigram = Unigram(totals[0], totals[1], np.array(totals[3:], np.int64), totals[2])
     pair_partitions = max(least_partitions, -(-sizes[1] // pairs_per_partition))
-    found = materialise(count_pairs(batches, answers, unigram, pair_partitions, kind), "lm-pairs")
-
-    # Contexts that were split: their parts' leftovers together give alpha(h) c(h).
-    whole = found.where("kind = 3").groupBy("context").agg(F.sum("left").alias("left"), F.sum("used").alias("used"))
-    backs = whole.select("context", F.log10(F.col("left") / (1 - F.col("used"))).alias("back"))
+    found = materialise(count_pairs(batches, answers, unigram, pair_partitions, kind, context_tokens or TOKENS_PER_CONTEXT_PART), "lm-pairs")
+
+    # One row a partition: the counts of counts of the corpus.
+    star = discounted(np.array(found.where("kind = 2").agg(*(F.coalesce(F.sum(F.col("tallies")[i]), F.lit(0)) for i in range(MOST_DISCOUNTED + 1))).first(), np.int64))
+    # Contexts that were split: their parts' counts together give alpha(h) c(h).
+    parts = found.where("kind = 3").groupBy("context")
+    whole = parts.agg(F.sum("used").alias("used"), *(F.sum(F.col("tallies")[i]).alias(f"n{i}") for i in range(MOST_DISCOUNTED + 1)))
+    left = sum((F.col(f"n{i}") * F.lit(float(d)) for i, d in enumerate(discounts(star))), F.lit(0.0))
+    backs = whole.select("context", F.log10(left / (1 - F.col("used"))).alias("back"))
     waits = found.where("kind = 5").select("batch", F.inline(F.arrays_zip(F.col("contexts").alias("context"), F.col("pieces").alias("piece"), F.col("times").alias("times"))))
     late = waits.groupBy("context", "batch", "piece").agg(F.sum("times").alias("times")).join(backs, "context")
     late = late.groupBy("batch", "piece").agg(F.sum(F.col("times") * F.col("back")).alias("late"))
     late = late.groupBy("batch").agg(F.collect_list(F.struct("piece", "late")).alias("late"))
 
-    sums = found.where("kind IN (0, 4)").select("kind", "batch", "a", "b", "c", "d", "e", "rows", "ids").withColumn("late", F.expr("CAST(NULL AS array<struct<piece:bigint,late:double>>)"))
-    more = late.select(F.lit(6).alias("kind"), "batch", *(F.lit(None).cast("binary").alias(c) for c in "abcde"), F.lit(None).cast("array<long>").alias("rows"), F.lit(None).cast(f"array<{kind}>").alias("ids"), "late")
+    sums = found.where("kind IN (0, 4)").select("kind", "part", "batch", *"abcdef", "rows", "ids").withColumn("late", F.expr("CAST(NULL AS array<struct<piece:bigint,late:double>>)"))
+    more = late.select(F.lit(6).alias("kind"), F.lit(-1).alias("part"), "batch", *(F.lit(None).cast("binary").alias(c) for c in "abcdef"), F.lit(None).cast("array<long>").alias("rows"), F.lit(None).cast(f"array<{kind}>").alias("ids"), "late")
 
     def total(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {}
@@ -396,7 +438,7 @@ def score(
             value = unpack(first["d"]).copy()
             for row in rows:
                 if row["kind"] == 4:
-                    value += unpack(row["c"])
+                    value += _discounted_sums(row, star, len(value))
                 elif row["kind"] == 6:
                     np.add.at(value, [x["piece"] for x in row["late"]], [x["late"] for x in row["late"]])
             columns = [
@@ -406,7 +448,7 @@ def score(
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     # The order of the sums of a batch is fixed, so reruns over the same tables agree to the last bit.
-    by_piece = sums.unionByName(more).repartition("batch").sortWithinPartitions("batch", "kind", "c").mapInArrow(
+    by_piece = sums.unionByName(more).repartition("batch").sortWithinPartitions("batch", "kind", "part").mapInArrow(
         total, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return by_piece.groupBy("row").agg(
         F.first("id").alias(id_col), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),

@@ -234,6 +234,15 @@ def test_split_contexts_change_nothing(docs, monkeypatch):
     assert sorted(((r.doc_id, round(r.score, 6)) for r in lm.score(docs, **how).collect()), key=repr) == whole
 
 
+def test_katz_is_one_model_over_all_partitions(docs):
+    scores = lambda **how: sorted(((r.doc_id, r.score) for r in lm.score(docs, **how).collect()), key=repr)
+    whole = scores(least_partitions=1, pairs_per_partition=10**9)
+    for how in ({"least_partitions": 7}, {"least_partitions": 48}, {"least_partitions": 7, "context_tokens": 5}, {"least_partitions": 5, "context_tokens": 1, "batch_tokens": 1000}):
+        got = scores(**how)
+        # The long text's 300 thousand terms round by their order.
+        assert [i for i, _ in got] == [i for i, _ in whole] and np.allclose([x for _, x in got], [x for _, x in whole], rtol=0, atol=1e-5), how
+
+
 def test_packing():
     for values in (np.arange(5), np.array([], np.int64), np.array([1 << 40, 0]), np.array([0.5, -2.0]), np.array([True, False])):
         assert lm.unpack(lm.pack(values)).tolist() == values.tolist()
