@@ -69,8 +69,9 @@ def events_of_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.struct(F.lit(0).cast("long").alias("seq"), F.lit("open").alias("kind"), F.lit("").alias("added")),
         F.struct(F.lit(1).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.col("text").alias("added")),
     )
-    # ``tie`` keeps the two events of a row together where a turn number is repeated.
-    return base.withColumn("tie", F.sha2(F.concat_ws("\x00", F.coalesce("role", F.lit("")), "text").cast("binary"), 256)).select("conv", "turn", "role", "text", "tie", F.inline(both)).select("conv", "turn", "tie", "seq", "kind", "role", F.col("added").alias("text"))
+    # ``tie`` and the role order the rows of a repeated turn number; ``copy`` keeps the two events of each of several equal rows together.
+    tied = base.withColumn("tie", F.sha2(F.concat_ws("\x00", F.coalesce("role", F.lit("")), "text").cast("binary"), 256)).withColumn("copy", F.monotonically_increasing_id())
+    return tied.select("conv", "turn", "role", "tie", "copy", F.inline(both)).select("conv", "turn", "tie", "copy", "seq", "kind", "role", F.col("added").alias("text"))
 
 
 class _Fold:
@@ -101,8 +102,8 @@ def segments(events: DataFrame, folds: bool = True) -> DataFrame:
     ``start`` and ``end`` bound the text in the segment, ``masked`` tells whether it counts for the loss. ``folds`` False means the
     log is made of whole turns, which may share a turn number (see ``events_of_turns``).
     """
-    columns = ["conv", "turn", *([] if folds else ["tie"]), "seq"]
-    chosen = events.select(*columns, "kind", "role", "text")
+    columns = ["conv", "turn", *([] if folds else ["tie", "role", "copy"]), "seq"]
+    chosen = events.select(*dict.fromkeys([*columns, "kind", "role", "text"]))
     kind = chosen.schema["conv"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -319,6 +319,17 @@ def test_chat_turns(spark):
     assert chat.digests(chat.segments(log.limit(0), folds=False)).count() == 0
 
 
+def test_repeated_chat_turns_keep_their_texts(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (2, 0, None, "t"), (2, 0, "", "t"), (2, 0, None, "t"), (3, None, "x\x00y", "z"), (3, None, "x", "y\x00z")]
+    log = chat.events_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    turns = collections.defaultdict(list)
+    for r in chat.segments(log, folds=False).orderBy("conv", "number").collect():
+        turns[r.conv].append(chat.parse(r.segment))
+    assert turns == {1: [("user", "q")] + [("assistant", "a")] * 3, 2: [(None, "t"), (None, "t"), ("", "t")], 3: [("x", "y\x00z"), ("x\x00y", "z")]}
+    got = {r.conv: r for r in chat.digests(chat.segments(log, folds=False)).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256(b"user\nq\n" + b"assistant\na\n" * 3).hexdigest() and got[1].n_turns == 4
+
+
 def test_chat_events_fold(spark):
     events = [
         (1, 0, 0, "open", "user", "hi "), (1, 1, 0, "delta", None, "there"), (1, 2, 1, "open", "assistant", None), (1, 3, 1, "delta", None, "first"),
