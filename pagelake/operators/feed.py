@@ -146,7 +146,8 @@ def sample_text(
     Lines that are blank or shorter than ``min_len`` are never drawn. A longer line gives a random
     slice (four times out of five at most half of ``max_len``, if that is at least ``min_len``); a
     blank slice is drawn again. Every row draws ``tries`` lines by hash and takes the first that
-    fits, so no row waits for another.
+    fits, so no row waits for another. If none fits, the first line's slice moves on to the next
+    character that isn't blank, or to the line's first one (or ends with the line, if that is nearer).
     """
     fits = corpus.where((F.length(text) >= min_len) & (F.length(F.replace(text, F.lit(" "))) > 0))
     lines = fits.count() if lines is None else lines
@@ -158,10 +159,16 @@ def sample_text(
     start = hash_int(seed + 1, 0, F.greatest(size - max_len, F.lit(0)), "id", "try")
     short = (hash_uniform(seed + 2, "id", "try") <= 0.8) & F.lit(max_len / 2 >= min_len)
     top = F.when(short, F.lit(max(max_len // 2, min_len))).otherwise(F.lit(max_len))
-    part = F.substring("line", (start + 1).cast("int"), hash_int(seed + 3, min_len, top, "id", "try").cast("int"))
-    cut = drawn.withColumn("text", F.when(size > max_len, part).otherwise(F.col("line")))
-    good = cut.where(F.length(F.replace("text", F.lit(" "))) > 0)
-    return good.groupBy("id").agg(F.min_by("text", "try").alias("text"))
+    long = hash_int(seed + 3, min_len, top, "id", "try").cast("int")
+    part = F.substring("line", (start + 1).cast("int"), long)
+    rest = F.ltrim(F.substring("line", (start + 1).cast("int"), size))
+    inked = size - F.when(F.length(rest) > 0, F.length(rest)).otherwise(F.length(F.ltrim("line")))
+    moved = F.substring("line", (F.least(inked, size - long) + 1).cast("int"), long)
+    cut = drawn.withColumn("text", F.when(size > max_len, part).otherwise(F.col("line"))).withColumn("moved", moved)
+    # Tries that fit come before those that were moved.
+    blank = F.length(F.replace("text", F.lit(" "))) == 0
+    ranked = cut.select("id", F.when(blank, F.col("moved")).otherwise(F.col("text")).alias("text"), F.struct(blank.alias("blank"), "try").alias("rank"))
+    return ranked.groupBy("id").agg(F.min_by("text", "rank").alias("text"))
 
 
 def sample_numbers(

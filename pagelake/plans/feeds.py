@@ -45,8 +45,8 @@ def shuffle_rows_hashed(spark, sf_dir):
 
 @query("sample_text")
 def sample_text(spark, sf_dir):
-    """As many random texts as there are English documents, out of their lines."""
-    docs = fx.table(spark, sf_dir, "documents").where("lang = 'en'")
+    """As many random texts as there are documents, out of the lines of all of them."""
+    docs = fx.table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return E.sample_text(spark, lines, docs.count(), ["doc_id", "pos"], seed=3)
 

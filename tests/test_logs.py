@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators import feed as E
 from pagelake.operators import metrics as M
+from pagelake.plans.catalogue import QUERIES
 from pagelake.streaming import ingest
 from pagelake.streaming import metrics as R
 
@@ -124,6 +125,20 @@ def test_sampled_texts(spark):
     assert numbers.where("value < -3 or value >= 4").count() == 0 and numbers.where("value <> floor(value)").count() > 100
 
 
+def test_sampled_texts_of_blank_runs(spark):
+    for line in ("x" + " " * 5000 + "yz", " " * 5000 + "x", "x" + " " * 5000):
+        corpus = spark.createDataFrame([(0, line)], "n int, line string")
+        texts = [r["text"] for r in E.sample_text(spark, corpus, 200, ["n"], min_len=3, max_len=10, seed=1).collect()]
+        assert len(texts) == 200 and all(3 <= len(t) <= 10 and t.strip() and t in line for t in texts)
+
+
+def test_sampled_texts_of_all_languages(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"{lang} line", lang) for i, lang in enumerate(["en", "de", "fr", None] * 10)], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r["text"] for r in QUERIES["sample_text"](spark, str(tmp_path)).collect()]
+    assert len(got) == 40 and {t.split()[0] for t in got} == {"en", "de", "fr", "None"}
+
+
 def test_ingest_stream(spark, tmp_path):
     corner = ", ".join(f'"{a}{i}": {i}' for i in range(1, 5) for a in "xy")
     for name, x in (("a", ""), ("b", '"x1": -1, ')):
