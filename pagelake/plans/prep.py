@@ -393,10 +393,23 @@ def length_totals(spark, sf_dir):
   FROM documents WHERE source IN ('src1', 'src3')""")
 def sample_store(spark, sf_dir):
     """Write the store, then read two of its datasets back."""
+    return _stored(spark, sf_dir, ["src1", "src3"])
+
+
+@query("sample_store_whole", (), """
+  SELECT source AS dataset, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS sample_id,
+         printf('image-%09d', row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS image_key, text AS label
+  FROM documents""")
+def sample_store_whole(spark, sf_dir):
+    """Write the store, then read all of it back."""
+    return _stored(spark, sf_dir, None)
+
+
+def _stored(spark, sf_dir, selected):
     docs = fx.table(spark, sf_dir, "documents").select(F.col("source").alias("dataset"), "doc_id", F.col("text").alias("label"))
     path = _scratch(spark, "store")
     store.write_samples(docs, path, ["doc_id"])
-    return store.read_samples(spark, path, ["src1", "src3"]).select("dataset", "doc_id", "sample_id", "image_key", "label")
+    return store.read_samples(spark, path, selected).select("dataset", "doc_id", "sample_id", "image_key", "label")
 
 
 @query("merge_stores", ("samples",), """

@@ -22,6 +22,6 @@ def write_samples(df: DataFrame, path: str, order_by: Sequence[str], mode: str =
 
 
 def read_samples(spark: SparkSession, root: str, selected: Sequence[str] | None = None) -> DataFrame:
-    """Samples of the selected datasets; only their folders are read and unreadable files skipped."""
-    rows = spark.read.option("ignoreCorruptFiles", True).parquet(root)
+    """Samples of the selected datasets; only their folders are read. An unreadable file is an error, whatever the session's settings."""
+    rows = spark.read.option("ignoreCorruptFiles", False).option("ignoreMissingFiles", False).parquet(root)
     return rows if selected is None else rows.where(F.col("dataset").isin(*selected))

@@ -4,6 +4,7 @@ import json
 import struct
 import zlib
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -147,3 +148,13 @@ def test_written_annotations(spark, tmp_path):
     A.write_annotations(A.nest_words(words), str(tmp_path / "out"))
     back = spark.read.json(str(tmp_path / "out"))
     assert back.select("split", F.transform("words", lambda w: w["text"]).alias("t")).first() == ("train", ["a", "b"])
+
+
+def test_store_reports_unreadable_files(spark, tmp_path):
+    docs = spark.createDataFrame([(d, i, "t") for d in ("a", "b") for i in range(3)], "dataset string, doc_id long, label string")
+    store.write_samples(docs, str(tmp_path / "s"), ["doc_id"])
+    assert store.read_samples(spark, str(tmp_path / "s")).count() == 6
+    (tmp_path / "s" / "dataset=b" / "part-bad.parquet").write_bytes(b"not a table")
+    assert store.read_samples(spark, str(tmp_path / "s"), ["a"]).count() == 3
+    with pytest.raises(Exception, match="part-bad"):
+        store.read_samples(spark, str(tmp_path / "s")).agg({"label": "max"}).collect()
