@@ -25,6 +25,23 @@ def mix_datasets(spark, sf_dir):
     return out.select("dataset", "sample_id", "cycle", "slot", "position")
 
 
+@query("mix_datasets_whole", ("samples",), """
+  WITH r AS (SELECT dataset, row_number() OVER (ORDER BY dataset) - 1 AS place, (row_number() OVER (ORDER BY dataset) - 1) % 3 + 1 AS ratio FROM (SELECT DISTINCT dataset FROM samples)),
+  n AS (SELECT s.dataset, sample_id, ratio, row_number() OVER (PARTITION BY s.dataset ORDER BY sample_id) - 1 AS n, count(*) OVER (PARTITION BY s.dataset) AS size
+        FROM samples s JOIN r ON r.dataset = s.dataset),
+  o AS (SELECT dataset, coalesce(sum(ratio) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, sum(ratio) OVER () AS width FROM r),
+  t AS (SELECT n.*, off, width, (SELECT max(CAST(ceil(CAST(size AS DOUBLE) / ratio) AS BIGINT)) FROM n) AS cycles FROM n JOIN o ON o.dataset = n.dataset),
+  e AS (SELECT *, unnest(range(0, CAST((cycles * ratio - 1 - n) // size + 1 AS BIGINT))) AS turn FROM t WHERE n < cycles * ratio)
+  SELECT dataset, sample_id, CAST((n + turn * size) // ratio AS BIGINT) AS cycle, CAST(off + (n + turn * size) % ratio AS BIGINT) AS slot,
+         CAST((n + turn * size) // ratio * width + off + (n + turn * size) % ratio AS BIGINT) AS position FROM e""")
+def mix_datasets_whole(spark, sf_dir):
+    """All datasets, with ratios 1, 2, 3, 1, ... in the order of their names."""
+    rows = fx.samples(spark, sf_dir).select("dataset", "sample_id")
+    names = sorted(r.dataset for r in fx.table(spark, sf_dir, "documents").select(F.col("source").alias("dataset")).distinct().collect())
+    out = E.mix_datasets(rows, {name: place % 3 + 1 for place, name in enumerate(names)}, ["sample_id"])
+    return out.select("dataset", "sample_id", "cycle", "slot", "position")
+
+
 @query("batch_ids", ("samples",), """
   SELECT dataset, sample_id, (row_number() OVER (ORDER BY (doc_id * 7919) % 100003, doc_id) - 1) // 64 AS batch_id FROM samples""")
 def batch_ids(spark, sf_dir):

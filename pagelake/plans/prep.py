@@ -545,6 +545,26 @@ def read_vocab(spark, sf_dir):
     return S.read_vocab(spark, path)
 
 
+@query("read_vocab_whole", ("lm_ones",), """
+  SELECT CAST(row_number() OVER (ORDER BY CASE WHEN ch IN (' ', chr(9)) THEN 1 WHEN ch = (SELECT min(ch) FROM lm_ones WHERE ch NOT IN (' ', chr(9))) THEN 0 ELSE 2 END, ch) - 1
+         AS INTEGER) AS idx, ch FROM lm_ones""")
+def read_vocab_whole(spark, sf_dir):
+    """All characters in use, written as one vocabulary file.
+
+    The reader strips the ends of a file, so blanks follow the first other character. A line break is written as backslash and letter;
+    all other lines are single characters.
+    """
+    path = _scratch(spark, "vocab")
+    listed = fx.char_lm(spark, sf_dir)[2].agg(F.array_sort(F.collect_list("ch")).alias("all"))
+    blank = lambda c: c.isin(" ", "\t")
+    inked, blanks = F.filter("all", lambda c: ~blank(c)), F.filter("all", blank)
+    lines = F.concat(F.slice(inked, 1, 1), blanks, F.slice(inked, 2, F.greatest(F.size(inked), F.lit(1))))
+    written = F.transform(lines, lambda c: F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")))
+    listed.select(F.array_join(written, "\n").alias("value")).write.text(path)
+    ch = F.when(F.col("ch") == "\\n", "\n").when(F.col("ch") == "\\r", "\r").otherwise(F.col("ch"))
+    return S.read_vocab(spark, path).select("idx", ch.alias("ch"))
+
+
 @query("read_char_lm", ("lm_bigram", "lm_unigram", "lm_lambda"), """
   SELECT 'bigram' AS kind, pair AS item, round(p, 9) AS p FROM lm_bigram UNION ALL SELECT 'unigram', ch, round(p, 9) FROM lm_unigram
   UNION ALL SELECT 'lambda', ch, weight FROM lm_lambda""")

@@ -107,6 +107,20 @@ def test_mix_restarts_short_datasets(spark):
     ]
 
 
+def test_whole_mix_takes_every_dataset(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"src{i % 7}", "t") for i in range(30)], "doc_id long, source string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["mix_datasets_whole"](spark, str(tmp_path)).collect()
+    assert {r.dataset for r in got} == {f"src{i}" for i in range(7)} and len({(r.dataset, r.sample_id) for r in got}) == 30
+    assert sorted(r.position for r in got) == list(range(len(got)))
+
+
+def test_whole_vocabulary_has_every_character(spark, tmp_path):
+    spark.createDataFrame([(1, "b a\té7#"), (2, "Z\\\n\rß")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [r.ch for r in QUERIES["read_vocab_whole"](spark, str(tmp_path)).orderBy("idx").collect()]
+    assert got == ["\n", "\t", " ", "\r", "#", "7", "Z", "\\", "a", "b", "ß", "é"]
+
+
 def test_split_store(spark):
     df = spark.range(25).toDF("id")
     kept = E.split_store(df, ["id"], 10, max_shards=10, drop_partial=True, name="s")
