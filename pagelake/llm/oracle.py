@@ -117,3 +117,29 @@ SELECT doc_id, size, source_size, target, size * (CAST(first AS INTEGER) + CAST(
        round(CASE WHEN first THEN least(1.0, greatest(0.0, p1)) END, 9) AS first_position, round(CASE WHEN second THEN least(1.0, greatest(0.0, p2)) END, 9) AS second_position
 FROM spots
 """
+
+ORACLES["op12_phrase_collocations"] = r"""
+WITH w AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM w),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+places AS (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM p, range(1, 6) s(size)),
+f AS (SELECT lang, list_slice(words, i, i + size - 1) AS g, any_value(size) AS size, count(*) AS f FROM places GROUP BY lang, g),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+often AS (SELECT * FROM f WHERE f >= 100),
+inner_parts AS (
+  SELECT lang, list_slice(g, 1, size - 1) AS g, f FROM often WHERE size > 2 UNION ALL SELECT lang, list_slice(g, 2, size) AS g, f FROM often WHERE size > 2),
+covered AS (SELECT lang, g, max(f) AS covering FROM inner_parts GROUP BY ALL),
+c AS (SELECT often.* FROM often LEFT JOIN covered USING (lang, g) WHERE size > 1 AND (covering IS NULL OR 100 * covering < 100 * f)),
+cuts AS (SELECT lang, g, size, f AS a, unnest(range(1, size)) AS k FROM c),
+scored AS (
+  SELECT c.lang, c.g, c.a, x.f AS l, y.f AS r, n.n, c.k, (c.a::HUGEINT * n.n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, c.k) JOIN often y ON y.lang = c.lang AND y.g = list_slice(c.g, c.k + 1, c.size)
+  JOIN n ON n.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+       CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import chat, decontamination, jaccard, lm, mixing, rules, runs, sharding, toxicity, warc, weak
+from pagelake.llm import chat, decontamination, jaccard, lm, mixing, phrases, rules, runs, sharding, toxicity, warc, weak
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 24
@@ -105,3 +105,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-F.col("top.period")).alias("period"), F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

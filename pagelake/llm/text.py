@@ -44,8 +44,8 @@ class WordHasher:
         self.powers = np.cumprod(np.full(n, _MULTIPLIER, np.uint64))
         self.inverses = np.cumprod(np.full(n, _INVERSE, np.uint64))
 
-    def _chunk(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of a chunk's words, and where they start."""
+    def spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words of a stretch of bytes, where they start and where they end."""
         raw = np.frombuffer(data, np.uint8)
         if len(raw) > len(self.powers):
             self._powers(len(raw))
@@ -56,7 +56,11 @@ class WordHasher:
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(self.values[raw] * self.powers[: len(raw)], out=sums[1:])
         hashes = (sums[ends] - sums[starts]) * self.inverses[starts]
-        return mix(hashes + (ends - starts).astype(np.uint64)), starts
+        return mix(hashes + (ends - starts).astype(np.uint64)), starts, ends
+
+    def _chunk(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of a chunk's words, and where they start."""
+        return self.spans(data)[:2]
 
     def each(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """The word hashes of every text, in order; a null is an empty text."""
@@ -68,7 +72,7 @@ class WordHasher:
                 yield from self._group(group)
                 group, size = [], 0
             if len(text) > _CHUNK:
-                yield np.concatenate([self._chunk(piece)[0] for piece in _pieces(text)])
+                yield np.concatenate([self._chunk(piece)[0] for piece in pieces(text)])
             else:
                 group.append(text)
                 size += len(text) + 1
@@ -86,7 +90,7 @@ class WordHasher:
         return self._chunk(b" ".join(words))[0]
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
+def pieces(text: bytes) -> Iterator[bytes]:
     """A long text in pieces cut at blanks."""
     since = 0
     while since < len(text):
