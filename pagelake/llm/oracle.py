@@ -143,3 +143,16 @@ ranked AS (
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
        CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
 """
+
+ORACLES["op13_embedding_near_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (
+  SELECT r, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS x, b.r AS y FROM fine a JOIN fine b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT r AS x, r AS y FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+least AS (SELECT reach.x AS r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.y GROUP BY reach.x),
+n AS (SELECT x AS r, count(*) AS n FROM links GROUP BY x)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least.component_id, v.vec_id IS NOT DISTINCT FROM least.component_id AS kept
+FROM v LEFT JOIN n USING (r) JOIN least USING (r)
+"""
