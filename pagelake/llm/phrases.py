@@ -25,6 +25,7 @@ from pagelake.session import materialise
 LONGEST, LEAST, TOP = 5, 100, 2000
 STOPS = b".,;:!?\x0a\x0b\x0c\x0d"  # what parts a text into pieces; blanks and tabs part words
 FILTER_BITS = 27
+QUOTIENT_BITS = 14  # a filter is at most so many rows, whatever the corpus: rows grow with the input alone
 _LOWER = bytes(0x0A if b in STOPS else b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 _IS_STOP = np.array([b in STOPS for b in range(256)], np.int64)
 _CHUNK = 1 << 20
@@ -206,12 +207,10 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     bits = number_bits(words)
     width = bits // 8
-    tokens = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-    quotient_bits = min(max(8, (tokens >> 13).bit_length() // 8 * 8), bits - 8)
     grams = [materialise(frequent_words(words, bits, least), "grams1")]
     for size in range(2, longest + 1):
         shared = spark.sparkContext.broadcast(bitmap(grams[-1], filter_bits))
-        grams.append(materialise(count_grams(docs, lang_col, text_col, size, bits, quotient_bits, shared, least, filter_bits), f"grams{size}"))
+        grams.append(materialise(count_grams(docs, lang_col, text_col, size, bits, min(QUOTIENT_BITS, bits - 8), shared, least, filter_bits), f"grams{size}"))
         shared.destroy()
     counted = grams[0].select("key", "f")
     for more in grams[1:]:
