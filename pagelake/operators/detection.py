@@ -427,13 +427,23 @@ def detection_eval_per_image(
     detection scores the share it contains of the characters of its words. ``empty="one"`` gives
     an image without care words recall 1 and precision 1 or 0; ``"zero"`` gives the plain ratio.
     """
-    if empty not in ("one", "zero"):
-        raise ValueError(f"unknown rule {empty}")
     words = _words_of(gt)
     matches, dets = _matches(words, det, r, p, centre, det_pivot, cell)
     inside = materialise(
         chars_in_detections(matches).select(*_IMAGE, "word_idx", "det_idx", "n_chars", "inside"), "chars"
     )
+    counts = (
+        words.select("image_id", (~F.col("dc")).cast("long").alias("g"), F.lit(0).alias("d"))
+        .unionByName(dets.select("image_id", F.lit(0).cast("long").alias("g"), (~F.col("det_dc")).cast("int").alias("d")))
+        .groupBy(*_IMAGE).agg(F.sum("g").alias("n_gt"), F.sum("d").alias("n_det"))
+    )
+    return rates_per_image(inside, counts, empty)
+
+
+def rates_per_image(inside: DataFrame, counts: DataFrame, empty: str) -> DataFrame:
+    """Rates from matched pairs (image_id, word_idx, det_idx, n_chars, inside) and counts (image_id, n_gt, n_det)."""
+    if empty not in ("one", "zero"):
+        raise ValueError(f"unknown rule {empty}")
     once = (
         inside.select(*_GT, "n_chars", F.explode("inside").alias("c"))
         .groupBy(*_GT, "n_chars", "c").agg(F.count(F.lit(1)).alias("k"))
@@ -445,11 +455,6 @@ def detection_eval_per_image(
         .agg(F.sum(F.size("inside")).alias("held"), F.sum("n_chars").alias("total"))
         .groupBy(*_IMAGE).agg(F.sum(_ratio("held", "total")).alias("precision_sum"))
     )
-    counts = (
-        words.select("image_id", (~F.col("dc")).cast("long").alias("g"), F.lit(0).alias("d"))
-        .unionByName(dets.select("image_id", F.lit(0).cast("long").alias("g"), (~F.col("det_dc")).cast("int").alias("d")))
-        .groupBy(*_IMAGE).agg(F.sum("g").alias("n_gt"), F.sum("d").alias("n_det"))
-    )
     per = counts.join(once, _IMAGE, "left").join(held, _IMAGE, "left").fillna(0.0, ["recall_sum", "precision_sum"])
     recall, precision = _ratio("recall_sum", "n_gt"), _ratio("precision_sum", "n_det")
     if empty == "one":

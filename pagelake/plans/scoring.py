@@ -9,10 +9,12 @@ from pagelake.functions import text as X
 from pagelake.operators import detection as D
 from pagelake.operators import filters as P
 from pagelake.operators import joins as J
+from pagelake.operators import quads as Q
 from pagelake.operators import recognition as R
 from pagelake.plans import fixtures as fx
-from pagelake.plans.oracle import cte
+from pagelake.plans.oracle import CTES, cte
 from pagelake.plans.registry import query
+from pagelake.session import materialise
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -376,3 +378,101 @@ def quad_overlap_pairs(spark, sf_dir):
     gt, det = _sides(spark, sf_dir)
     out = pairs(turned(gt, "word_idx"), turned(det, "det_idx"), truncate=False).where("inter > 0.001")
     return out.select("image_id", "word_idx", "det_idx", _r("inter", 3))
+
+
+# ---- slanted text ----------------------------------------------------------------------------
+
+# Both sides turned and stretched by the triangle 3, 4, 5, so that corners stay whole numbers: areas grow by 25, lengths by 5, and rates
+# stay those of the upright boxes. No turned word counts as tall, so its characters run along its first side.
+# A vector of length zero points along the turned page's x axis, which is (3, -4) on the upright one.
+_TURNED_BENDS = """
+  SELECT DISTINCT i.image_id, i.{key} FROM ev_pairs i JOIN ev_pairs k ON i.image_id = k.image_id AND i.{key} = k.{key} AND i.{member} <> k.{member},
+    LATERAL (SELECT {vx} AS vx0, {vy} AS vy0, {ux} AS ux0, {uy} AS uy0) d,
+    LATERAL (SELECT CASE WHEN vx0 = 0 AND vy0 = 0 THEN 3 ELSE vx0 END AS vx, CASE WHEN vx0 = 0 AND vy0 = 0 THEN -4 ELSE vy0 END AS vy,
+             CASE WHEN ux0 = 0 AND uy0 = 0 THEN 3 ELSE ux0 END AS ux, CASE WHEN ux0 = 0 AND uy0 = 0 THEN -4 ELSE uy0 END AS uy) e
+  WHERE i.{hit} AND NOT i.det_dc AND k.{hit} AND NOT k.det_dc AND abs(ux * vy - uy * vx) >= abs(ux * vx + uy * vy)"""
+cte("turned_bent_gt", _TURNED_BENDS.format(
+    key="word_idx", member="det_idx", hit="hit_p", vx="(i.dx0 + i.dx1 - k.dx0 - k.dx1) / 2.0", vy="(i.dy0 + i.dy1 - k.dy0 - k.dy1) / 2.0",
+    ux="(i.dx0 + i.dx1 - k.dx0 - k.dx1) / 2.0", uy="i.dy1 - (k.dy0 + k.dy1) / 2.0"), ("ev_pairs",))
+cte("turned_bent_det", _TURNED_BENDS.format(
+    key="det_idx", member="word_idx", hit="hit_r", vx="(i.gx0 + i.gx1 - k.gx0 - k.gx1) / 2.0", vy="(i.gy0 + i.gy1 - k.gy0 - k.gy1) / 2.0",
+    ux="i.gx0 - (k.gx0 + k.gx1) / 2.0", uy="(i.gy0 + i.gy1 - k.gy0 - k.gy1) / 2.0"), ("ev_pairs",))
+cte("turned_matches", CTES["matches"][1].replace("ev_bent_", "turned_bent_"), ("turned_bent_gt", "turned_bent_det"))
+cte("turned_chars", """
+  SELECT image_id, word_idx, det_idx, n_chars, c, x >= dx0 AND x <= dx1 AND y >= dy0 AND y <= dy1 AS inside FROM (
+    SELECT m.*, c, gx0 + (gx1 - gx0) * ((c + 0.5) / n_chars) AS x, (gy0 + gy1) / 2.0 AS y
+    FROM (SELECT *, unnest(range(0, n_chars)) AS c FROM turned_matches) m)""", ("turned_matches",))
+cte("turned_image", """
+  SELECT c.image_id, n_gt, n_det, coalesce(recall_sum, 0) AS recall_sum, coalesce(precision_sum, 0) AS precision_sum
+  FROM (SELECT image_id, CAST(sum(g) AS BIGINT) AS n_gt, CAST(sum(d) AS BIGINT) AS n_det FROM (
+          SELECT image_id, CASE WHEN text <> '###' THEN 1 ELSE 0 END AS g, 0 AS d FROM gt_eval
+          UNION ALL SELECT image_id, 0, CASE WHEN det_dc THEN 0 ELSE 1 END FROM dets) GROUP BY image_id) c
+  LEFT JOIN (SELECT image_id, sum(CAST(once AS DOUBLE) / n_chars) AS recall_sum FROM (
+               SELECT image_id, word_idx, n_chars, count(*) FILTER (k = 1) AS once FROM (
+                 SELECT image_id, word_idx, n_chars, c, count(*) FILTER (inside) AS k FROM turned_chars GROUP BY ALL)
+               GROUP BY ALL) GROUP BY image_id) r ON r.image_id = c.image_id
+  LEFT JOIN (SELECT image_id, sum(CAST(held AS DOUBLE) / total) AS precision_sum FROM (
+               SELECT image_id, det_idx, count(*) FILTER (inside) AS held, count(*) AS total FROM turned_chars GROUP BY ALL)
+             GROUP BY image_id) p ON p.image_id = c.image_id""", ("turned_chars", "gt_eval", "dets"))
+_TURNED_CELL = 1024
+
+
+def _turned(df, *others: str, corners: str):
+    """Quads of turned boxes; ``corners`` names the order, b for low and t for high values of x and y."""
+    ends = {"x": {"b": F.col("xmin"), "t": F.col("xmax")}, "y": {"b": F.col("ymin"), "t": F.col("ymax")}}
+    cols = []
+    for k, (x, y) in enumerate(((ends["x"][c[0]], ends["y"][c[1]]) for c in corners.split()), 1):
+        cols += [(3 * x - 4 * y).alias(f"x{k}"), (4 * x + 3 * y).alias(f"y{k}")]
+    return df.select("image_id", *others, *cols)
+
+
+def _turned_sides(spark, sf_dir):
+    gt, det = _sides(spark, sf_dir)
+    # The pivot of a detection lies on the side between its first and last corner: the lower one, as in the upright scoring.
+    return materialise(_turned(gt, "word_idx", "text", corners="bb tb tt bt"), "turned_gt"), materialise(_turned(det, "det_idx", corners="bt bb tb tt"), "turned_det")
+
+
+@query("detection_eval_quads_per_image", ("turned_image",), f"""
+  SELECT image_id, n_gt, n_det, round(recall, 6) AS recall, round(precision, 6) AS precision, round(hmean, 6) AS hmean
+  FROM ({_RATES.format(**_ONE).replace("FROM per_image", "FROM turned_image")})""")
+def detection_eval_quads_per_image(spark, sf_dir):
+    out = Q.detection_eval_quads_per_image(*_turned_sides(spark, sf_dir), cell=_TURNED_CELL)
+    return out.select("image_id", "n_gt", "n_det", _r("recall"), _r("precision"), _r("hmean"))
+
+
+@query("detection_eval_quads_micro", ("turned_image",), """
+  SELECT round(recall, 6) AS recall, round(precision, 6) AS precision,
+         round(CASE WHEN recall + precision = 0 THEN 0.0 ELSE 2.0 * precision * recall / (precision + recall) END, 6) AS hmean
+  FROM (SELECT coalesce(sum(recall_sum) / nullif(sum(n_gt), 0), 0) AS recall,
+               coalesce(sum(precision_sum) / nullif(sum(n_det), 0), 0) AS precision FROM turned_image)""")
+def detection_eval_quads_micro(spark, sf_dir):
+    out = D.detection_eval_micro(Q.detection_eval_quads_per_image(*_turned_sides(spark, sf_dir), cell=_TURNED_CELL))
+    return out.select(_r("recall"), _r("precision"), _r("hmean"))
+
+
+@query("match_quads", ("turned_matches",), "SELECT image_id, word_idx, det_idx, one_to_one, one_to_many, many_to_one FROM turned_matches")
+def match_quads(spark, sf_dir):
+    matches = Q.detection_matches_quads(*_turned_sides(spark, sf_dir), cell=_TURNED_CELL)[0]
+    return matches.select("image_id", "word_idx", "det_idx", "one_to_one", "one_to_many", "many_to_one")
+
+
+@query("chars_in_quads", ("turned_chars",), """
+  SELECT image_id, word_idx, det_idx, array_to_string(list(c ORDER BY c) FILTER (inside), ',') AS places, count(*) AS total FROM turned_chars GROUP BY ALL""")
+def chars_in_quads(spark, sf_dir):
+    held = Q.detection_matches_quads(*_turned_sides(spark, sf_dir), cell=_TURNED_CELL)[0]
+    places = F.when(F.size("inside") > 0, F.array_join(F.col("inside").cast("array<string>"), ","))
+    return held.select("image_id", "word_idx", "det_idx", places.alias("places"), F.col("n_chars").cast("long").alias("total"))
+
+
+@query("subtract_dont_care_quads", ("rg_areas",), """
+  SELECT image_id, a AS det_idx, 25 * area AS area, 25 * (3 * twice_mx - 4 * twice_my) AS twice_mx, 25 * (4 * twice_mx + 3 * twice_my) AS twice_my
+  FROM rg_areas WHERE a >= 0 AND b = -1""")
+def subtract_dont_care_quads(spark, sf_dir):
+    lost = Q.subtract_dont_care_quads(*_turned_sides(spark, sf_dir), cell=_TURNED_CELL)[1]
+    return lost.select("image_id", "det_idx", F.rint("area").cast("long").alias("area"), F.rint(F.col("mx") * 2).cast("long").alias("twice_mx"), F.rint(F.col("my") * 2).cast("long").alias("twice_my"))
+
+
+@query("dont_care_pairs_quads", ("dc_pairs",), "SELECT image_id, det_idx, word_idx, 25 * inter AS inter, 25 * dc_area AS dc_area FROM dc_pairs")
+def dont_care_pairs_quads(spark, sf_dir):
+    pairs = Q.subtract_dont_care_quads(*_turned_sides(spark, sf_dir), cell=_TURNED_CELL)[0]
+    return pairs.select("image_id", "det_idx", "word_idx", F.rint("inter").cast("long").alias("inter"), F.rint("dc_area").cast("long").alias("dc_area"))
