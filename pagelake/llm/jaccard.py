@@ -13,9 +13,11 @@ token's frequency from above, so a rare token's group has a bounded size. The co
 the same result. Signatures only propose; every link is verified on the whole sets.
 
 Links are looked for in rounds. First each signature proposes a star around one member, then, for members that are not yet
-connected, a star around another one, and at last members in different components against each other, where a comparison of
-bitmaps leaves few pairs to verify. Pairs inside a component need no check, so copies by the thousand cost a few checks each, and
-no component can be missed.
+connected, a star around another one, and then members in different components against each other, where a comparison of
+bitmaps leaves few pairs. Of these a block of members proposes a forest only: pairs that would connect what is not yet connected. The next
+round goes on with the signatures that held pairs back and still have members in different components, until there are none: what is
+held back is either inside a component by then, or proposed. Pairs inside a component need no check, so copies by the thousand cost a few
+checks each, and no component can be missed.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelake.llm.phrases import bitmap
 from pagelake.llm.text import LOWER, WordHasher, mix, rolling
 from pagelake.operators.graph import connected_components
 from pagelake.session import materialise
@@ -37,13 +41,12 @@ THRESHOLD = 80  # per cent
 COUNTER_BITS = 22
 PARITY_BITS = 1024
 _PARTS = 64
-_BROADCAST_NODES = 4_000_000
-_SEEN = 1_000_000
+_SEEN_BITS = 18  # a task's memory of the sets it has given out
+_NODE_BITS = 27  # a bitmap of the nodes that are looked for
 _LEAST_BAND = 5  # sets below 2^5 tokens take single tokens throughout
 _TOKENS_PER_HUB = 2_000_000
 _SALTS = 1024
 _TILE = 2048
-_COMPARISONS = 50_000_000  # a task, about
 
 
 def shingles(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
@@ -70,6 +73,20 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
+class _Seen:
+    """The last nodes of a task, one for each value of some bits: tells most repetitions, in fixed memory."""
+
+    def __init__(self):
+        self.nodes = np.zeros(1 << _SEEN_BITS, np.int64)
+
+    def again(self, node: int) -> bool:
+        place = node & ((1 << _SEEN_BITS) - 1)
+        if self.nodes[place] == node:
+            return True
+        self.nodes[place] = node
+        return False
+
+
 def least_overlap(n: int, threshold: int) -> int:
     """The least number of own tokens that any partner must share."""
     return -(-n * threshold // 100)
@@ -169,22 +186,19 @@ def frequent_above(counters: np.ndarray) -> int:
     return int(mean + 6 * mean**0.5 + 16)
 
 
-def signature_rows(docs: DataFrame, text_col: str, counters: np.ndarray, threshold: int) -> DataFrame:
-    """Rows (sig, node, hot), once for each set and task. ``hot`` signatures may have groups of any size, others not."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters)
-    shift, limit = np.uint64(65 - len(counters).bit_length()), frequent_above(counters)
+def signature_rows(docs: DataFrame, text_col: str, shared: Broadcast, threshold: int) -> DataFrame:
+    """Rows (sig, node, hot), about once for each set and task; ``shared`` holds the counters. ``hot`` signatures may have groups of any size, others not."""
+    shift, limit = np.uint64(65 - len(shared.value).bit_length()), frequent_above(shared.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, counted = WordHasher(LOWER), set(), shared.value
+        hasher, seen, counted = WordHasher(LOWER), _Seen(), shared.value
         for batch in batches:
             sigs, nodes, hot, size = [], [], [], 0
             for hashes in hasher.each(batch["text"].to_pylist()):
                 tokens = shingles(hashes)
                 node = node_of(tokens)
-                if not len(tokens) or node in seen:
+                if not len(tokens) or seen.again(node):
                     continue
-                if len(seen) < _SEEN:
-                    seen.add(node)
                 for kind, own in enumerate(signatures(tokens, counted[(tokens >> shift).astype(np.int64)], limit, threshold)):
                     sigs.append(own)
                     nodes.append(np.full(len(own), node, np.int64))
@@ -221,28 +235,20 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
 def token_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """Rows (node, tokens) of the wanted nodes, each once.
 
-    Up to a fixed number of wanted nodes their names are broadcast and other texts end in the task; beyond, all sets are
-    shuffled to a semi join.
+    A bitmap of fixed size over the wanted nodes ends most other texts in their task; a semi join does the rest.
     """
-    spark = docs.sparkSession
-    few = wanted.count() <= _BROADCAST_NODES
-    names = spark.sparkContext.broadcast(np.sort(np.array([r.node for r in wanted.select("node").toLocalIterator()], np.int64))) if few else None
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("node").alias("hash")), _NODE_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = WordHasher(LOWER), set()
+        hasher, seen, bits = WordHasher(LOWER), _Seen(), shared.value
         for batch in batches:
             nodes, sets, size = [], [], 0
             for hashes in hasher.each(batch["text"].to_pylist()):
                 tokens = shingles(hashes)
                 node = node_of(tokens)
-                if not len(tokens) or node in seen:
+                place = (node & (2**64 - 1)) >> (64 - _NODE_BITS)
+                if not len(tokens) or not int(bits[place >> 6]) >> (place & 63) & 1 or seen.again(node):
                     continue
-                if names is not None:
-                    at = int(np.searchsorted(names.value, node))
-                    if at == len(names.value) or names.value[at] != node:
-                        continue
-                if len(seen) < _SEEN:
-                    seen.add(node)
                 nodes.append(node)
                 sets.append(tokens.view(np.int64))
                 size += len(tokens)
@@ -253,9 +259,9 @@ def token_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                 yield _set_batch(nodes, sets)
 
     sets = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "node long, tokens array<long>")
-    if not few:
-        sets = sets.join(wanted.select("node"), "node", "left_semi")
-    return materialise(sets.dropDuplicates(["node"]), "sets")
+    found = materialise(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    shared.destroy()
+    return found
 
 
 def _set_batch(nodes: list, sets: list) -> pa.RecordBatch:
@@ -285,8 +291,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     described = materialise(describe(docs, id_col, text_col), "described")
     about = described.where("part IS NULL").select("id", "node", "n")
-    counters = token_counters(described)
+    counters = docs.sparkSession.sparkContext.broadcast(token_counters(described))
     shared = materialise(shared_signatures(signature_rows(docs, text_col, counters, threshold)), "found")
+    counters.destroy()
     sized = described.where("node IS NOT NULL").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.first("parity").alias("parity"))
     nodes = materialise(sized, "nodes")
 
@@ -300,73 +307,95 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return few.join(sides[0], "a").join(sides[1], "b").where(fits).select("a", "b")
 
     shared = materialise(shared.join(nodes.select("node", "n"), "node"), "shared")
-    links, roots, sets = None, nodes.select("node", F.col("node").alias("root")), None
-    tested = None
-    for pick in (F.min, F.max, None):
+    roots, sets, tested, turn = nodes.select("node", F.col("node").alias("root")), None, None, 0
+    while True:
         placed = shared.join(roots, "node")
-        if pick is None:
-            # What is still open: members of one signature in different components, against each other.
-            mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("sig", "lo", "members")
-            pairs = close_in_blocks(placed.join(mixed, "sig").join(nodes.select("node", "parity"), "node"), threshold).distinct()
-        else:
+        if turn < 2:
+            pick = (F.min, F.max)[turn]
             hubs = placed.groupBy("sig").agg(pick(F.struct("node", "n", "root")).alias("hub")).select("sig", "hub.*")
             hubs = hubs.select("sig", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"))
             pairs = proposals(placed.join(hubs, "sig").where("root <> its"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        else:
+            # What is still open: members of one signature in different components, against each other.
+            mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("sig", "members")
+            refused = tested.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
+            members = placed.join(mixed, "sig").join(nodes.select("node", "parity"), "node").join(refused, "node", "left")
+            found = materialise(close_in_blocks(members, threshold, 4 ** (turn - 2) - 1), "blocks")
+            pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
+            shared = shared.join(found.where("a IS NULL").select("sig").distinct(), "sig", "left_semi")
         pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("node"), "node", "left_anti")
-        more = token_sets(docs, text_col, materialise(wanted, "wanted"))
-        sets = more if sets is None else sets.unionByName(more)
-        found = verified(pairs, sets, threshold)
-        links = materialise(found if links is None else links.unionByName(found), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        connected = connected_components(links)
-        roots = materialise(nodes.select("node").join(connected, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
-    return about, roots
-
-
-def close_in_blocks(members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of members of one signature and of different components whose sizes and parities allow a link.
-
-    ``members``: rows (sig, lo, members, node, n, root, parity). Members are dealt to tiles of bounded size and compared tile by tile,
-    bit by bit in numpy, so no pair becomes a row but those that pass. Signatures with one least root ``lo`` have much the same
-    members: their blocks go to as few tasks as their comparisons allow, and a task gives a pair once.
+        if not pairs.isEmpty():
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            if sets is not None:
+                wanted = wanted.join(sets.select("node"), "node", "left_anti")
+            more = token_sets(docs, text_col, materialise(wanted, "wanted"))
+            sets = more if sets is None else sets.unionByName(more)
+            links = verified(pairs, sets, threshold)
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            # Components of components: the new links between their roots.
+            ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+            joined = connected_components(links.join(ends[0], "a").join(ends[1], "b"), "root_a", "root_b")
+            joined = joined.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            roots = materialise(roots.join(joined, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+        elif turn >= 2:
+            return about, roots
+        if tested is None:
+            tested = materialise(pairs, "tested")
+        turn += 1
+
+
+def close_in_blocks(members: DataFrame, threshold: int, extra: int) -> DataFrame:
+    """Pairs (a, b) of members of one signature and of different components whose sizes and parities allow a link; a row of nulls and the
+    signature (sig) for a block that holds such pairs back.
+
+    ``members``: rows (sig, members, node, n, root, parity, refused). Members are dealt to tiles of bounded size and compared tile by tile,
+    bit by bit in numpy. A block gives out the pairs that connect components it has not connected yet, and ``extra`` more a member;
+    ``refused`` lists partners with greater names that were tried before.
     """
-    work = members.groupBy("sig", "lo").agg(F.first("members").cast("double").alias("members")).groupBy("lo").agg(F.sum(F.col("members") * F.col("members")).alias("work"))
     tiles = F.ceil(F.col("members") / F.lit(_TILE)).cast("int")
     dealt = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # Tile i meets every tile j; the lower one of the two comes first in the block's name.
     blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     blocks = blocks.withColumn("block", F.xxhash64("sig", F.least("tile", "other"), F.greatest("tile", "other")))
-    blocks = blocks.join(work, "lo").withColumn("task", F.xxhash64("lo", F.pmod("block", F.ceil(F.col("work") / F.lit(_COMPARISONS)))))
-    blocks = blocks.select("task", "block", "node", "n", "root", "parity")
+    blocks = blocks.select("block", "sig", "node", "n", "root", "parity", "refused")
+
+    def compared(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        nodes, n, roots = (whole[c].to_numpy() for c in ("node", "n", "root"))
+        bits = whole["parity"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(nodes), -1)
+        tried = {int(a): set(b) for a, b in zip(nodes, whole["refused"].to_pylist()) if b}
+        joined = np.unique(roots, return_inverse=True)[1]
+        found, held = [], False
+        for i in range(len(nodes) - 1):
+            open_ones = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
+            both, least = n[open_ones] + n[i], np.minimum(n[open_ones], n[i])
+            open_ones = open_ones[100 * least >= threshold * (both - least)]
+            if not len(open_ones):
+                continue
+            both = n[open_ones] + n[i]
+            differ = np.bitwise_count(bits[open_ones] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = open_ones[(100 + threshold) * (both - differ) >= 2 * threshold * both]
+            if int(nodes[i]) in tried:
+                near = near[[int(nodes[j]) not in tried[int(nodes[i])] for j in near]]
+            left = extra
+            for j in near.tolist():
+                if joined[j] != joined[i]:
+                    joined[joined == joined[j]] = joined[i]
+                elif left:
+                    left -= 1
+                else:
+                    held = True
+                    if (joined[near] == joined[i]).all():
+                        break
+                    continue
+                found.append((int(nodes[i]), int(nodes[j])))
+        sig = whole["sig"][0].as_py()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in found] + [None] * held, pa.int64()), pa.array([x[1] for x in found] + [None] * held, pa.int64()), pa.array([sig] * (len(found) + held), pa.int64())], ["a", "b", "sig"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-
-        def compared(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            whole = pa.Table.from_batches(rows).combine_chunks()
-            nodes, n, roots = (whole[c].to_numpy() for c in ("node", "n", "root"))
-            bits = whole["parity"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(nodes), -1)
-            found = []
-            for i in range(len(nodes) - 1):
-                differ = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                both = n[i + 1 :] + n[i]
-                fits = ((100 + threshold) * (both - differ) >= 2 * threshold * both) & (roots[i + 1 :] != roots[i]) & (nodes[i + 1 :] != nodes[i])
-                fits &= 100 * np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])
-                for other in nodes[i + 1 :][fits].tolist():
-                    pair = (min(int(nodes[i]), other), max(int(nodes[i]), other))
-                    if pair not in seen:
-                        if len(seen) < _SEEN:
-                            seen.add(pair)
-                        found.append(pair)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
         at, waiting = None, []
         for batch in batches:
             edges = [0, *(np.flatnonzero(np.diff(batch["block"].to_numpy())) + 1).tolist(), batch.num_rows]
@@ -382,7 +411,8 @@ def close_in_blocks(members: DataFrame, threshold: int) -> DataFrame:
         if waiting:
             yield compared(waiting)
 
-    return blocks.repartition("task").sortWithinPartitions("task", "block").mapInArrow(run, "a long, b long")
+    # In order of names, so that blocks of the same members propose the same pairs.
+    return blocks.repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "a long, b long, sig long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:

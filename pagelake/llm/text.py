@@ -17,7 +17,7 @@ PLAIN = bytes(range(256))
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
