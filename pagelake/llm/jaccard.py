@@ -306,7 +306,10 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fits = (100 + threshold) * (F.col("na") + F.col("nb") - differ) >= 2 * threshold * (F.col("na") + F.col("nb"))
         return few.join(sides[0], "a").join(sides[1], "b").where(fits).select("a", "b")
 
-    shared = materialise(shared.join(nodes.select("node", "n"), "node"), "shared")
+    # Signatures of the same members ask the same questions: one of them stays.
+    members = shared.groupBy("sig").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    kept = members.groupBy("members", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    shared = materialise(shared.join(kept, "sig", "left_semi").join(nodes.select("node", "n"), "node"), "shared")
     roots, sets, tested, turn = nodes.select("node", F.col("node").alias("root")), None, None, 0
     while True:
         placed = shared.join(roots, "node")

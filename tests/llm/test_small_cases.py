@@ -120,10 +120,9 @@ def test_similar_documents(spark, docs, none, monkeypatch):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 5, 6, 7, 8, 9, None], key=repr)
-    # Large groups whose pairs are near the threshold, with every token frequent, and small tiles and tasks.
+    # Large groups whose pairs are near the threshold, with every token frequent, and small tiles.
     monkeypatch.setattr(jaccard, "frequent_above", lambda counters: 3)
     monkeypatch.setattr(jaccard, "_TILE", 8)
-    monkeypatch.setattr(jaccard, "_COMPARISONS", 500)
     rng = np.random.default_rng(4)
     rows = []
     for size in (20, 45, 140, 300):
