@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ESCAPE = re.compile(r"[\\<#]")
@@ -27,6 +27,7 @@ _ROLE = {"\\": "\\\\", ">": "\\>", "\n": "\\n"}
 _CLOSE = "</turn>\n"
 _NO_ROLE = "\\N"
 LOSS_ROLE = "assistant"
+PIECES = 4
 
 
 def escape(text: str) -> str:
@@ -74,6 +75,38 @@ def events_of_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     return tied.select("conv", "turn", "role", "tie", "copy", F.inline(both)).select("conv", "turn", "tie", "copy", "seq", "kind", "role", F.col("added").alias("text"))
 
 
+def log_of_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """A log as a chat service would have kept it while these turns came about, for ``segments`` to fold back into them.
+
+    Every text is streamed in up to ``PIECES`` deltas. A ``LOSS_ROLE`` answer is a regenerated one: half of its text was streamed
+    first, and somebody had already answered that draft. A user's message was edited after it was sent, and a further
+    message after it was taken back. Turns stand by number, null first, then by role (null first) and text; rows of one number
+    are turns of their own, equal rows too, and a null text is empty. Sequence numbers grow with the turns of a conversation; turn
+    numbers in the log are even for turns that stay, odd for those that the fold must undo. Other columns are not read. An
+    empty table gives no events.
+    """
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), body.alias("text"))
+    place = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "text")
+    numbered = base.withColumn("n", F.row_number().over(place).cast("long"))
+    width = F.greatest(F.ceil(F.length("text") / PIECES), F.lit(1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(F.col("text"), i * F.col("width") + 1, F.col("width")))
+
+    def event(kind: str, text=None, role=None, after: int = 0) -> Column:
+        """``after`` 1 is the turn behind this one."""
+        none = F.lit(None).cast("string")
+        return F.struct((2 * F.col("n") + after).alias("turn"), F.lit(kind).alias("kind"), (none if role is None else role).alias("role"), (none if text is None else text).alias("text"))
+
+    streamed = F.transform("pieces", lambda piece: event("delta", piece))
+    opened = F.array(event("open", role=F.col("role")))
+    draft = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    redone = F.concat(opened, F.array(event("delta", draft), event("open", F.lit("to the draft"), F.lit("user"), 1), event("regenerate")), streamed)
+    edited = F.concat(opened, F.array(event("delta", F.lit("as sent")), event("edit", F.lit(""))), streamed, F.array(event("open", F.lit("taken back"), F.lit("user"), 1), event("drop", after=1)))
+    events = F.when(F.col("role") == LOSS_ROLE, redone).when(F.col("role") == "user", edited).otherwise(F.concat(opened, streamed))
+    listed = numbered.withColumn("width", width).withColumn("pieces", F.filter(pieces, lambda piece: piece != "")).select("conv", "n", F.posexplode(events))
+    return listed.select("conv", (F.col("n") * 16 + F.col("pos")).alias("seq"), "col.turn", "col.kind", "col.role", "col.text")
+
+
 class _Fold:
     """One turn as its events arrive in order."""
 

@@ -82,8 +82,8 @@ def op9_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    log = chat.events_of_turns(turns.withColumn("conv_id", F.col("conv_id").cast("long")).unionByName(own))
-    return chat.digests(chat.segments(log, folds=False)).withColumnRenamed("conv", "conv_id")
+    log = chat.log_of_turns(turns.withColumn("conv_id", F.col("conv_id").cast("long")).unionByName(own))
+    return chat.digests(chat.segments(log)).withColumnRenamed("conv", "conv_id")
 
 
 @query
