@@ -3,7 +3,8 @@
 The folder is a URI that pyarrow can open (file, hdfs, s3, gs), normally below ``spark.checkpoint.dir``. A task writes under a
 fresh name and lists it in its result, so after a retry only the files of the winning attempt are read. The reader streams:
 it inflates as it reads, frames a payload by Content-Length, wants every record to end with its gzip member, and compares
-digests; what breaks a rule is an error that names file and offset. Memory holds one record, whatever the archive's size.
+digests; what breaks a rule is an error that names file and offset. Memory holds one Arrow batch of records (Spark's
+``maxRecordsPerBatch`` rows) when writing and one record or 8 MiB of small ones when reading, whatever the archive's size.
 """
 
 from __future__ import annotations
@@ -182,7 +183,9 @@ def plan_revisits(pages: DataFrame, id_col: str, html_col: str, least_bytes: int
     rows = pages.select(F.col(id_col).alias("id"), F.col("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     named = rows.withColumn("digest", F.when(F.octet_length("payload") >= least_bytes, F.sha1("payload")))
     held = named.where("digest IS NOT NULL").select("id", "digest").groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("its"), "refers_to")
-    met = named.join(held, F.col("digest") == F.col("its"), "left")
+    # Small payloads have no digest: as null keys of the join they would all meet in one task, so they go past it.
+    met = named.where("digest IS NOT NULL").join(held, F.col("digest") == F.col("its"), "left")
+    met = met.unionByName(named.where("digest IS NULL"), allowMissingColumns=True)
     revisits = F.col("refers_to").isNotNull() & ~F.col("id").eqNullSafe(F.col("refers_to"))
     return met.select("id", "url", "payload", revisits.alias("revisits"), F.when(revisits, F.col("refers_to")).alias("refers_to"))
 
@@ -258,7 +261,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     """Write all pages to archives and read them back: rows (page_id, record_type, refers_to, payload, payload_digest, ...).
 
     A null html is an empty payload, a null id comes back as null, repeated rows are records of their own, an empty table
-    gives no rows; of further columns only ``url`` is written. Ids come back in their own type.
+    gives no rows; a payload of any length is one record. Of further columns only ``url`` is written, whatever their names.
+    Ids come back in their own type.
     """
     spark, kind = pages.sparkSession, pages.schema[id_col].dataType
     folder = archive_folder(spark)
