@@ -27,7 +27,6 @@ SCHEDULES: tuple[Knots, ...] = (
 SHARE = (3, 2)  # of all words, as a fraction
 MOST_EPOCHS = 2
 _ORDER_SEED = 8
-_BROADCAST_SOURCES = 100_000
 
 
 def integral(knots: Knots) -> float:
@@ -100,7 +99,8 @@ def mix(docs: DataFrame, rows: int, key_col: str = "doc_id", text_col: str = "te
     """All columns of ``docs`` with size, source_size, target, passes, taken and positions, one row a document.
 
     ``size`` is the number of words (null text: 0), ``passes`` how often the mix takes the document, ``taken`` that many
-    times its size, ``positions`` the training position of every pass. Input columns of those names are replaced.
+    times its size, ``positions`` the training position of every pass. Input columns of those names are replaced; names that
+    begin with two underscores are the operator's own, all others pass through.
     A pass takes a document if the middle of its words lies within what is left of the target, so a source ends within
     half a document of its target. Documents without words are taken by the same rule. Equal keys are ordered by size;
     rows equal in both may change places. A hot source is dealt to buckets, never sorted as a whole. ``rows`` sets the
@@ -110,11 +110,10 @@ def mix(docs: DataFrame, rows: int, key_col: str = "doc_id", text_col: str = "te
     clean = docs.withColumns({"__key": F.col(key_col), "__src": F.col(source_col), "__body": F.col(text_col)}).drop(*(c for c in added if c in docs.columns))
     sized = clean.withColumn("size", F.coalesce(F.regexp_count("__body", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")).drop("__body")
     sized = sized.withColumn("__order", order_number(F.col("__key"), _ORDER_SEED))
-    targets = materialise(source_targets(sized, "__src", **how), "targets")
-    if targets.count() <= _BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
+    # Written, so that its size is measured and the join is chosen by it.
+    targets = materialise(source_targets(sized, "__src", **how).select(F.col("src").alias("__name"), "source_size", "target", F.col("segments").alias("__segments")), "targets")
     placed = running_total(sized, "__src", ["__order", "__key", "size"], F.col("size"), "__before", rows)
-    joined = placed.join(targets, F.col("__src").eqNullSafe(F.col("src")), "left")
+    joined = placed.join(targets, F.col("__src").eqNullSafe(F.col("__name")), "left")
     middle = 2 * F.col("__before") + F.col("size")
     starts = F.sequence(F.lit(0), F.lit(how.get("most_epochs", MOST_EPOCHS) - 1))
     within = lambda p: (2 * p * F.col("source_size") + middle) <= 2 * F.col("target")
@@ -123,8 +122,8 @@ def mix(docs: DataFrame, rows: int, key_col: str = "doc_id", text_col: str = "te
     return (
         joined.withColumn("__taken", taken).withColumn("passes", F.size("__taken"))
         .withColumn("taken", F.col("passes") * F.col("size"))
-        .withColumn("positions", F.transform("__taken", lambda p: _position(demand(p), F.col("segments"))))
-        .drop("__key", "__src", "__order", "__before", "__taken", "src", "segments", "weight")
+        .withColumn("positions", F.transform("__taken", lambda p: _position(demand(p), F.col("__segments"))))
+        .drop("__key", "__src", "__order", "__before", "__taken", "__name", "__segments")
     )
 
 
