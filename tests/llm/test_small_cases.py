@@ -177,6 +177,16 @@ def test_mixing(docs, none):
     assert rows.columns == docs.columns and rows.count() == sum(r.passes for r in out)
 
 
+def test_mixing_leaves_other_columns_alone(docs):
+    clashing = docs.selectExpr("doc_id", "text", "source", "size AS src", "shard AS segments", "n_words AS weight", "doc_id AS target", "doc_id AS own_level")
+    out = mixing.mix(clashing, docs.count())
+    assert set(clashing.columns) <= set(out.columns)
+    plain = {(r.doc_id, r.taken, r.target) for r in mixing.mix(docs, docs.count()).collect()}
+    assert {(r.doc_id, r.taken, r.target) for r in out.collect()} == plain
+    before = sorted((tuple(r) for r in clashing.select("doc_id", "src", "segments", "weight", "own_level").collect()), key=repr)
+    assert sorted((tuple(r) for r in out.select("doc_id", "src", "segments", "weight", "own_level").collect()), key=repr) == before
+
+
 def test_schedules_are_inverted(spark):
     knots = ((0.0, 0.0), (0.3, 2.0), (0.7, 0.0), (1.0, 1.0))
     docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('w ', 10) AS text", "'s' AS source")
@@ -296,6 +306,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_small_payloads_are_not_joined(spark):
+    rows = [(i, "short", f"page {i}", "d", "n") for i in range(200)] + [(i, "long", "x" * 1000, "d", "n") for i in range(200, 203)]
+    pages = spark.createDataFrame(rows, "page_id long, digest string, html string, refers_to string, id string")
+    planned = warc.plan_revisits(pages, "page_id", "html")
+    got = {r.id: (r.revisits, r.refers_to) for r in planned.collect()}
+    assert got == {i: (i in (200, 201), 202 if i in (200, 201) else None) for i in range(203)}
+    assert warc.round_trip(pages).count() == 203
+
+
 def test_warc_reader_finds_damage():
     records = [warc.format_record(str(i), None, b"x" * i, None, False) for i in (0, 5, 400_000)]
     archive = b"".join(warc.gzip_member(r) for r in records)
@@ -341,6 +360,25 @@ def test_chat_events_fold(spark):
     assert got == [(1, ("user", "hello")), (1, ("assistant", "second")), (1, ("user", "again")), (3, ("user", "new"))]
 
 
+def test_made_logs_fold_back_into_their_turns(spark):
+    rows = [
+        (-7, 0, "user", "\\### Assistant: </turn> ok"), (1, 1, "assistant", "answer"), (1, 0, "user", None), (1, 2, "user", "q"), (1, 3, "assistant", "x"), (2, 0, None, "t"), (2, 0, "", "t"), (2, 0, None, "t"),
+        (3, 5, "assistant", "a"), (3, 5, "assistant", "a"), (3, None, "user", "first"), (None, None, "assistant", ""), (4, -3, "system", "é" * 100_001), (4, 9, "assistant", "ab\n" * 70_000),
+    ]
+    log = chat.log_of_turns(spark.createDataFrame([(*r, "c", "s") for r in rows], "conv_id long, turn long, role string, text string, conv string, seq string").repartition(3))
+    kinds = collections.Counter(r.kind for r in log.collect())
+    assert all(kinds[k] for k in ("open", "delta", "edit", "regenerate", "drop"))
+    assert log.count() == log.select("conv", "seq").distinct().count()
+    turns = collections.defaultdict(list)
+    for r in chat.segments(log.orderBy("kind")).orderBy("conv", "number").collect():
+        turns[r.conv].append(chat.parse(r.segment))
+    want = collections.defaultdict(list)
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or "")):
+        want[conv].append((role, text or ""))
+    assert turns == want
+    assert chat.log_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").limit(0)).count() == 0
+
+
 def test_escapes_are_reversible():
     for text in ("", "\\", "<turn a>\n", "</turn>\n", "\\<", "### x", "é\\\\#<>"):
         for role in (None, "user", "\\N", "a\nb>"):
