@@ -118,33 +118,37 @@ def training_window_plan(
     """Training window (top, left, crop_w, crop_h) of each page.
 
     With probability ``share`` a page with words gets a window around a random word, else the
-    whole page. ``draw(name, k)`` is a uniform Column in [0, 1) for the row with ids in ``name``
+    whole page and one pixel beyond. A window around a word may start anywhere between the last
+    offset that still shows the word's far edge and the first that cuts its near edge. ``draw(name, k)`` is a uniform Column in [0, 1) for the row with ids in ``name``
     ("image" or "word"). The word is the one of smallest draw, found without listing the page.
     """
-    box = F.struct(draw("word", 0).alias("r"), F.col("word_idx").alias("word_idx"), *[F.col(c).cast("long").alias(c) for c in BOX])
-    chosen = words.groupBy("image_id").agg(F.min(box).alias("word"))
-    page = images.join(chosen, "image_id", "left")
-    h, w, b = F.col("height").cast("long"), F.col("width").cast("long"), F.col("word")
-    left = F.greatest(b["xmax"] - size, F.lit(0))
-    top = F.greatest(b["ymax"] - size, F.lit(0))
-    right, bottom = F.least(b["xmin"], w - size), F.least(b["ymin"], h - size)
-
-    def between(low: Column, high: Column, k: int) -> Column:
-        return low + F.floor(draw("image", k) * (high - low + 1))
-
-    tight = (bottom < top) | (right < left)
-    i = F.when(tight, between(F.lit(0), F.greatest(h - size, F.lit(0)), 1)).otherwise(between(top, bottom, 1))
-    j = F.when(tight, between(F.lit(0), F.greatest(w - size, F.lit(0)), 2)).otherwise(between(left, right, 2))
-    word = b.isNotNull() & (draw("image", 3) > 1 - share)
-    planned = page.withColumn("top", F.when(word, i).otherwise(0)).withColumn("left", F.when(word, j).otherwise(0))
-    crop_h = F.when(word, F.when(b["ymax"] - F.col("top") > size, b["ymax"]).otherwise(size)).otherwise(h + 1)
-    crop_w = F.when(word, F.when(b["xmax"] - F.col("left") > size, b["xmax"]).otherwise(size)).otherwise(w + 1)
-    whole = (w == size) & (h == size)
-    return planned.select(
-        "image_id",
-        *[F.when(whole, d).otherwise(v).cast("long").alias(n) for n, v, d in (
-            ("top", F.col("top"), F.lit(0)), ("left", F.col("left"), F.lit(0)), ("crop_w", crop_w, w), ("crop_h", crop_h, h))],
-    )
+    place = F.struct(draw("word", 0).alias("r"), F.col("word_idx").alias("word_idx"), *[F.col(c).cast("long").alias(c) for c in BOX])
+    page = images.join(words.groupBy("image_id").agg(F.min(place).alias("word")), "image_id", "left")
+    around = F.col("word").isNotNull() & (draw("image", 3) > 1 - share)
+    page = page.withColumn("__around", around)
+    # On each axis: the side of the page, the near and the far edge of the word.
+    axes = {"top": ("height", "ymin", "ymax"), "left": ("width", "xmin", "xmax")}
+    legal = {}
+    for axis, (side, near, far) in axes.items():
+        first = F.greatest(F.col("word")[far] - size, F.lit(0))
+        last = F.least(F.col("word")[near], F.col(side).cast("long") - size)
+        legal[axis] = F.struct(first.alias("first"), last.alias("last"))
+    # A word that no window of this size can hold inside the page leaves any offset on the page legal, on both axes.
+    held = F.forall(F.array(*legal.values()), lambda span: span["first"] <= span["last"])
+    for k, (axis, (side, near, far)) in enumerate(axes.items(), 1):
+        anywhere = F.struct(F.lit(0).cast("long").alias("first"), F.greatest(F.col(side).cast("long") - size, F.lit(0)).alias("last"))
+        page = page.withColumn(f"__{axis}", F.when(held, legal[axis]).otherwise(anywhere))
+        span = F.col(f"__{axis}")
+        drawn = span["first"] + F.floor(draw("image", k) * (span["last"] - span["first"] + 1))
+        page = page.withColumn(axis, F.when(F.col("__around"), drawn).otherwise(0).cast("long"))
+    whole = (F.col("width") == size) & (F.col("height") == size)
+    lengths = []
+    for axis, (side, near, far) in axes.items():
+        reach = F.when(F.col("word")[far] - F.col(axis) > size, F.col("word")[far]).otherwise(size)
+        lengths.append(F.when(F.col("__around"), reach).otherwise(F.col(side) + 1))
+    crop_h, crop_w = (F.when(whole, size).otherwise(length).cast("long") for length in lengths)
+    offsets = [F.when(whole, 0).otherwise(F.col(axis)).cast("long").alias(axis) for axis in axes]
+    return page.select("image_id", *offsets, crop_w.alias("crop_w"), crop_h.alias("crop_h"))
 
 
 def affinity_quads(chars: DataFrame) -> DataFrame:
