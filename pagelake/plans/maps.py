@@ -159,14 +159,29 @@ def adjacent_runs(spark, sf_dir):
 
 
 @query("split_elements", ("gt_words",), """
-  SELECT image_id, count(*) AS n FROM gt_words GROUP BY image_id""")
+  WITH w AS (SELECT image_id // 16 AS page, image_id * 1000 + word_idx AS element, xmin AS x, ymin AS y, CASE WHEN image_id // 16 % 3 = 0 THEN (ymax - ymin) // 3 ELSE ymax - ymin END AS h FROM gt_words),
+  e AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x, y, element) - 1 AS pos, CAST(lead(h) OVER (PARTITION BY page ORDER BY x, y, element) AS DOUBLE) AS ahead FROM w),
+  r(page, pos, run, len, height) AS (
+    SELECT page, pos, 0, 1, CAST(h AS DOUBLE) FROM e WHERE pos = 0
+    UNION ALL
+    SELECT e.page, e.pos, run + CASE WHEN breaks THEN 1 ELSE 0 END, CASE WHEN breaks THEN 1 ELSE len + 1 END,
+           CASE WHEN breaks THEN h WHEN small THEN ((len + 1) * height + h) / (len + 2) ELSE height END
+    FROM (SELECT e.*, run, len, height, ahead IS NOT NULL AND height < 15 AND h < 15 AS small,
+                 ahead IS NOT NULL AND NOT (height < 15 AND h < 15) AND ((h > height * 1.5 AND len > 1) OR (height > h * 1.5 AND height > ahead * 1.5)) AS breaks
+          FROM r JOIN e ON e.page = r.page AND e.pos = r.pos + 1) e)
+  SELECT page AS image_id, CAST(pos AS INTEGER) AS pos, element, run,
+         CAST(CASE WHEN count(*) OVER (PARTITION BY page, run) > 10 THEN (row_number() OVER (PARTITION BY page, run ORDER BY pos) - 1) // 5 ELSE 0 END AS INTEGER) AS part
+  FROM r JOIN e USING (page, pos)""", recursive=True)
 def split_elements(spark, sf_dir):
-    """Every element of a line gets exactly one part."""
+    """Runs and parts of every element; sixteen images make a page of one component, a third of the pages in small type."""
+    page = F.floor(F.col("image_id") / 16)
+    height = F.col("ymax") - F.col("ymin")
     words = fx.gt_words(spark, sf_dir).select(
-        "image_id", F.lit(0).cast("long").alias("label"), F.col("word_idx").alias("element"), F.col("xmin").alias("x"), F.col("ymin").alias("y"),
-        (F.col("xmax") - F.col("xmin")).alias("w"), (F.col("ymax") - F.col("ymin")).alias("h"),
+        page.alias("image_id"), F.lit(0).cast("long").alias("label"), (F.col("image_id") * 1000 + F.col("word_idx")).alias("element"),
+        F.col("xmin").alias("x"), F.col("ymin").alias("y"), (F.col("xmax") - F.col("xmin")).alias("w"),
+        F.when(page % 3 == 0, F.floor(height / 3)).otherwise(height).alias("h"),
     )
-    return H.split_elements(words).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    return H.split_elements(words).select("image_id", "pos", "element", "run", "part")
 
 
 @query("chunk_elements", ("gt_words",), """

@@ -78,6 +78,33 @@ def test_height_runs(spark):
     assert runs(20, 20, 90) == [0, 0, 0]  # the last always joins
 
 
+def test_runs_of_rows_are_runs_of_lists(spark):
+    rng = np.random.default_rng(8)
+    shape = "image_id long, label string, element long, x int, y int, w int, h int, run string, pos string"
+    data = []
+    for page in range(40):
+        top = 20 if page % 2 else 60
+        for e in range(int(rng.integers(1, 60))):
+            data.append((page % 20 if page < 39 else None, str(page % 4), e + 100 * page, int(rng.integers(0, 30)), 0, 3, None if rng.random() < 0.03 else int(rng.integers(3, top)), "r", "p"))
+    table = spark.createDataFrame(data + data[:3], shape).repartition(7)
+    listed = table.groupBy("image_id", "label").agg(F.array_sort(F.collect_list(F.struct("x", "y", "element", "w", "h"))).alias("e"))
+    zipped = listed.select("image_id", "label", F.posexplode(F.arrays_zip("e", H.height_runs(F.col("e")).alias("run"))).alias("pos", "z"))
+    want = zipped.select("image_id", "label", "pos", F.col("z.e.element").alias("element"), F.col("z.run").alias("run"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = H.number_runs(table)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        assert H.split_elements(table.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_long_component_is_linear(spark):
+    line = spark.range(200_000).selectExpr("1L AS image_id", "1L AS label", "id AS element", "id AS x", "0 AS y", "1 AS w", "IF(id div 100 % 2 = 0, 20, 60) AS h")
+    got = H.split_elements(line).groupBy("run").count().collect()
+    assert len(got) == 2000 and {r["count"] for r in got} == {100}
+
+
 def test_min_area_rectangle():
     rng = np.random.default_rng(5)
     for _ in range(20):
