@@ -347,6 +347,27 @@ def number_words(spark, sf_dir):
     return A.number_words(lines).select("file", "word_idx", F.col("char_idx").alias("char_idx"))
 
 
+@query("read_icdar13_chars", ("gt_words",), """
+  SELECT CAST(image_id AS VARCHAR) AS file, word_idx, CAST(i AS INTEGER) AS char_idx, CASE WHEN c IN (' ', '"') THEN '' ELSE c END AS text,
+         CAST(xmin + 10 * i AS DOUBLE) AS x1, CAST(ymin AS DOUBLE) AS y1, CAST(xmin + 10 * i + 9 AS DOUBLE) AS x2, CAST(ymin AS DOUBLE) AS y2,
+         CAST(xmin + 10 * i + 9 AS DOUBLE) AS x3, CAST(ymax AS DOUBLE) AS y3, CAST(xmin + 10 * i AS DOUBLE) AS x4, CAST(ymax AS DOUBLE) AS y4
+  FROM (SELECT image_id, word_idx, xmin, ymin, ymax, unnest(string_split(text, '')) AS c, unnest(range(0, length(text))) AS i FROM gt_words)""")
+def read_icdar13_chars(spark, sf_dir):
+    """Every character of every word as a line with colour, centre, box and quoted character, a blank line behind each word."""
+    words = _words(spark, sf_dir)
+    rows = words.select(
+        F.col("image_id").cast("string").alias("file"), "word_idx", "text", *G.BOX, F.explode(F.sequence(F.lit(0), F.length("text"))).alias("i")
+    )
+    left = F.col("xmin") + 10 * F.col("i")
+    quoted = F.concat(F.lit('"'), F.substring("text", F.col("i") + 1, F.lit(1)), F.lit('"'))
+    line = F.concat_ws(" ", F.lit("0 0 0"), left + 4, "ymin", left, "ymin", left + 9, "ymax", quoted)
+    lines = rows.select(
+        "file", (F.col("word_idx") * 1000 + F.col("i")).alias("line_no"),
+        F.when(F.col("i") == F.length("text"), F.lit("")).otherwise(line).alias("line"),
+    )
+    return A.read_icdar13_chars(lines)
+
+
 @query("split_counts", ("imgs",), "SELECT split, count(*) AS n FROM imgs GROUP BY split")
 def split_counts(spark, sf_dir):
     return A.split_counts(fx.imgs(_words(spark, sf_dir)))
@@ -545,17 +566,21 @@ def read_vocab(spark, sf_dir):
     return S.read_vocab(spark, path)
 
 
-@query("read_vocab_whole", ("lm_ones",), """
-  SELECT CAST(row_number() OVER (ORDER BY CASE WHEN ch IN (' ', chr(9)) THEN 1 WHEN ch = (SELECT min(ch) FROM lm_ones WHERE ch NOT IN (' ', chr(9))) THEN 0 ELSE 2 END, ch) - 1
-         AS INTEGER) AS idx, ch FROM lm_ones""")
-def read_vocab_whole(spark, sf_dir):
-    """All characters in use, written as one vocabulary file.
+def _vocab_sql(used: str) -> str:
+    return f"""
+  WITH used AS ({used})
+  SELECT CAST(row_number() OVER (ORDER BY CASE WHEN ch IN (' ', chr(9)) THEN 1 WHEN ch = (SELECT min(ch) FROM used WHERE ch NOT IN (' ', chr(9))) THEN 0 ELSE 2 END, ch) - 1
+         AS INTEGER) AS idx, ch FROM used"""
+
+
+def _through_vocab_file(spark, used):
+    """Characters written as one vocabulary file and read back.
 
     The reader strips the ends of a file, so blanks follow the first other character. A line break is written as backslash and letter;
     all other lines are single characters.
     """
     path = _scratch(spark, "vocab")
-    listed = fx.char_lm(spark, sf_dir)[2].agg(F.array_sort(F.collect_list("ch")).alias("all"))
+    listed = used.agg(F.array_sort(F.collect_list("ch")).alias("all"))
     blank = lambda c: c.isin(" ", "\t")
     inked, blanks = F.filter("all", lambda c: ~blank(c)), F.filter("all", blank)
     lines = F.concat(F.slice(inked, 1, 1), blanks, F.slice(inked, 2, F.greatest(F.size(inked), F.lit(1))))
@@ -565,6 +590,37 @@ def read_vocab_whole(spark, sf_dir):
     return S.read_vocab(spark, path).select("idx", ch.alias("ch"))
 
 
+@query("read_vocab_whole", ("lm_ones",), _vocab_sql("SELECT ch FROM lm_ones"))
+def read_vocab_whole(spark, sf_dir):
+    """All characters of the character model."""
+    return _through_vocab_file(spark, fx.char_lm(spark, sf_dir)[2])
+
+
+@query("read_vocab_documents", ("samples",), _vocab_sql("SELECT DISTINCT unnest(string_split(label, '')) AS ch FROM samples"))
+def read_vocab_documents(spark, sf_dir):
+    """All characters of the documents."""
+    return _through_vocab_file(spark, E.collect_charset(fx.samples(spark, sf_dir), "label"))
+
+
+@query("read_vocab_groups", ("samples",), """
+  WITH used AS (SELECT DISTINCT unnest(string_split(label, '')) AS ch FROM samples),
+  each AS (SELECT 0 AS level, "right"(hex(ch), 1) AS digit, ch FROM used UNION ALL SELECT 1, "left"(hex(ch), 1), ch FROM used WHERE ch BETWEEN 'a' AND 'z' AND length(hex(ch)) = 2),
+  listed AS (SELECT *, string_agg(ch, '' ORDER BY ch) OVER (PARTITION BY level, digit ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS members FROM each)
+  SELECT ch, max_by(members, level) AS members FROM listed GROUP BY ch""")
+def read_vocab_groups(spark, sf_dir):
+    """Characters of the documents grouped by their last hexadecimal digit, small letters once more by their first, as one JSON file."""
+    used = E.collect_charset(fx.samples(spark, sf_dir), "label").withColumn("code", F.hex(F.col("ch").cast("binary")))
+    small = used.where("ch >= 'a' AND ch <= 'z' AND length(code) = 2")
+    each = used.select(F.lit(0).alias("level"), F.substring("code", -1, 1).alias("digit"), "ch").unionByName(
+        small.select(F.lit(1).alias("level"), F.substring("code", 1, 1).alias("digit"), "ch")
+    )
+    lists = each.groupBy("level", "digit").agg(F.array_sort(F.collect_list("ch")).alias("members"))
+    whole = lists.agg(F.array_sort(F.collect_list(F.struct("level", "digit", "members"))).alias("g"))
+    path = _scratch(spark, "groups")
+    whole.select(F.to_json(F.transform("g", lambda g: g["members"])).alias("value")).write.text(path)
+    return S.read_vocab_groups(spark, path).select("ch", F.array_join("members", "").alias("members"))
+
+
 @query("read_char_lm", ("lm_bigram", "lm_unigram", "lm_lambda"), """
   SELECT 'bigram' AS kind, pair AS item, round(p, 9) AS p FROM lm_bigram UNION ALL SELECT 'unigram', ch, round(p, 9) FROM lm_unigram
   UNION ALL SELECT 'lambda', ch, weight FROM lm_lambda""")
@@ -592,20 +648,27 @@ def read_char_lm(spark, sf_dir):
 IMAGES_PER_FILE = 4000
 
 
-@query("read_annotations", ("gt_words",), """
-  SELECT concat('img_', CAST(image_id AS VARCHAR), '.jpg') AS file, CAST(word_idx AS INTEGER) AS word_idx, text, 'None' AS type,
-         CAST(xmin AS DOUBLE) AS x1, CAST(ymax AS DOUBLE) AS y3 FROM gt_words""")
-def read_annotations(spark, sf_dir):
-    """Annotations in the drifted spelling, many images per JSON file."""
+def annotation_files(spark, sf_dir, shift: int, copies: bool = False) -> str:
+    """JSON files of many images each. With ``copies`` each image of even number stands in two files; ``shift`` is taken off every x."""
     words = _words(spark, sf_dir).select(
-        "image_id", "word_idx", "text", *G.ltrb_to_quad(*G.BOX), F.array().cast("array<string>").alias("char")
+        "image_id", "word_idx", "text", *G.ltrb_to_quad(F.col("xmin") - shift, "ymin", F.col("xmax") - shift, "ymax"), F.array().cast("array<string>").alias("char")
     )
     nested = A.nest_words(words, ("image_id",)).withColumn("file", F.concat(F.lit("img_"), F.col("image_id").cast("string"), F.lit(".jpg")))
     shard = F.floor(F.col("image_id") / IMAGES_PER_FILE)
-    docs = nested.groupBy(shard.alias("shard")).agg(F.to_json(F.collect_list(F.struct("file", "words"))).alias("value"))
+    shards = F.array(shard, -1 - shard) if copies else F.array(shard)
+    placed = nested.withColumn("shard", F.explode(F.when(F.col("image_id") % 2 == 0, shards).otherwise(F.array(shard))))
+    docs = placed.groupBy("shard").agg(F.to_json(F.collect_list(F.struct("file", "words"))).alias("value"))
     path = _scratch(spark, "annotation-files")
     docs.repartition("shard").write.partitionBy("shard").option("compression", "none").text(path)
-    good, _ = A.read_annotations(spark, path, suffix="*.txt")
+    return path
+
+
+@query("read_annotations", ("gt_words",), """
+  SELECT concat('img_', CAST(image_id AS VARCHAR), '.jpg') AS file, CAST(word_idx AS INTEGER) AS word_idx, text, 'None' AS type,
+         CAST(xmin AS DOUBLE) AS x1, CAST(ymax AS DOUBLE) AS y3 FROM gt_words""")
+def read_annotations(spark, sf_dir):
+    """Annotations in the drifted spelling, many images per JSON file."""
+    good, _ = A.read_annotations(spark, annotation_files(spark, sf_dir, shift=0), suffix="*.txt")
     return P.flatten_words(good).select("file", "word_idx", "text", "type", "x1", "y3")
 
 
