@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pagelake.functions.geometry import hash_int, hash_uniform
 from pagelake.functions.text import chars, format_key
 from pagelake.operators.ordered import number_rows
+from pagelake.session import materialise
 
 SHARD_ROWS = 100_000
+MOST_COPIES = 1024
 
 
 def assign_shard(df: DataFrame, order_by: Sequence[str], n: int = SHARD_ROWS, points=None) -> DataFrame:
@@ -87,7 +89,8 @@ def mix_datasets(
     """Add ``cycle``, ``slot`` and ``position`` of an endless feed that takes ``ratio`` rows of each dataset in turn.
 
     A dataset that runs out starts again. Without ``cycles`` the feed ends when every dataset has
-    been read at least once. Datasets without rows are left out, and so is their share.
+    been read at least once. Datasets without rows are left out, and so is their share. No row is
+    multiplied by more than ``MOST_COPIES`` in one task.
     """
     wanted = samples.where(F.col(dataset).isin(*ratios))
     ranked = number_rows(wanted, order_by, [dataset], name="__n", start=0, points=points)
@@ -107,10 +110,24 @@ def mix_datasets(
         F.sum("__ratio").over(everyone).alias("__width"),
         (F.lit(cycles) if cycles is not None else F.max(F.ceil(F.col("__size") / F.col("__ratio"))).over(everyone)).alias("__cycles"),
     )
+    plan = materialise(plan, "mix-plan")
     joined = ranked.join(F.broadcast(plan), dataset)  # at most one row per ratio
     joined = joined.where(F.col("__n") < F.col("__cycles") * F.col("__ratio"))
     turns = F.floor((F.col("__cycles") * F.col("__ratio") - 1 - F.col("__n")) / F.col("__size"))
-    repeated = joined.withColumn("__turn", F.explode(F.sequence(F.lit(0).cast("long"), turns)))
+    most = plan.agg(F.max(F.ceil(F.col("__cycles") * F.col("__ratio") / F.col("__size")))).first()[0] or 1
+    span = 1
+    while span * MOST_COPIES < most:
+        span *= MOST_COPIES
+    # A row of a small dataset becomes blocks of turns first, dealt out again, and each block its turns.
+    repeated = joined.withColumn("__turn", F.lit(0).cast("long"))
+    while True:
+        blocks = F.least(F.floor((turns - F.col("__turn")) / span), F.lit(MOST_COPIES - 1))
+        repeated = repeated.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), blocks)))
+        repeated = repeated.withColumn("__turn", F.col("__turn") + F.col("__block") * span).drop("__block")
+        if span == 1:
+            break
+        repeated = repeated.repartition(dataset, "__n", "__turn")
+        span //= MOST_COPIES
     at = F.col("__n") + F.col("__turn") * F.col("__size")
     out = repeated.withColumn("cycle", F.floor(at / F.col("__ratio"))).withColumn(
         "slot", (F.col("__offset") + at % F.col("__ratio")).cast("long")

@@ -107,6 +107,15 @@ def test_mix_restarts_short_datasets(spark):
     ]
 
 
+def test_mix_repeats_one_row_next_to_many(spark, monkeypatch):
+    monkeypatch.setattr(E, "MOST_COPIES", 8)
+    df = spark.createDataFrame([("a", i) for i in range(1000)] + [("b", 0)] + [("c", i) for i in range(7)], "dataset string, id int")
+    got = E.mix_datasets(df, {"a": 1, "b": 2, "c": 1}, ["id"])
+    want = sorted([(4 * i, "a", i) for i in range(1000)] + [(4 * i + 1 + k, "b", 0) for i in range(1000) for k in (0, 1)] + [(4 * i + 3, "c", i % 7) for i in range(1000)])
+    assert rows(got.select("position", "dataset", "id")) == want
+    assert E.mix_datasets(df.limit(0), {"a": 1}, ["id"]).count() == 0
+
+
 def test_whole_mix_takes_every_dataset(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"src{i % 7}", "t") for i in range(30)], "doc_id long, source string, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
