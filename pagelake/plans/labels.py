@@ -189,14 +189,17 @@ def beam_topk(spark, sf_dir):
 
 @query("word_tokenize", (), """
   SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS tokens,
-         regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')[-1] AS last_token FROM documents""")
+         regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')[-1] AS last_token,
+         sha256(array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]'), chr(10))) AS tokens_sha256 FROM documents""")
 def word_tokenize(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "documents").select("doc_id", X.word_tokenize("text").alias("t"))
-    return rows.select("doc_id", F.size("t").cast("long").alias("tokens"), F.get("t", F.size("t") - 1).alias("last_token"))
+    listed = F.sha2(F.array_join("t", "\n").cast("binary"), 256).alias("tokens_sha256")
+    return rows.select("doc_id", F.size("t").cast("long").alias("tokens"), F.get("t", F.size("t") - 1).alias("last_token"), listed)
 
 
 @query("sentence_split", (), """
-  SELECT doc_id, len(list_filter(s, lambda p: length(p) > 0)) AS sentences, list_filter(s, lambda p: length(p) > 0)[1] AS first_sentence FROM (
+  SELECT doc_id, len(list_filter(s, lambda p: length(p) > 0)) AS sentences, list_filter(s, lambda p: length(p) > 0)[1] AS first_sentence,
+         sha256(array_to_string(list_filter(s, lambda p: length(p) > 0), chr(10))) AS sentences_sha256 FROM (
     SELECT doc_id, flatten(list_transform(string_split(replace(text, '. ', '。'), chr(10)),
       lambda l: string_split(replace(regexp_replace(l, '[ \\t\\r]+$', ''), '。', '。' || chr(10)), chr(10)))) AS s FROM documents)""")
 def sentence_split(spark, sf_dir):
@@ -204,7 +207,8 @@ def sentence_split(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "documents").select(
         "doc_id", X.sentence_split_ja(F.replace("text", F.lit(". "), F.lit("。"))).alias("s")
     )
-    return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), F.get("s", 0).alias("first_sentence"))
+    listed = F.sha2(F.array_join("s", "\n").cast("binary"), 256).alias("sentences_sha256")
+    return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), F.get("s", 0).alias("first_sentence"), listed)
 
 
 @query("clean_field", ("gt_words",), "SELECT image_id, word_idx, text AS cleaned FROM gt_words")

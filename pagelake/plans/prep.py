@@ -246,16 +246,17 @@ def bounding_boxes(spark, sf_dir):
 
 
 @query("affinity_quads", ("word_chars",), """
-  SELECT image_id, word_idx, char_idx,
-         round((cx0 + cx1 + (cx0 + cx1) / 2.0) / 3.0, 6) AS x1, round((cy0 + cy0 + (cy0 + cy1) / 2.0) / 3.0, 6) AS y1,
-         round((nx0 + nx1 + (nx0 + nx1) / 2.0) / 3.0, 6) AS x2, round((cy1 + cy1 + (cy0 + cy1) / 2.0) / 3.0, 6) AS y3
-  FROM (SELECT *, lead(cx0) OVER w AS nx0, lead(cx1) OVER w AS nx1 FROM word_chars
+  SELECT image_id, word_idx, char_idx, round((cx0 + cx1 + (cx0 + cx1) / 2.0) / 3.0, 6) AS x1, round((cy0 + cy0 + (cy0 + cy1) / 2.0) / 3.0, 6) AS y1,
+         round((nx0 + nx1 + (nx0 + nx1) / 2.0) / 3.0, 6) AS x2, round((ny0 + ny0 + (ny0 + ny1) / 2.0) / 3.0, 6) AS y2,
+         round((nx0 + nx1 + (nx0 + nx1) / 2.0) / 3.0, 6) AS x3, round((ny1 + ny1 + (ny0 + ny1) / 2.0) / 3.0, 6) AS y3,
+         round((cx0 + cx1 + (cx0 + cx1) / 2.0) / 3.0, 6) AS x4, round((cy1 + cy1 + (cy0 + cy1) / 2.0) / 3.0, 6) AS y4
+  FROM (SELECT *, lead(cx0) OVER w AS nx0, lead(cx1) OVER w AS nx1, lead(cy0) OVER w AS ny0, lead(cy1) OVER w AS ny1 FROM word_chars
         WINDOW w AS (PARTITION BY image_id, word_idx ORDER BY char_idx)) WHERE nx0 IS NOT NULL""")
 def affinity_quads(spark, sf_dir):
     from pagelake.operators.pages import affinity_quads as quads
 
     out = quads(fx.word_chars(_words(spark, sf_dir)))
-    return out.select("image_id", "word_idx", "char_idx", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y3")])
+    return out.select("image_id", "word_idx", "char_idx", *[F.round(c, 6).alias(c) for c in G.QUAD])
 
 
 @query("neighbour_chars", ("word_chars",), """

@@ -35,6 +35,11 @@ def _r(col, name: str, digits: int = 6):
 _RING = "[x1, x2, x3, x4]"
 
 
+def _corners(polygon: str, prefix: str = "") -> list:
+    """All coordinates of a ring of four corners."""
+    return [F.get(polygon, i)[v].alias(f"{prefix}{v}{i + 1}") for i in range(4) for v in "xy"]
+
+
 @query("bbox_to_quad", ("gt_words",), """
   SELECT image_id, word_idx, round(xmin / 4.0, 1) AS x1, round(ymin / 4.0, 1) AS y1, round((xmin + xmax) / 4.0, 1) AS x3,
          round((ymin + ymax) / 4.0, 1) AS y3 FROM (SELECT image_id, word_idx, xmin * 4.0 AS xmin, ymin * 4.0 AS ymin, xmax * 4.0 AS xmax, ymax * 4.0 AS ymax FROM gt_words)""")
@@ -54,6 +59,7 @@ def quad_bounds(spark, sf_dir):
   SELECT image_id, word_idx, (x1 + x2 + x3 + x4) / 4 AS cx, (y1 + y2 + y3 + y4) / 4 AS cy,
          round(a, 6) AS area,
          round(((x1 + x2) * (x1 * y2 - x2 * y1) + (x2 + x3) * (x2 * y3 - x3 * y2) + (x3 + x4) * (x3 * y4 - x4 * y3) + (x4 + x1) * (x4 * y1 - x1 * y4)) / (6 * a), 6) AS gx,
+         round(((y1 + y2) * (x1 * y2 - x2 * y1) + (y2 + y3) * (x2 * y3 - x3 * y2) + (y3 + y4) * (x3 * y4 - x4 * y3) + (y4 + y1) * (x4 * y1 - x1 * y4)) / (6 * a), 6) AS gy,
          round(sqrt((x2-x1)**2 + (y2-y1)**2) + sqrt((x3-x2)**2 + (y3-y2)**2) + sqrt((x4-x3)**2 + (y4-y3)**2) + sqrt((x1-x4)**2 + (y1-y4)**2), 6) AS perimeter,
          round(least(sqrt((x2-x1)**2 + (y2-y1)**2), sqrt((x3-x2)**2 + (y3-y2)**2), sqrt((x4-x3)**2 + (y4-y3)**2), sqrt((x1-x4)**2 + (y1-y4)**2)), 6) AS min_side,
          round((sqrt((x3-x1)**2 + (y3-y1)**2) + sqrt((x4-x2)**2 + (y4-y2)**2)) / 2, 6) AS diagonal
@@ -63,36 +69,36 @@ def quad_measures(spark, sf_dir):
     cx, cy = G.quad_centre()
     return _quads(spark, sf_dir).select(
         "image_id", "word_idx", cx.alias("cx"), cy.alias("cy"), _r(G.polygon_area(ring), "area"),
-        _r(G.polygon_centroid(ring)[0], "gx"), _r(G.perimeter(ring), "perimeter"), _r(G.min_side(ring), "min_side"),
+        _r(G.polygon_centroid(ring)[0], "gx"), _r(G.polygon_centroid(ring)[1], "gy"), _r(G.perimeter(ring), "perimeter"), _r(G.min_side(ring), "min_side"),
         _r(G.mean_diagonal(), "diagonal"),
     )
 
 
-@query("scale_polygon", ("quads",), """
-  SELECT image_id, word_idx, CASE WHEN x1 > gx THEN x1 + 3 ELSE x1 - 3 END AS sx1, CASE WHEN x2 > gx THEN x2 + 3 ELSE x2 - 3 END AS sx2,
-         CASE WHEN x3 > gx THEN x3 + 3 ELSE x3 - 3 END AS sx3
-  FROM (SELECT *, ((x1 + x2) * (x1 * y2 - x2 * y1) + (x2 + x3) * (x2 * y3 - x3 * y2) + (x3 + x4) * (x3 * y4 - x4 * y3) + (x4 + x1) * (x4 * y1 - x1 * y4))
-    / (3 * ((x1 * y2 - x2 * y1) + (x2 * y3 - x3 * y2) + (x3 * y4 - x4 * y3) + (x4 * y1 - x1 * y4))) AS gx FROM quads)""")
+@query("scale_polygon", ("quads",), f"""
+  SELECT image_id, word_idx, {", ".join(f"CASE WHEN {v}{i} > g{v} THEN {v}{i} + 3 ELSE {v}{i} - 3 END AS s{v}{i}" for i in range(1, 5) for v in "xy")}
+  FROM (SELECT *, {", ".join(f"(({v}1 + {v}2) * (x1 * y2 - x2 * y1) + ({v}2 + {v}3) * (x2 * y3 - x3 * y2) + ({v}3 + {v}4) * (x3 * y4 - x4 * y3) + ({v}4 + {v}1) * (x4 * y1 - x1 * y4)) / (6 * a) AS g{v}" for v in "xy")}
+        FROM (SELECT *, ((x1 * y2 - x2 * y1) + (x2 * y3 - x3 * y2) + (x3 * y4 - x4 * y3) + (x4 * y1 - x1 * y4)) / 2 AS a FROM quads))""")
 def scale_polygon(spark, sf_dir):
     out = _quads(spark, sf_dir).select("image_id", "word_idx", G.scale_polygon(G.polygon_of(), 3.0).alias("p"))
-    return out.select("image_id", "word_idx", *[F.get("p", i)["x"].alias(f"sx{i + 1}") for i in range(3)])
+    return out.select("image_id", "word_idx", *_corners("p", "s"))
 
 
-@query("start_corner", ("quads",), """
-  SELECT image_id, word_idx, CASE list_position(s, list_min(s)) WHEN 1 THEN x3 WHEN 2 THEN x2 WHEN 3 THEN x1 ELSE x4 END AS sx,
-         CASE list_position(s, list_min(s)) WHEN 1 THEN y4 WHEN 2 THEN y3 WHEN 3 THEN y2 ELSE y1 END AS last_y
-  FROM (SELECT *, [x3 + y3, x2 + y2, x1 + y1, x4 + y4] AS s FROM quads)""".replace("WHEN 1 THEN y4 WHEN 2 THEN y3 WHEN 3 THEN y2 ELSE y1", "WHEN 1 THEN y4 WHEN 2 THEN y3 WHEN 3 THEN y2 ELSE y1"))
+@query("start_corner", ("quads",), f"""
+  SELECT image_id, word_idx, {", ".join(f"{v}s[(first + {i - 2}) % 4 + 1] AS {v}{i}" for i in range(1, 5) for v in "xy")}
+  FROM (SELECT *, list_position(s, list_min(s)) AS first FROM (
+    SELECT image_id, word_idx, [x3 + y3, x2 + y2, x1 + y1, x4 + y4] AS s, [x3, x2, x1, x4] AS xs, [y3, y2, y1, y4] AS ys FROM quads))""")
 def start_corner(spark, sf_dir):
     """A ring listed from its third corner backwards, turned to its start corner."""
     ring = G.polygon_of(("x3", "y3", "x2", "y2", "x1", "y1", "x4", "y4"))
     out = _quads(spark, sf_dir).select("image_id", "word_idx", G.start_corner(ring).alias("p"))
-    return out.select("image_id", "word_idx", F.get("p", 0)["x"].alias("sx"), F.get("p", 3)["y"].alias("last_y"))
+    return out.select("image_id", "word_idx", *_corners("p"))
 
 
-@query("rescale_polygon", ("quads",), "SELECT image_id, word_idx, x2 * 3.0 AS rx2, y3 * 5.0 AS ry3 FROM quads")
+@query("rescale_polygon", ("quads",), f"""
+  SELECT image_id, word_idx, {", ".join(f"x{i} * 3.0 AS rx{i}, y{i} * 5.0 AS ry{i}" for i in range(1, 5))} FROM quads""")
 def rescale_polygon(spark, sf_dir):
     out = _quads(spark, sf_dir).select("image_id", "word_idx", G.rescale_polygon(G.polygon_of(), 1.5, 2.5).alias("p"))
-    return out.select("image_id", "word_idx", F.get("p", 1)["x"].alias("rx2"), F.get("p", 2)["y"].alias("ry3"))
+    return out.select("image_id", "word_idx", *_corners("p", "r"))
 
 
 @query("closest_corner", ("quads",), """
@@ -120,12 +126,12 @@ def pseudo_char_centres(spark, sf_dir):
     return out.select("image_id", "word_idx", F.col("char_idx").cast("long").alias("char_idx"), _r("p.x", "x"), _r("p.y", "y"))
 
 
-@query("orient_vertical", ("quads",), """
-  SELECT image_id, word_idx, CASE WHEN tall THEN x4 ELSE x1 END AS ox1, CASE WHEN tall THEN y3 ELSE y4 END AS oy4 FROM (
+@query("orient_vertical", ("quads",), f"""
+  SELECT image_id, word_idx, {", ".join(f"CASE WHEN tall THEN {v}{(i + 2) % 4 + 1} ELSE {v}{i} END AS {v}{i}" for i in range(1, 5) for v in "xy")} FROM (
     SELECT *, greatest(y1, y2, y3, y4) - least(y1, y2, y3, y4) > 0.4 * (greatest(x1, x2, x3, x4) - least(x1, x2, x3, x4)) AS tall FROM quads)""")
 def orient_vertical(spark, sf_dir):
     turned = G.orient_vertical(ratio=0.4)
-    return _quads(spark, sf_dir).select("image_id", "word_idx", turned[0].alias("ox1"), turned[7].alias("oy4"))
+    return _quads(spark, sf_dir).select("image_id", "word_idx", *[v.alias(n) for v, n in zip(turned, G.QUAD)])
 
 
 @query("point_in_quad", ("quads",), """
@@ -184,30 +190,29 @@ def jitter_quad(spark, sf_dir):
 
 
 @query("jitter_corners", ("quads",), """
-  SELECT image_id, word_idx, round(x1 + u * lim, 6) AS x1, round(y1 - u * lim, 6) AS y1, round(x2 - u * lim, 6) AS x2, round(y3 + u * lim, 6) AS y3 FROM (
+  SELECT image_id, word_idx, round(x1 + u * lim, 6) AS x1, round(y1 - u * lim, 6) AS y1, round(x2 - u * lim, 6) AS x2, round(y2 - u * lim, 6) AS y2,
+         round(x3 - u * lim, 6) AS x3, round(y3 + u * lim, 6) AS y3, round(x4 + u * lim, 6) AS x4, round(y4 + u * lim, 6) AS y4 FROM (
     SELECT *, (image_id % 10) / 10.0::DOUBLE AS u, CASE WHEN 0.05 * p >= s / 2 THEN floor(s / 2) ELSE 0.05 * p END AS lim FROM (
       SELECT *, sqrt((x2-x1)**2 + (y2-y1)**2) + sqrt((x3-x2)**2 + (y3-y2)**2) + sqrt((x4-x3)**2 + (y4-y3)**2) + sqrt((x1-x4)**2 + (y1-y4)**2) AS p,
         least(sqrt((x2-x1)**2 + (y2-y1)**2), sqrt((x3-x2)**2 + (y3-y2)**2), sqrt((x4-x3)**2 + (y4-y3)**2), sqrt((x1-x4)**2 + (y1-y4)**2)) AS s FROM quads))""")
 def jitter_corners(spark, sf_dir):
     moved = G.jitter_corners(0.05, lambda k: (F.col("image_id") % 10) / F.lit(10.0))
     out = _quads(spark, sf_dir).select("image_id", "word_idx", *moved)
-    return out.select("image_id", "word_idx", *[_r(c, c) for c in ("x1", "y1", "x2", "y3")])
+    return out.select("image_id", "word_idx", *[_r(c, c) for c in G.QUAD])
 
 
-@query("affine_quads", ("quads",), """
-  SELECT image_id, word_idx, CAST(trunc(round(c * (x1 + 64 - 640) - s * (y1 - 400) + 640, 9)) AS BIGINT) AS x1,
-         CAST(trunc(round(s * (x3 + 64 - 640) + c * (y3 - 400) + 400, 9)) AS BIGINT) AS y3
-  FROM (SELECT *, cos(radians(a)) AS c, sin(radians(a)) AS s FROM (SELECT *, -45 + 90 * ((image_id % 7) / 7.0::DOUBLE) AS a FROM quads))"""
-    .replace("c * (x1 + 64 - 640) - s * (y1 - 400) + 640", "c * (x1 - 640) - s * (y1 - 400) + 640 + 64")
-    .replace("s * (x3 + 64 - 640) + c * (y3 - 400) + 400", "s * (x3 - 640) + c * (y3 - 400) + 400"))
+@query("affine_quads", ("quads",), f"""
+  SELECT image_id, word_idx, {", ".join(f"CAST(trunc(round(c * (x{i} - 640) - s * (y{i} - 400) + 640 + 64, 9)) AS BIGINT) AS x{i}, CAST(trunc(round(s * (x{i} - 640) + c * (y{i} - 400) + 400, 9)) AS BIGINT) AS y{i}" for i in range(1, 5))}
+  FROM (SELECT *, cos(radians(a)) AS c, sin(radians(a)) AS s FROM (SELECT *, -45 + 90 * ((image_id % 7) / 7.0::DOUBLE) AS a FROM quads))""")
 def affine_quads(spark, sf_dir):
     """Rotation by the image's own angle, then a shift of a twentieth of the width."""
     ops = {"rotate": {"p": 1.0, "v": (-45, 45)}, "translate": {"p": 1.0, "v": {"x": (0.05, 0.05), "y": (0.0, 0.0)}}}
     draw = lambda k: (F.col("image_id") % 7) / F.lit(7.0)
     a, b, c, d, e, f = G.affine_matrix(ops, draw, F.lit(1280), F.lit(800))
-    x = F.round(a * F.col("x1") + b * F.col("y1") + c, 9).cast("long")
-    y = F.round(d * F.col("x3") + e * F.col("y3") + f, 9).cast("long")
-    return _quads(spark, sf_dir).select("image_id", "word_idx", x.alias("x1"), y.alias("y3"))
+    moved = []
+    for x, y in zip(G.QUAD[::2], G.QUAD[1::2]):
+        moved += [F.round(a * F.col(x) + b * F.col(y) + c, 9).cast("long").alias(x), F.round(d * F.col(x) + e * F.col(y) + f, 9).cast("long").alias(y)]
+    return _quads(spark, sf_dir).select("image_id", "word_idx", *moved)
 
 
 @query("affine_quads_seeded")
