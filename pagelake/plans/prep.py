@@ -600,7 +600,7 @@ def read_vocab_whole(spark, sf_dir):
 @query("read_vocab_documents", ("samples",), _vocab_sql("SELECT DISTINCT unnest(string_split(label, '')) AS ch FROM samples"))
 def read_vocab_documents(spark, sf_dir):
     """All characters of the documents."""
-    return _through_vocab_file(spark, E.collect_charset(fx.samples(spark, sf_dir), "label"))
+    return _through_vocab_file(spark, E.collect_charset(fx.table(spark, sf_dir, "documents"), "text"))
 
 
 @query("read_vocab_groups", ("samples",), """
@@ -610,7 +610,7 @@ def read_vocab_documents(spark, sf_dir):
   SELECT ch, max_by(members, level) AS members FROM listed GROUP BY ch""")
 def read_vocab_groups(spark, sf_dir):
     """Characters of the documents grouped by their last hexadecimal digit, small letters once more by their first, as one JSON file."""
-    used = E.collect_charset(fx.samples(spark, sf_dir), "label").withColumn("code", F.hex(F.col("ch").cast("binary")))
+    used = E.collect_charset(fx.table(spark, sf_dir, "documents"), "text").withColumn("code", F.hex(F.col("ch").cast("binary")))
     small = used.where("ch >= 'a' AND ch <= 'z' AND length(code) = 2")
     each = used.select(F.lit(0).alias("level"), F.substring("code", -1, 1).alias("digit"), "ch").unionByName(
         small.select(F.lit(1).alias("level"), F.substring("code", 1, 1).alias("digit"), "ch")
