@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from pagelake.llm import chat, decontamination, jaccard, lm, mixing, rules, sharding, toxicity, warc, weak
 from pagelake.llm.text import ALNUM, LOWER, PLAIN, WordHasher
@@ -75,6 +76,54 @@ def test_weights_move_rows_only_where_they_change(spark):
         sharding.assign(keys, "k", 2, [0.0, 0.0])
 
 
+@pytest.mark.parametrize("weights", [[1.0] * 24, [1.0] * 25, [1.0, 0.5, 0.0, 2.0, 1.5] * 3])
+def test_descent_against_times_of_all_shards(spark, weights):
+    """Every shard's time drawn by the rule, in plain Python, and the least of them."""
+    ceiling = max(weights)
+
+    def unit(key, what, node):
+        return ((xxhash.xxh64_intdigest(f"{key}:{what}:{node}".encode(), seed=42) >> 11) + 0.5) / 2**53
+
+    def wait(key, what, node, rate):
+        return -math.log(unit(key, what, node)) / rate
+
+    def time(key, shard):
+        rack, region = shard // 4, shard // 12
+        out = wait(key, "region", region, 12 * ceiling)
+        if rack % 3 != int(unit(key, "first rack", region) * 3):
+            out += wait(key, "rack", rack, 4 * ceiling)
+        if shard % 4 != int(unit(key, "first shard", rack) * 4):
+            out += wait(key, "shard", shard, ceiling)
+        if unit(key, "mark", shard) < weights[shard] / ceiling:
+            return out
+        return out + wait(key, "later", shard, weights[shard]) if weights[shard] else math.inf
+
+    rows = sharding.assign(spark.range(3000).withColumnRenamed("id", "k"), "k", len(weights), weights).collect()
+    for r in rows:
+        assert r.shard == min(range(len(weights)), key=lambda s: time(r.k, s)) and (r.region, r.rack) == (r.shard // 12, r.shard // 4 % 3)
+    found = collections.Counter(r.shard for r in rows)
+    assert all(abs(found[s] / 3000 - w / sum(weights)) < 0.03 for s, w in enumerate(weights))
+
+
+def test_weight_changes_move_rows_of_that_shard_alone(spark):
+    keys = spark.range(4000).withColumnRenamed("id", "k")
+    def at(weights):
+        return {r.k: r.shard for r in sharding.assign(keys, "k", len(weights), weights, ceiling=2.0).collect()}
+    light, heavy = at([1.0] * 7 + [0.25] + [1.0] * 9), at([1.0] * 7 + [1.75] + [1.0] * 9)
+    assert all(heavy[k] in (light[k], 7) for k in light) and sum(heavy[k] != light[k] for k in light) > 100
+    with pytest.raises(ValueError):
+        sharding.assign(keys, "k", 2, [1.0, 3.0], ceiling=2.0)
+
+
+def test_slots_of_a_hot_key(spark):
+    rows = [(7, f"text {i}") for i in range(400)] + [(7, "same")] * 5 + [(8, None)]
+    placed = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 24, 406).collect()
+    slots = collections.defaultdict(list)
+    for r in placed:
+        slots[r.shard].append(r.slot)
+    assert len({r.shard for r in placed if r.doc_id == 7}) == 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_rules(docs, none):
     out = {(r.doc_id, r.n_words): r for r in rules.ledger(rules.measure(docs)).collect()}
     assert sum(1 for _ in rules.measure(docs).collect()) == len(ROWS) and rules.measure(none).count() == 0
