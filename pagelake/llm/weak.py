@@ -93,7 +93,8 @@ LABELLERS = (
     Labeller("sentences", "stops", (0.02, 0.4), (0.05, 0.2), 40),
     Labeller("word_length", "word_length", (0.15, 0.8), (0.2, 0.6)),
 )
-# One more labeller, in the last two bits: a text without words is bad.
+# One more labeller, in the last two bits: a text without words is bad. It does not guess, so its errors start next to none.
+ERRORS = np.append(np.full(len(LABELLERS), 0.01), 1e-6)
 
 
 def patterns(measured: np.ndarray) -> np.ndarray:
@@ -136,26 +137,26 @@ class VoteModel:
         return np.where(said > 0, right / np.maximum(said, 1), 1.0)
 
 
-def fit_votes(packed: np.ndarray, counts: np.ndarray, labellers: int = len(LABELLERS) + 1, rounds: int = 1000, false_alarms: float = 0.02) -> VoteModel:
-    """Expectation-maximisation over counted patterns.
+def fit_votes(packed: np.ndarray, counts: np.ndarray, labellers: int = len(LABELLERS) + 1, rounds: int = 2000, belief: float = 20.0, errors: np.ndarray | float = 0.01) -> VoteModel:
+    """Expectation-maximisation over counted patterns; every share and every chance is estimated.
 
     Bad texts come in kinds that few labellers see, so one class for all of them would settle on the labellers that agree most, and
-    call the rest good. Each labeller therefore has a kind of its own, on which it nearly always says bad, while what others say
-    on it is estimated, and so is how often each is wrong on good text, up to ``false_alarms``. One pseudo-count of the start keeps every
-    chance above 0. Without rows the start is returned.
+    call the rest good. Each labeller therefore has a kind of its own, which starts as text on which it mostly says bad. The
+    start is also a weak prior, which keeps every chance off 0 and 1: worth ``belief`` documents for ``errors`` on good text, one for the rest. Votes
+    cannot tell a kind that one labeller alone sees from errors of that labeller; there the prior believes the labeller. Without rows the
+    start is returned.
     """
-    start = np.full((labellers + 1, labellers), 0.1)
-    start[0] = false_alarms / 2
+    start = np.full((labellers + 1, labellers), 0.05)
+    start[0] = errors
     own = np.arange(labellers)
     start[own + 1, own] = 0.98
     first = np.append(0.8, np.full(labellers, 0.2 / labellers))
+    prior = np.append(belief, np.ones(labellers))[:, None]
     model, weights, votes = VoteModel(first, start), counts.astype(float), unpack(packed, labellers)
     said_bad, said = (votes == BAD).astype(float), (votes != ABSTAIN).astype(float)
     for _ in range(rounds if len(packed) else 0):
         mass = model.kinds(packed) * weights[:, None]
-        bad = (mass.T @ said_bad + start) / (mass.T @ said + 1)
-        bad[0] = np.minimum(bad[0], false_alarms)
-        bad[own + 1, own] = 0.98
+        bad = (mass.T @ said_bad + prior * start) / (mass.T @ said + prior)
         shares = (mass.sum(0) + first) / (weights.sum() + 1)
         moved = max(np.abs(shares - model.shares).max(), np.abs(bad - model.bad).max())
         model = VoteModel(shares, bad)
@@ -240,7 +241,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], ["votes", "n"])
 
     counted = own.select("text").mapInArrow(count, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
-    votes = fit_votes(np.array([r.votes for r in counted], np.int64), np.array([r.n for r in counted], np.int64))
+    votes = fit_votes(np.array([r.votes for r in counted], np.int64), np.array([r.n for r in counted], np.int64), errors=ERRORS)
     total = sum(r.n for r in counted)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,12 +274,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``votes``: two bits a labeller; ``posterior``: what the votes say; ``score``: the hashed scorer's probability of good text.
     A null text is an empty one: it is bad by its own labeller, and its score follows from its measurements, all zeros.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast names classes by their module, which workers need not have.
+    shared = docs.sparkSession.sparkContext.broadcast((model.votes.shares, model.votes.bad, model.scorer.weights, model.scorer.base))
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, scorer = WordHasher(), shared.value.scorer
+        shares, bad, weights, base = shared.value
+        hasher, votes = WordHasher(), VoteModel(shares, bad)
         for batch in batches:
             texts = batch["text"].to_pylist()
             found, sums = [], []
@@ -286,12 +289,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 measured = np.array(measure(text or b"", hashes))
                 places, values = features(hashes, measured)
                 found.append(measured)
-                sums.append(float(scorer.weights[places] @ values) + scorer.base)
+                sums.append(float(weights[places] @ values) + base)
             rows = np.array(found).reshape(-1, 1 + len(SHARES))
             packed = patterns(rows)
             value = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -40, 40)))
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(rows[:, 0].astype(np.int64)), pa.array(packed), pa.array(shared.value.votes.posterior(packed)), pa.array(value)],
+                [batch["id"], pa.array(rows[:, 0].astype(np.int64)), pa.array(packed), pa.array(votes.posterior(packed)), pa.array(value)],
                 ["id", "n_words", "votes", "posterior", "score"],
             )
 

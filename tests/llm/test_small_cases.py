@@ -456,6 +456,69 @@ def test_vote_estimate_against_truth():
         assert abs(model.posterior(np.array([packed]))[0] - odds[0] / odds.sum()) < 1e-9
 
 
+def test_vote_estimate_of_labellers_that_err_beats_any_vote():
+    """Labellers that call one good text in twenty or fifty bad: the estimate allows for it, and does better than any single bad vote would."""
+    rng = np.random.default_rng(5)
+    kind = rng.choice(3, 60_000, p=[0.8, 0.12, 0.08])
+    alarm = np.array([[0.05, 0.05, 0.05, 0.02, 0.02], [0.9, 0.85, 0.1, 0.9, 0.05], [0.1, 0.1, 0.9, 0.05, 0.9]])
+    votes = np.where(rng.random((len(kind), 5)) < alarm[kind], weak.BAD, weak.GOOD)
+    votes[rng.random(votes.shape) < 0.1] = weak.ABSTAIN
+    packed = (votes << (2 * np.arange(5))).sum(1)
+    found, counts = np.unique(packed, return_counts=True)
+    model = weak.fit_votes(found, counts, 5)
+    right = np.mean((model.posterior(packed) >= 0.5) == (kind == 0))
+    any_vote = np.mean(~(votes == weak.BAD).any(1) == (kind == 0))
+    assert right > any_vote + 0.03, (right, any_vote)
+    assert np.abs(model.bad[0] - alarm[0]).max() < 0.05
+
+
+def test_measurements_by_hand():
+    """Each share from words and lines, without tables of bytes."""
+    texts = ["", " \n ", "One two! #three\none TWO.\none TWO.\n\nEnd) of it?", "a b c d e f g h " * 6, "ÄRGER über alles. $$$ <b> ABC!\x0bx"]
+    hasher = WordHasher()
+    for text, hashes in zip(texts, hasher.each([t.encode() for t in texts])):
+        words, got = [w for w in WORD.findall(text)], dict(zip(("words", *weak.SHARES), weak.measure(text.encode(), hashes)))
+        n = len(words)
+        assert got["words"] == n
+        if not n:
+            assert not any(got.values())
+            continue
+        lines = [x.rstrip("\x20\t\x0b\x0c\r") for x in text.split("\n") if WORD.search(x)]
+        windows = collections.Counter(tuple(words[i : i + 8]) for i in range(n - 7))
+        again = {j for i in range(n - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+        want = {
+            "symbols": sum(c in "#*$%&|<>{}[]=_~^\\" for c in text) / n,
+            "repeated": len(again) / n,
+            "same_lines": 1 - len(set(lines)) / len(lines),
+            "distinct": len(set(words)) / n,
+            "commonest": max(collections.Counter(words).values()) / n,
+            "upper": sum("A" <= c <= "Z" for c in text) / max(sum(c.isascii() and c.isalpha() for c in text), 1),
+            "shouts": text.count("!") / n,
+            "ended_lines": sum(x[-1] in ".!?\"')" for x in lines) / len(lines),
+            "stops": len(re.findall(r"[.!?][\"')]*(?=[ \t-\r]|\Z)", text)) / n,
+            "word_length": sum(len(w.encode()) for w in words) / n / 16,
+        }
+        assert all(abs(got[k] - v) < 1e-12 for k, v in want.items()), (text, got, want)
+
+
+def test_scorer_against_newton_steps():
+    """The sparse, blocked fit against a dense one to convergence, and scores against dense products."""
+    rng = np.random.default_rng(2)
+    rows = [(rng.choice(40, 6, replace=False).astype(np.int32), rng.random(6).astype(np.float32)) for _ in range(400)]
+    dense = np.zeros((400, 41))
+    for i, (places, values) in enumerate(rows):
+        dense[i, places] = values
+    dense[:, 40] = 1
+    targets = 1 / (1 + np.exp(-(dense @ rng.normal(0, 2, 41))))
+    model, ridge = weak.fit_scorer(rows, targets, ridge=1e-2, rounds=3000), np.append(np.full(40, 1e-2), 0)
+    beta = np.zeros(41)
+    for _ in range(50):
+        chance = 1 / (1 + np.exp(-dense @ beta))
+        slope = dense.T @ (chance - targets) / 400 + ridge * beta
+        beta -= np.linalg.solve((dense * (chance * (1 - chance))[:, None]).T @ dense / 400 + np.diag(ridge), slope)
+    assert np.abs(model.weights[:40] - beta[:40]).max() < 1e-3 and abs(model.base - beta[40]) < 1e-3 and not model.weights[40:].any()
+
+
 def test_quality_learns_without_labels(spark, docs, none):
     rng = np.random.default_rng(1)
     rows = []
