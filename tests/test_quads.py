@@ -250,3 +250,22 @@ def test_pieces():
         assert [v.sum() for v in C.measures(left)] == pytest.approx(list(want), abs=1e-6)
         shared = C.measures(C.overlap(C.take(pieces, np.zeros(4, int)), C.take(pieces, np.arange(1, 5))))[0]
         assert shared.tolist() == pytest.approx([covered([ring(rings[0])], [], [ring(q)])[0] for q in rings[1:]], abs=1e-6)
+
+
+def test_centroid_is_worked_out_once(spark):
+    """Scaled polygons: the centre is read by every coordinate and computed once; rings without area or with nulls move down."""
+    from pagelake.functions import geometry as G
+
+    data = [(0.0, 0.0, 4.0, 0.0, 4.0, 2.0, 0.0, 2.0), (0.0, 0.0, 5.0, 1.0, 7.0, 6.0, 1.0, 3.0), (1.0, 1.0, 2.0, 2.0, 3.0, 3.0, 4.0, 4.0), (None, 0.0, 4.0, 0.0, 4.0, 2.0, 0.0, 2.0)]
+    quads = spark.createDataFrame(data, ", ".join(f"{c} double" for c in G.QUAD))
+    scaled = quads.select(*G.QUAD, G.scale_polygon(G.polygon_of(), 3.0).alias("p"))
+    assert scaled._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    for *c, p in scaled.collect():
+        points, centre = list(zip(c[::2], c[1::2])), (None, None)
+        if None not in c:
+            cross = [a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1])]
+            if sum(cross):
+                centre = [sum((a[i] + b[i]) * w for a, b, w in zip(points, points[1:] + points[:1], cross)) / (3 * sum(cross)) for i in (0, 1)]
+        for corner, moved in zip(points, p):
+            for v, m, got in zip(corner, centre, moved):
+                assert got == (None if v is None else v + 3 if m is not None and v > m else v - 3)
