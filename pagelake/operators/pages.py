@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.functions.geometry import BOX, QUAD, affinity_quad, dist
 from pagelake.operators.joins import CELL, in_cells
 from pagelake.operators.ordered import number_rows, running, split_points
+from pagelake.session import materialise
 
 WINDOW, BUFFER = (1280, 800), (50, 20)  # fixed defaults of the sliding window
 
@@ -20,11 +21,15 @@ def reading_order(boxes: DataFrame, id_col: str = "box_idx", points=None) -> Dat
     """
     keys = ["ymin", "xmin", id_col]
     if points is None:
-        points = split_points(boxes, ["image_id", *keys])
+        points = split_points(boxes, ["image_id", *keys], by=["image_id"])
+    # Work in slices reads a table twice, so each step's rows are written once.
+    once = materialise if points else lambda df, name: df
+    boxes = once(boxes, "boxes")
     below = running(boxes, keys, {"__floor": ("max", F.col("ymax"))}, ["image_id"], exclusive=True, points=points)
+    below = once(below, "below")
     fresh = (F.col("__floor").isNull() | (F.col("__floor") <= F.col("ymin"))).cast("int")
     lined = running(below.withColumn("__new", fresh), keys, {"line": ("sum", F.col("__new"))}, ["image_id"], points=points)
-    lined = lined.drop("__floor", "__new").withColumn("line", F.col("line") - 1)
+    lined = once(lined.drop("__floor", "__new").withColumn("line", F.col("line") - 1), "lined")
     order = ["line", "xmin", "ymin", "xmax", "ymax", id_col]
     lined_points = None if points else []
     return number_rows(lined, order, ["image_id"], name="position", start=0, points=lined_points)
