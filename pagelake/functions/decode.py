@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelake.functions.geometry import once
 from pagelake.functions.text import chars
 
 # Fixed values of the label coding.
@@ -40,17 +41,21 @@ def oov_chars(text: Column | str, charset: Sequence[str]) -> Column:
 def ctc_encode(text: Column | str, charset: Sequence[str]) -> Column:
     """Index + 1 of each character; null when a character is unknown (see ``oov_chars``)."""
     places = F.transform(chars(text), lambda c: _place(c, charset))
-    return F.when(~F.exists(places, lambda p: p == 0), places)
+    return once(places, lambda places: F.when(~F.exists(places, lambda p: p == 0), places))
 
 
 def ctc_decode(indices: Column | str, charset: Sequence[str]) -> Column:
     """Drop blanks and repeats of the previous index, then map to characters."""
     table = F.array(*[F.lit(c) for c in ctc_table(charset)])
-    seq = _c(indices)
-    kept = F.filter(
-        seq, lambda v, i: (v != 0) & ((i == 0) | (F.get(seq, F.greatest(i - 1, F.lit(0))) != v))
-    )
-    return F.array_join(F.transform(kept, lambda v: F.get(table, v.cast("int"))), "")
+
+    # Every place reads its neighbour, so the list is worked out once and not again for each place.
+    def text(seq: Column) -> Column:
+        kept = F.filter(
+            seq, lambda v, i: (v != 0) & ((i == 0) | (F.get(seq, F.greatest(i - 1, F.lit(0))) != v))
+        )
+        return F.array_join(F.transform(kept, lambda v: F.get(table, v.cast("int"))), "")
+
+    return once(_c(indices), text)
 
 
 def attn_encode(text: Column | str, charset: Sequence[str], max_len: int = MAX_LABEL) -> Column:

@@ -97,3 +97,11 @@ def test_restrict_vocab(spark):
 def test_group_swap(spark):
     pick = lambda v: X.swap_group_chars(v, {"a": ["a", "@"], "": ["x"]}, lambda i, n: i % n)
     assert one(spark, "aabba", pick) == "a@bba"
+
+
+def test_ctc_lists_are_worked_out_once(spark):
+    """Coding and decoding read a list at every place; each list stands in the plan once."""
+    df = spark.createDataFrame([("abba",), ("axb",), (None,), ("",)], "v string")
+    out = df.select(D.ctc_decode(D.ctc_encode("v", CHARSET), CHARSET).alias("t"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("instr(") == 1
+    assert [r.t for r in out.collect()] == ["aba", None, None, ""]
