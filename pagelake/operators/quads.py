@@ -1,9 +1,9 @@
 """Detection scoring against ground truth with pseudo characters, on quads of any rotation.
 
 Inputs: ``gt(image_id, word_idx, text, x1..y4)`` and ``det(image_id, det_idx, x1..y4)``; coordinates are truncated to whole numbers.
-All areas come from one pass over (image, grid cell): whatever touches a cell is cut to it, regions are cut up into convex pieces there,
-and the cells' areas and moments are added up as whole numbers, so a crowded page spreads over its cells and no result depends on the
-order of rows. A quad may have one reflex corner. ``detection.py`` has the same scoring for axis boxes.
+All areas come from one pass: regions are cut up into convex pieces, and areas and moments are added up as whole numbers, so no result
+depends on the order of rows. An image of up to ``CROWD`` quads is worked on as a whole; a crowded one is dealt to the cells of a grid, and
+whatever touches a cell is cut to it. A quad may have one reflex corner. ``detection.py`` has the same scoring for axis boxes.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from pagelake.functions import clipping as C
-from pagelake.functions.geometry import QUAD, dist, mean_diagonal, orient_vertical, polygon_area, polygon_centroid, polygon_of, quad_bounds
+from pagelake.functions.geometry import QUAD, dist, mean_diagonal, orient_vertical, quad_area, quad_bounds, quad_centroid
 from pagelake.functions.text import DONT_CARE
 from pagelake.operators.detection import AREA_PRECISION, AREA_RECALL, CENTRE_LIMIT, bent_groups, rates_per_image
 from pagelake.operators.joins import CELL, in_cells
@@ -27,6 +28,8 @@ _CARE, _DONT_CARE, _DETECTED = 0, 1, 2
 # Kinds of measured areas: a don't-care region, a detection in one, a detection in any, a detection in a care word.
 _REGION, _HELD, _LOST, _SHARED = 0, 1, 2, 3
 _PAIRS = 1_000_000
+_PLACES = 1_000_000
+CROWD = 256  # quads up to which an image is one cell
 _LINE = ["from_x", "from_y", "to_x", "to_y"]
 
 
@@ -39,7 +42,7 @@ def _words_of(gt: DataFrame) -> DataFrame:
 
 
 def _scaled_area() -> Column:
-    return F.rint(F.abs(polygon_area(polygon_of())) * C.SCALE).cast("long")
+    return F.rint(F.abs(quad_area()) * C.SCALE).cast("long")
 
 
 def _centre(prefix: str = "") -> tuple[Column, Column]:
@@ -47,7 +50,7 @@ def _centre(prefix: str = "") -> tuple[Column, Column]:
     x, y = ([F.col(f"{prefix}{axis}{k}") for k in range(1, 5)] for axis in "xy")
     even = (x[0] + x[2] == x[1] + x[3]) & (y[0] + y[2] == y[1] + y[3])
     middle = [sum(v[1:], v[0]) / 4.0 for v in (x, y)]
-    heavy = polygon_centroid(polygon_of([F.col(prefix + c) for c in QUAD]))
+    heavy = quad_centroid([F.col(prefix + c) for c in QUAD])
     return tuple(F.when(even, m).otherwise(F.coalesce(h, m)) for m, h in zip(middle, heavy))
 
 
@@ -82,10 +85,14 @@ def _lists(owner: np.ndarray, item: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 def cell_measures(group: np.ndarray, cell: np.ndarray, kind: np.ndarray, idx: np.ndarray, quads: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
-    """(kind of area, group, word, detection, (area, x moment, y moment)) of what meets in each group's cell (n, 4)."""
+    """(kind of area, group, word, detection, (area, x moment, y moment)) of what meets in each group's cell (n, 4), which may be endless."""
     pieces, of = C.convex_parts(quads)
-    corners = cell[of][:, [0, 1, 2, 1, 2, 3, 0, 3]].reshape(-1, 4, 2)
-    pieces = C.overlap(pieces, (corners, np.full(len(of), 4)))
+    box = C.bounds(pieces)
+    out = ((box[:, :2] < cell[of, :2]) | (box[:, 2:] > cell[of, 2:])).any(axis=1)
+    if out.any():
+        corners = cell[of[out]][:, [0, 1, 2, 1, 2, 3, 0, 3]].reshape(-1, 4, 2)
+        pieces = C.join([C.take(pieces, ~out), C.overlap(C.take(pieces, out), (corners, np.full(out.sum(), 4)))])
+        of = np.concatenate([of[~out], of[out]])
     solid = C.measures(pieces)[0] > 0
     pieces, of = C.take(pieces, solid), of[solid]
     group, kind, idx, n = group[of], kind[of], idx[of], len(of)
@@ -147,13 +154,22 @@ def _changes(table: pa.Table) -> np.ndarray:
     return new
 
 
+def _dealt(sides: DataFrame, cell: int) -> DataFrame:
+    """One row per quad of an image of at most ``CROWD`` quads, else one per quad and grid cell, as ``crowded``, cell_x, cell_y."""
+    counts = sides.groupBy(*_IMAGE).agg(F.count(F.lit(1)).alias("n"))
+    crowds = materialise(counts.where(F.col("n") > CROWD).select(*_IMAGE, F.lit(True).alias("crowded")), "crowds")
+    known = sides.join(crowds, _IMAGE, "left").withColumn("crowded", F.col("crowded").isNotNull())
+
+    # Corners may lie on the far border of a cell; a cell that holds a border alone gives no area.
+    return in_cells(known, cell, where="crowded")
+
+
 def region_measures(words: DataFrame, boxes: DataFrame, cell: int = CELL) -> DataFrame:
     """Rows (image_id, kind, word_idx, det_idx, area, mx, my), scaled whole numbers, of all regions with some area."""
     shape = [*_IMAGE, "kind", "idx", *QUAD]
     sides = words.select("image_id", F.when(F.col("dc"), _DONT_CARE).otherwise(_CARE).alias("kind"), F.col("word_idx").cast("long").alias("idx"), *QUAD)
     sides = sides.unionByName(boxes.select("image_id", F.lit(_DETECTED).alias("kind"), F.col("det_idx").cast("long").alias("idx"), *QUAD))
-    # Corners may lie on the far border of a cell; a cell that holds a border alone gives no area.
-    dealt = in_cells(sides.select(*shape, *quad_bounds()), cell).select(*shape, "cell_x", "cell_y")
+    dealt = _dealt(sides.select(*shape, *quad_bounds()), cell).select(*shape, "crowded", "cell_x", "cell_y")
     id_type = words.schema["image_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +177,11 @@ def region_measures(words: DataFrame, boxes: DataFrame, cell: int = CELL) -> Dat
             group = np.cumsum(_changes(table)) - 1
             firsts = np.flatnonzero(_changes(table))
             corner = np.stack([table["cell_x"].to_numpy(), table["cell_y"].to_numpy()], axis=1) * float(cell)
+            crowded = table["crowded"].to_numpy()[:, None]
+            bounds = np.concatenate([np.where(crowded, corner, -np.inf), np.where(crowded, corner + cell, np.inf)], axis=1)
             quads = np.stack([table[c].to_numpy() for c in QUAD], axis=1).reshape(-1, 4, 2)
             image = table["image_id"].combine_chunks()
-            for kind, at, word, det, (area, mx, my) in cell_measures(group, np.concatenate([corner, corner + cell], axis=1), table["kind"].to_numpy(), table["idx"].to_numpy(), quads):
+            for kind, at, word, det, (area, mx, my) in cell_measures(group, bounds, table["kind"].to_numpy(), table["idx"].to_numpy(), quads):
                 some = area > 0
                 yield pa.RecordBatch.from_arrays(
                     [image.take(pa.array(firsts[at[some]])), pa.array(np.full(some.sum(), kind, np.int32)), pa.array(word[some]), pa.array(det[some]), *(pa.array(C.scaled(v[some])) for v in (area, mx, my))],
@@ -202,15 +220,15 @@ def _detections(boxes: DataFrame, measured: DataFrame, r: float, p: float) -> Da
     held = measured.where(F.col("kind") == _HELD).select(*_DET, "word_idx", "area").join(regions, _GT)
     seen = held.groupBy(*_DET).agg(F.sum(F.when(F.col("area") / F.col("dc_area") > r, F.col("area")).otherwise(0)).alias("many"), F.max("area").alias("best"))
     lost = measured.where(F.col("kind") == _LOST).select(*_DET, F.col("area").alias("lost"), "mx", "my")
-    sized = boxes.withColumn("det_area", _scaled_area()).join(seen, _DET, "left").join(lost, _DET, "left")
+    x, y = _centre()
+    sized = boxes.withColumns({"det_area": _scaled_area(), "whole_cx": x, "whole_cy": y}).join(seen, _DET, "left").join(lost, _DET, "left")
     flag = (_share(F.col("many"), F.col("det_area")) >= p) | (_share(F.col("best"), F.col("det_area")) > p)
     left = F.col("det_area") - F.coalesce("lost", F.lit(0))
-    x, y = _centre()
 
     def centre(whole: Column, moment: str) -> Column:
         return F.when(F.col("lost").isNull(), whole).otherwise(F.coalesce(F.try_divide(whole * F.col("det_area") - F.col(moment), left), whole))
 
-    return sized.select(*_DET, *QUAD, F.coalesce(flag & F.col("many").isNotNull(), F.lit(False)).alias("det_dc"), left.alias("left_area"), centre(x, "mx").alias("left_cx"), centre(y, "my").alias("left_cy"))
+    return sized.select(*_DET, *QUAD, F.coalesce(flag & F.col("many").isNotNull(), F.lit(False)).alias("det_dc"), left.alias("left_area"), centre(F.col("whole_cx"), "mx").alias("left_cx"), centre(F.col("whole_cy"), "my").alias("left_cy"))
 
 
 def _reading_line(prefix: str) -> dict[str, Column]:
@@ -224,7 +242,8 @@ def _judged(words: DataFrame, dets: DataFrame, measured: DataFrame, r: float, p:
     side = lambda df, prefix: df.withColumnsRenamed({c: prefix + c for c in QUAD})
     care = side(words.where("NOT dc").withColumn("gt_area", _scaled_area()), "l_").drop("dc")
     pairs = measured.where(F.col("kind") == _SHARED).select(*_IMAGE, "word_idx", "det_idx", F.col("area").alias("inter"))
-    pairs = pairs.join(care.withColumns(_reading_line("l_")), _GT).join(side(dets, "r_"), _DET)
+    cx, cy = _centre("l_")
+    pairs = pairs.join(care.withColumns({**_reading_line("l_"), "l_cx": cx, "l_cy": cy}), _GT).join(side(dets, "r_"), _DET)
     pairs = pairs.withColumns({"hit_r": _share(F.col("inter"), F.col("gt_area")) >= r, "hit_p": _share(F.col("inter"), F.col("left_area")) >= p}).where("hit_r OR hit_p")
     of_gt, of_det = Window.partitionBy(*_GT), Window.partitionBy(*_DET)
     many_det, many_gt = F.col("hit_p") & ~F.col("det_dc"), F.col("hit_r") & ~F.col("det_dc")
@@ -236,7 +255,7 @@ def _judged(words: DataFrame, dets: DataFrame, measured: DataFrame, r: float, p:
         }
 
     pairs = pairs.withColumns(stats(of_gt, many_det, "gt")).withColumns(stats(of_det, many_gt, "det"))
-    gap = dist(*_centre("l_"), "left_cx", "left_cy")
+    gap = dist("l_cx", "l_cy", "left_cx", "left_cy")
     diagonals = mean_diagonal([f"l_{c}" for c in QUAD]) + mean_diagonal([f"r_{c}" for c in QUAD])
     judged = pairs.withColumns(
         {
@@ -249,28 +268,51 @@ def _judged(words: DataFrame, dets: DataFrame, measured: DataFrame, r: float, p:
     return chars_in_quads(judged)
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _places_inside(n: pa.Array, *lines: pa.Array) -> pa.Array:
+    """Places of the n characters between two points (four columns) that lie in a quad (eight columns), some rows at a time."""
+    n = np.maximum(n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
+    values = [v.to_numpy(zero_copy_only=False).astype(np.float64) for v in lines]
+    ends = np.cumsum(n)
+    found, many, start = [], [], 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PLACES, side="right")))
+        row = np.repeat(np.arange(start, stop), n[start:stop])
+        place = np.arange(len(row)) - np.repeat(ends[start:stop] - n[start:stop] - ends[start] + n[start], n[start:stop])
+        kept = _inside(n[row], place, [v[row] for v in values])
+        found.append(place[kept])
+        many.append(np.bincount(row[kept] - start, minlength=stop - start))
+        start = stop
+    offsets = np.concatenate([np.zeros(1, np.int64), *many]).cumsum()
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int32()))
+
+
+def _inside(n: np.ndarray, place: np.ndarray, lines: list[np.ndarray]) -> np.ndarray:
+    """Whether a quad contains the centre of a character, border included."""
+    # Four n times the centre of a character is a whole number, so centres on a border are told without rounding.
+    (from_x, from_y, to_x, to_y), corners = lines[:4], lines[4:]
+    x, y = (a * (2 * n) + (b - a) * (2 * place + 1) for a, b in ((from_x, to_x), (from_y, to_y)))
+    border, odd, unknown = (np.zeros(len(n), bool) for _ in range(3))
+    for k in range(4):
+        a_x, a_y, b_x, b_y = (corners[(2 * k + i) % 8] for i in range(4))
+        x0, y0, x1, y1 = (v * (4 * n) for v in (a_x, a_y, b_x, b_y))
+        turn = (b_x - a_x) * (y - y0) - (b_y - a_y) * (x - x0)
+        along = (x >= np.minimum(x0, x1)) & (x <= np.maximum(x0, x1)) & (y >= np.minimum(y0, y1)) & (y <= np.maximum(y0, y1))
+        border |= (turn == 0) & along
+        # Whether a ray to the right of the point meets this side; an odd number of sides means inside, for reflex corners, too.
+        meets = (y0 > y) != (y1 > y)
+        odd ^= meets & ((turn > 0) == (y1 > y0))
+        unknown |= np.isnan(y0) | np.isnan(y1) | (meets & np.isnan(turn))  # a missing corner
+    return border | (odd & ~unknown)
+
+
 def chars_in_quads(pairs: DataFrame) -> DataFrame:
     """Add ``inside``: places of the word's pseudo characters whose centre the detection contains, border included.
 
     ``pairs``: n_chars, from_x, from_y, to_x, to_y (``_reading_line``) and the detection as r_x1..r_y4. Centres are evenly spaced along the line.
     """
-    n = F.col("n_chars").cast("int")
-
-    # Four n times the centre of a character is a whole number, so centres on a border are told without rounding.
-    def inside(i: Column) -> Column:
-        at = {axis: F.col(f"from_{axis}") * (2 * n) + (F.col(f"to_{axis}") - F.col(f"from_{axis}")) * (2 * i + 1) for axis in "xy"}
-        border, odd = F.lit(False), F.lit(False)
-        for k in range(1, 5):
-            (x0, x1), (y0, y1) = ([F.col(f"r_{axis}{c}") * (4 * n) for c in (k, k % 4 + 1)] for axis in "xy")
-            turn = (F.col(f"r_x{k % 4 + 1}") - F.col(f"r_x{k}")) * (at["y"] - y0) - (F.col(f"r_y{k % 4 + 1}") - F.col(f"r_y{k}")) * (at["x"] - x0)
-            along = at["x"].between(F.least(x0, x1), F.greatest(x0, x1)) & at["y"].between(F.least(y0, y1), F.greatest(y0, y1))
-            border = border | ((turn == 0) & along)
-            # Whether a ray to the right of the point meets this side; an odd number of sides means inside, for reflex corners, too.
-            odd = odd != (((y0 > at["y"]) != (y1 > at["y"])) & ((turn > 0) == (y1 > y0)))
-        return border | odd
-
-    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return pairs.withColumn("inside", F.filter(every, inside)).drop(*_LINE)
+    columns = [F.coalesce(F.col("n_chars"), F.lit(0)).cast("int"), *(F.col(c).cast("double") for c in (*_LINE, *(f"r_{c}" for c in QUAD)))]
+    return pairs.withColumn("inside", _places_inside(*columns)).drop(*_LINE)
 
 
 def detection_matches_quads(

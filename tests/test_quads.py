@@ -269,3 +269,37 @@ def test_centroid_is_worked_out_once(spark):
         for corner, moved in zip(points, p):
             for v, m, got in zip(corner, centre, moved):
                 assert got == (None if v is None else v + 3 if m is not None and v > m else v - 3)
+
+
+def test_small_pages_are_one_cell(spark, monkeypatch):
+    """A quad of a page of usual size is dealt once, however large; crowded pages go to cells and give the same areas."""
+    rng = random.Random(11)
+    quads = lambda n, image: [(image, i, *map(float, slanted(rng, rng.randint(0, 300), rng.randint(0, 300), rng.randint(20, 300), rng.randint(10, 90)))) for i in range(n)]
+    words = spark.createDataFrame([(*q[:2], q[1] % 3 == 0, *q[2:]) for i in (1, 2) for q in quads(14, i)], f"image_id long, word_idx long, dc boolean, {QUAD}")
+    boxes = spark.createDataFrame([q for i in (1, 2) for q in quads(14, i)], DET)
+
+    def measured():
+        return {tuple(r)[:4]: tuple(r)[4:] for r in Q.region_measures(words, boxes, cell=64).collect()}
+
+    sides = boxes.select("image_id", *QUAD.replace(" double", "").split(", "), *Q.quad_bounds())
+    assert Q._dealt(sides, 64).count() == 28
+    whole = measured()
+    monkeypatch.setattr(Q, "CROWD", 10)
+    assert Q._dealt(sides, 64).count() > 100
+    cells = measured()
+    assert {k[1] for k in whole} == {0, 1, 2, 3} and whole.keys() == cells.keys()
+    for key, values in whole.items():
+        assert [v / C.SCALE for v in cells[key]] == pytest.approx([v / C.SCALE for v in values], rel=1e-9, abs=0.2)
+
+
+def test_places_in_blocks(monkeypatch):
+    """Places of a batch are told some rows at a time; words without characters and rows without a quad have none."""
+    import pyarrow as pa
+
+    n = [4, 0, 3, None, 7, 1, 2]
+    line = [[0.0] * 7, [4.0] * 7, [80.0] * 7, [4.0] * 7]
+    box = [[0.0] * 6 + [None], [0.0] * 7, [20.0] * 6 + [None], [0.0] * 7, [20.0] * 7, [4.0] * 7, [0.0] * 7, [4.0] * 7]
+    want = [[0, 1], [], [0, 1], [], [0, 1, 2, 3], [0], []]
+    for most in (1, 5, 1000):
+        monkeypatch.setattr(Q, "_PLACES", most)
+        assert Q._places_inside.func(pa.array(n, pa.int32()), *(pa.array(v, pa.float64()) for v in line + box)).to_pylist() == want
