@@ -84,7 +84,7 @@ def _lists(owner: np.ndarray, item: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return item[order], np.searchsorted(owner[order], np.arange(n + 1))
 
 
-def cell_measures(group: np.ndarray, cell: np.ndarray, kind: np.ndarray, idx: np.ndarray, quads: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
+def cell_measures(group: np.ndarray, cell: np.ndarray, kind: np.ndarray, idx: np.ndarray, quads: np.ndarray, shared: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
     """(kind of area, group, word, detection, (area, x moment, y moment)) of what meets in each group's cell (n, 4), which may be endless."""
     pieces, of = C.convex_parts(quads)
     box = C.bounds(pieces)
@@ -105,10 +105,10 @@ def cell_measures(group: np.ndarray, cell: np.ndarray, kind: np.ndarray, idx: np
             own = (kind[i] == a) & (kind[j] == b)
             region[name][0].append(i[own])
             region[name][1].append(j[own])
-        own = (kind[i] == _CARE) & (kind[j] == _DETECTED)
-        i, j = i[own], j[own]
-        shared = C.measures(C.overlap(C.take(pieces, i), C.take(pieces, j)))
-        yield _SHARED, group[i], idx[i], idx[j], shared
+        if shared:
+            own = (kind[i] == _CARE) & (kind[j] == _DETECTED)
+            i, j = i[own], j[own]
+            yield _SHARED, group[i], idx[i], idx[j], C.measures(C.overlap(C.take(pieces, i), C.take(pieces, j)))
     found = {k: tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in v) for k, v in region.items()}
     care, care_at = _lists(found["care"][1], found["care"][0], n)
     earlier, earlier_at = _lists(found["earlier"][1], found["earlier"][0], n)
@@ -164,8 +164,11 @@ def _dealt(sides: DataFrame, cell: int) -> DataFrame:
     return in_cells(known, cell, where="crowded")
 
 
-def region_measures(words: DataFrame, boxes: DataFrame, cell: int = CELL) -> DataFrame:
-    """Rows (image_id, kind, word_idx, det_idx, area, mx, my), scaled whole numbers, of all regions with some area."""
+def region_measures(words: DataFrame, boxes: DataFrame, cell: int = CELL, shared: bool = True) -> DataFrame:
+    """Rows (image_id, kind, word_idx, det_idx, area, mx, my), scaled whole numbers, of all regions with some area.
+
+    Without ``shared`` the areas that detections share with care words are not worked out.
+    """
     shape = [*_IMAGE, "kind", "idx", *QUAD]
     sides = words.select("image_id", F.when(F.col("dc"), _DONT_CARE).otherwise(_CARE).alias("kind"), F.col("word_idx").cast("long").alias("idx"), *QUAD)
     sides = sides.unionByName(boxes.select("image_id", F.lit(_DETECTED).alias("kind"), F.col("det_idx").cast("long").alias("idx"), *QUAD))
@@ -181,7 +184,7 @@ def region_measures(words: DataFrame, boxes: DataFrame, cell: int = CELL) -> Dat
             bounds = np.concatenate([np.where(crowded, corner, -np.inf), np.where(crowded, corner + cell, np.inf)], axis=1)
             quads = np.stack([table[c].to_numpy() for c in QUAD], axis=1).reshape(-1, 4, 2)
             image = table["image_id"].combine_chunks()
-            for kind, at, word, det, (area, mx, my) in cell_measures(group, bounds, table["kind"].to_numpy(), table["idx"].to_numpy(), quads):
+            for kind, at, word, det, (area, mx, my) in cell_measures(group, bounds, table["kind"].to_numpy(), table["idx"].to_numpy(), quads, shared):
                 some = area > 0
                 yield pa.RecordBatch.from_arrays(
                     [image.take(pa.array(firsts[at[some]])), pa.array(np.full(some.sum(), kind, np.int32)), pa.array(word[some]), pa.array(det[some]), *(pa.array(C.scaled(v[some])) for v in (area, mx, my))],
@@ -200,7 +203,7 @@ def subtract_dont_care_quads(gt: DataFrame, det: DataFrame, cell: int = CELL) ->
     ``pairs(image_id, det_idx, word_idx, inter, dc_area)`` and ``lost(image_id, det_idx, area, mx, my)``, the area and first moments
     of what a detection loses.
     """
-    measured = materialise(region_measures(_words_of(gt), _whole(det), cell), "measured")
+    measured = materialise(region_measures(_words_of(gt), _whole(det), cell, shared=False), "measured")
     px = lambda c: (F.col(c) / C.SCALE).alias(c)
     regions = measured.where(F.col("kind") == _REGION).select(*_GT, (F.col("area") / C.SCALE).alias("dc_area"))
     pairs = measured.where(F.col("kind") == _HELD).select(*_DET, "word_idx", (F.col("area") / C.SCALE).alias("inter")).join(regions, _GT)

@@ -288,6 +288,8 @@ def test_small_pages_are_one_cell(spark, monkeypatch):
     assert Q._dealt(sides, 64).count() > 100
     cells = measured()
     assert {k[1] for k in whole} == {0, 1, 2, 3} and whole.keys() == cells.keys()
+    lone = {tuple(r)[:4]: tuple(r)[4:] for r in Q.region_measures(words, boxes, cell=64, shared=False).collect()}
+    assert lone == {k: v for k, v in cells.items() if k[1] != 3}
     for key, values in whole.items():
         assert [v / C.SCALE for v in cells[key]] == pytest.approx([v / C.SCALE for v in values], rel=1e-9, abs=0.2)
 
