@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,16 +23,16 @@ def apply_detector(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd
 
 
 def apply_recogniser(
-    df: DataFrame, load: Callable[[], Callable[[pd.Series], tuple[str, float]]], keys: tuple[str, ...] = ("image_id", "det_idx")
+    df: DataFrame, load: Callable[[], Callable[[Mapping[str, Any]], tuple[str, float]]], keys: tuple[str, ...] = ("image_id", "det_idx")
 ) -> DataFrame:
-    """Crops to (text, score). A crop on which the model fails gives ('', -1)."""
+    """Crops, as columns by name, to (text, score). A crop on which the model fails gives ('', -1)."""
     fields = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
             texts, scores = [], []
-            for _, crop in batch.iterrows():
+            for crop in batch.to_dict("records"):
                 try:
                     text, score = model(crop)
                 except Exception:

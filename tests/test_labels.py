@@ -105,3 +105,14 @@ def test_ctc_lists_are_worked_out_once(spark):
     out = df.select(D.ctc_decode(D.ctc_encode("v", CHARSET), CHARSET).alias("t"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("instr(") == 1
     assert [r.t for r in out.collect()] == ["aba", None, None, ""]
+
+
+def test_recogniser_sees_columns_as_they_are(spark):
+    """A crop's whole numbers stay whole numbers beside fractions; a failing crop gives an empty text."""
+    from pagelake.operators.hooks import apply_recogniser
+
+    def load():
+        return lambda crop: (str(crop["det_idx"]), 1 / crop["width"])
+
+    crops = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.0), (2, 7, 4.0)], "image_id long, det_idx long, width double")
+    assert sorted(map(tuple, apply_recogniser(crops, load).collect())) == [(1, 0, "0", 2.0), (1, 1, "", -1.0), (2, 7, "7", 0.25)]
