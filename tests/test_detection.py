@@ -134,6 +134,57 @@ def test_random_pages(spark, pages, monkeypatch, limit, cell):
         assert row["precision_sum"] == pytest.approx(precision_sum), i
 
 
+def test_pages_matched_whole_and_crowded_pages(spark, pages, monkeypatch):
+    """Pages above the limit go through the grid, the others are dealt by image without it; rows without an image meet nothing."""
+    gt, det = tables(spark, pages)
+    nobody = spark.createDataFrame([(None, 0, "word", 0, 0, 40, 10)], GT), spark.createDataFrame([(None, 0, 0, 0, 40, 10)], DET)
+    gt, det = gt.unionByName(nobody[0]), det.unionByName(nobody[1])
+    results = []
+    for limit in (256, 4):
+        monkeypatch.setattr(D, "PAGE_BOXES", limit)
+        matches, dets = D.detection_matches(gt, det, cell=8)
+        pairs = matches.drop("n_chars").where("one_to_one or one_to_many or many_to_one")
+        plan = matches._jdf.queryExecution().executedPlan().toString()
+        assert ("cell_x" in plan) == (limit == 4)
+        results.append((rows(pairs), sorted(map(tuple, dets.select("image_id", "det_idx", "det_area", "det_dc", "left_area", "left_cx", "left_cy").collect()), key=str)))
+    assert results[0] == results[1] and len(results[0][0]) > 50
+    got = {i: set() for i in pages}
+    for row in results[0][0]:
+        got[row[0]].add((row[1], row[2]))
+    for i, (gts, dets) in pages.items():
+        care = [k for k, (text, _) in enumerate(gts) if text != "###"]
+        assert got[i] == {(care[a], b) for a, b in by_pixels(gts, dets)[4]}, i
+
+
+def test_single_boxes_need_no_strips(spark):
+    rows_in = [(1, 0, 0, 4, 3, True), (2, 0, 0, 4, 3, False), (3, 0, 5, 4, 3, True), (4, 2, 0, 2, 3, True), (5, 0, 0, 4, 4, True), (5, 2, 1, 9, 3, False)]
+    boxes = spark.createDataFrame(rows_in, "k long, xmin long, ymin long, xmax long, ymax long, plus boolean")
+    assert rows(D.covered_measures(boxes, ["k"])) == [(1, 12, 48, 36), (2, 0, 0, 0), (3, 0, 0, 0), (5, 12, 40, 48)]
+
+
+def test_places_inside_are_those_of_a_test_of_each_centre(spark):
+    rng = random.Random(5)
+    sides = [f"{s}_{c}" for s in "lr" for c in ("xmin", "ymin", "xmax", "ymax")]
+    data = []
+    for i in range(1500):
+        x, y, dx, dy = rng.randint(-50, 50), rng.randint(-50, 50), rng.randint(-10, 10), rng.randint(-10, 10)
+        w, h = rng.randint(1, 40), rng.randint(1, 80)
+        if i % 50 == 0:
+            w = -w
+        data.append((rng.choice((None, 0, 1, 2, 7, 30)), x, y, x + w, y + h, x + dx, y + dy, x + dx + rng.randint(1, 40), y + dy + rng.randint(1, 80)))
+    table = spark.createDataFrame(data, "n_chars int, " + ", ".join(f"{c} long" for c in sides))
+    for r in D.chars_in_detections(table).collect():
+        n, w, h = r.n_chars or 0, r.l_xmax - r.l_xmin, r.l_ymax - r.l_ymin
+        want = []
+        for c in range(n):
+            share, tall = (c + 0.5) / n, h > 1.5 * w
+            px = (r.l_xmin + r.l_xmax) / 2.0 if tall else r.l_xmin + w * share
+            py = r.l_ymax - h * share if tall else (r.l_ymin + r.l_ymax) / 2.0
+            if r.r_xmin <= px <= r.r_xmax and r.r_ymin <= py <= r.r_ymax:
+                want.append(c)
+        assert r.inside == want, r
+
+
 def test_kinds_of_matches(spark):
     gt = [(1, 0, "wide", 0, 0, 40, 10), (2, 0, "ab", 0, 0, 20, 10), (2, 1, "cd", 20, 0, 40, 10), (3, 0, "solo", 0, 0, 40, 10)]
     det = [(1, 0, 0, 0, 20, 10), (1, 1, 20, 0, 40, 10), (2, 0, 0, 0, 40, 10), (3, 0, 1, 1, 41, 11)]
