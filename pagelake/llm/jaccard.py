@@ -310,7 +310,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = shared.groupBy("sig").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     kept = members.groupBy("members", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
     shared = materialise(shared.join(kept, "sig", "left_semi").join(nodes.select("node", "n"), "node"), "shared")
-    roots, sets, tested, turn = nodes.select("node", F.col("node").alias("root")), None, None, 0
+    roots, sets, tested, turn, last = nodes.select("node", F.col("node").alias("root")), None, None, 0, False
     while True:
         placed = shared.join(roots, "node")
         if turn < 2:
@@ -327,7 +327,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             members = placed.join(mixed, "sig").join(nodes.select("node", "parity"), "node").join(refused, "node", "left")
             found = materialise(close_in_blocks(members, threshold, 4 ** (turn - 2) - 1), "blocks")
             pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
-            shared = shared.join(found.where("a IS NULL").select("sig").distinct(), "sig", "left_semi")
+            held = found.where("a IS NULL").select("sig").distinct()
+            last = held.isEmpty()
+            shared = shared.join(held, "sig", "left_semi")
         pairs = materialise(pairs, "pairs")
         if not pairs.isEmpty():
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -344,6 +346,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             roots = materialise(roots.join(joined, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
         elif turn >= 2:
             return about, roots
+        if last:
+            return about, roots
         if tested is None:
             tested = materialise(pairs, "tested")
         turn += 1

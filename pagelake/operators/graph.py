@@ -18,8 +18,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     change nothing; edges with a null end are left out.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    # Written with its loops, so that the edges are worked out once for the rounds and for the list of nodes.
+    links = materialise(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    stars = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    stars = links.where("u <> v")
     seen = _digest(stars)
     while seen[0]:
         stars = materialise(_small_star(_large_star(stars)), "stars")
