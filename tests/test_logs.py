@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators import feed as E
 from pagelake.operators import metrics as M
+from pagelake.plans import streams
 from pagelake.plans.catalogue import QUERIES
 from pagelake.streaming import ingest
 from pagelake.streaming import metrics as R
@@ -170,3 +171,22 @@ def test_ingest_stream(spark, tmp_path):
     (tmp_path / "c.json").write_text("{oops")
     words = run(ingest.stream_ingest(ingest.stream_annotations(spark, str(tmp_path / "*.json"))), tmp_path)
     assert rows(words.select("file", "text")) == [("a.jpg", "w")]
+
+
+def test_ingest_keeps_state_in_as_many_parts_as_cores(spark, tmp_path, monkeypatch):
+    corner = ", ".join(f'"{a}{i}": {i}' for i in range(1, 5) for a in "xy")
+    (tmp_path / "in").mkdir()
+    for k, names in enumerate((["a"], ["a", "b"], ["c"], ["d"], ["b", "e"], ["f"])):
+        images = (f'{{"file": "{n}.jpg", "words": [{{"text": "{n}", {corner}}}]}}' for n in names)
+        (tmp_path / "in" / f"{k}.json").write_text(f"[{', '.join(images)}]")
+    monkeypatch.setattr(streams, "annotation_files", lambda *_, **__: str(tmp_path / "in"))
+    monkeypatch.setattr(streams, "_paths", lambda _: (str(tmp_path / "out"), str(tmp_path / "state")))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        got = rows(QUERIES["stream_ingest"](spark, "").select("file", "text"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "11"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == [(f"{n}.jpg", n) for n in "abcdef"]
+    assert len([p for p in (tmp_path / "state" / "state" / "0").iterdir() if p.name.isdigit()]) == spark.sparkContext.defaultParallelism
