@@ -190,3 +190,17 @@ def test_ingest_keeps_state_in_as_many_parts_as_cores(spark, tmp_path, monkeypat
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     assert got == [(f"{n}.jpg", n) for n in "abcdef"]
     assert len([p for p in (tmp_path / "state" / "state" / "0").iterdir() if p.name.isdigit()]) == spark.sparkContext.defaultParallelism
+
+
+def test_ingest_commits_each_file_once(spark, tmp_path, monkeypatch):
+    corner = ", ".join(f'"{a}{i}": {i}' for i in range(1, 5) for a in "xy")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text(f'{{"file": "a.jpg", "words": [{{"text": "a", {corner}}}]}}')
+    monkeypatch.setattr(streams, "annotation_files", lambda *_, **__: str(tmp_path / "in"))
+    monkeypatch.setattr(streams, "_paths", lambda _: (str(tmp_path / "out"), str(tmp_path / "state")))
+    manager, append, seen = "spark.sql.streaming.checkpointFileManagerClass", streams._run_append, []
+    monkeypatch.setattr(streams, "_run_append", lambda *a: seen.append(spark.conf.get(manager, None)) or append(*a))
+    assert rows(QUERIES["stream_ingest"](spark, "").select("file", "text")) == [("a.jpg", "a")]
+    # A local folder: no process is started for each file, and no file of the state has a second checksum.
+    assert seen == [streams.LOCAL_MANAGER] and spark.conf.get(manager, None) is None
+    assert not [p.name for p in (tmp_path / "state").rglob("*.crc.crc")]
