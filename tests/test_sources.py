@@ -9,6 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from pagelake.operators import feed, filters, joins
+from pagelake.plans.catalogue import QUERIES
 from pagelake.sources import annotations as A
 from pagelake.sources import files as S
 from pagelake.sources import store
@@ -102,6 +103,33 @@ def test_icdar13_characters(spark):
     assert out["text"] == "c" and [(c["text"], c["x1"]) for c in out["chars"]] == [("c", 5)]
 
 
+def test_character_lines_are_sorted_once(spark):
+    char = '0 0 0 0 0 1 2 3 4 "{0}"'.format
+    texts = {"f": [char("a"), char("b"), "", "# x", char("c"), None, "", "", char("d")], "g": ["", char("e"), char("f")], None: [char("g")]}
+    data = [(f, i, line) for f, lines in texts.items() for i, line in enumerate(lines)]
+    lines = spark.createDataFrame(data, "file string, line_no long, line string")
+    numbered = A.number_words(lines.repartition(3, "file"))
+    assert numbered.schema["char_idx"].dataType.simpleString() == "int"
+    # After a blank line a note takes the word break back.
+    want = [("f", 0, 0, 0), ("f", 1, 0, 1), ("f", 4, 0, 0), ("f", 8, 2, 0), ("g", 1, 1, 0), ("g", 2, 1, 1), (None, 0, 0, 0)]
+    assert sorted(map(tuple, numbered.select("file", "line_no", "word_idx", "char_idx").collect()), key=str) == sorted(want, key=str)
+    plan = numbered._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hash") == 1
+
+
+def test_words_go_to_their_file_before_their_lines_are_made(spark, tmp_path):
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    rest = "l_shipdate timestamp, l_returnflag string, l_linestatus string"
+    data = [(o, 1, 2, n, 3.0, 4.0, 0.0, 0.0, None, "A", "F") for o in (1, 2) for n in (1, 2)]
+    spark.createDataFrame(data, f"{line}, {rest}").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "ab", "x")], "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    chars = QUERIES["read_icdar13_chars"](spark, str(tmp_path))
+    plan = chars._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Exchange" not in plan[:plan.index("Generate")] and "Exchange" in plan
+    got = rows(chars.select("file", "word_idx", "char_idx", "text"))
+    assert got == [(str(o), w, c, "ab"[c]) for o in (1, 2) for w in (0, 1) for c in (0, 1)]
+
+
 def test_synthetic_layout(spark):
     flat = lambda n: [[[float(10 * k + i) for i in range(n)] for k in range(4)] for _ in range(2)]
     data = [("d/a.jpg", ["Lines:\nI lost", " of "], flat(4), flat(13)), ("d/b.jpg", ["one two"], flat(1), flat(6))]
