@@ -88,10 +88,25 @@ def keep_owned(
 
 
 def untile_detections(dets: DataFrame, tiles: DataFrame, boxes=BOX) -> DataFrame:
-    """Tile coordinates to page coordinates."""
-    placed = dets.join(tiles.select("image_id", "i", "j", "x_off", "y_off"), ["image_id", "i", "j"])
-    shift = {c: F.col(c) + F.col("x_off" if c.startswith("x") else "y_off") for c in boxes}
-    return placed.withColumns(shift).drop("x_off", "y_off")
+    """Tile coordinates to page coordinates.
+
+    Detections meet the list of their page's tiles, so those that come dealt by page stay where they are. The place of a tile in a
+    whole grid gives its entry at once; where another tile stands there, or the same one twice, the list is searched.
+    """
+    entry = F.struct(*[F.col(c).alias(f"t_{c}") for c in ("i", "j", "x_off", "y_off")])
+    lists = tiles.groupBy("image_id").agg(F.array_sort(F.collect_list(entry)).alias("__tiles"), (F.max("j") + 1).alias("__wide"))
+    place = (F.col("i") * F.col("__wide") + F.col("j")).cast("int")
+
+    def own(t: Column) -> Column:
+        return (t["t_i"] == F.col("i")) & (t["t_j"] == F.col("j"))
+
+    def taken(k: int) -> Column:
+        return F.coalesce(own(F.get("__tiles", place + k)), F.lit(False))
+
+    near = F.when(taken(0) & ~taken(-1) & ~taken(1), F.array(F.get("__tiles", place))).otherwise(F.col("__tiles"))
+    placed = dets.join(lists, "image_id").withColumn("__tile", F.explode(near)).where(own(F.col("__tile")))
+    shift = {c: F.col(c) + F.col("__tile.t_x_off" if c.startswith("x") else "__tile.t_y_off") for c in boxes}
+    return placed.withColumns(shift).select("image_id", "i", "j", *[c for c in dets.columns if c not in ("image_id", "i", "j")])
 
 
 def box_heat(dets: DataFrame, grid: DataFrame, id_col: str = "det_idx", cell: int = CELL) -> DataFrame:

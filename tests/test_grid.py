@@ -153,3 +153,27 @@ def test_components_of_winding_graphs(spark):
     got = H.propagate_labels(edges)
     least = {(1, n): 0 for e in u for n in e} | {(2, n): 1000 for e in comb for n in e} | {(3, 5): 5, (3, 7): 7, (3, 8): 7}
     assert {(r.image_id, r.node): r.label for r in got.collect()} == least
+
+
+def test_tile_detections_stay_with_their_page(spark):
+    """Whole grids, grids with gaps, tiles that come twice, and nulls, against a plain join; nothing dealt by page is dealt again."""
+    grids = {1: [(i, j) for i in range(3) for j in range(4)], 2: [(0, 0), (0, 2), (2, 1), (1, 1)], 3: [(0, 0), (0, 0), (1, 0), (0, 1), (0, 1)], 4: [(None, 0), (0, None), (-1, 0), (0, 0)], None: [(0, 0)]}
+    tiles = spark.createDataFrame(
+        [(p, i, j, 100 * k, 7 * k + (p or 0)) for p, grid in grids.items() for k, (i, j) in enumerate(grid)], "image_id long, i int, j int, x_off int, y_off int")
+    spots = [(i, j) for i in (-1, 0, 1, 2, 3, None) for j in (-1, 0, 1, 2, 3, 4, None)]
+    dets = spark.createDataFrame(
+        [(k, p, i, j, k % 5, 1, 2, 3, None if k % 7 == 0 else 4) for p in (1, 2, 3, 4, 5, None) for k, (i, j) in enumerate(spots)],
+        "det_idx long, image_id long, i int, j int, n long, xmin long, ymin long, xmax long, ymax long")
+    plain = dets.join(tiles, ["image_id", "i", "j"]).selectExpr("image_id", "i", "j", "det_idx", "n", "xmin + x_off AS xmin", "ymin + y_off AS ymin", "xmax + x_off AS xmax", "ymax + y_off AS ymax")
+    got = L.untile_detections(dets, tiles)
+    assert got.columns == plain.columns and got.schema["i"] == plain.schema["i"]
+    key = lambda r: str(tuple(r))
+    assert sorted(got.collect(), key=key) == sorted(plain.collect(), key=key) and got.count() == 12 + 4 + 5 + 2
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = L.untile_detections(dets.repartition(4, "image_id"), tiles.repartition(4, "image_id"))
+        plan = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hash") == 2
