@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pagelake.functions.geometry import QUAD, polygon_area, polygon_of, quad_bounds
-from pagelake.operators.joins import CELL, overlapping
+from pagelake.operators.detection import meeting, page_parts
+from pagelake.operators.joins import CELL
 
 
 def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,7 +78,7 @@ def quad_overlap_pairs(
 ) -> DataFrame:
     """Pairs of quads with shared area, recall and precision.
 
-    Candidates come from the bounding boxes in grid cells; only they reach the Arrow function.
+    Candidates come from the bounding boxes, of crowded images in grid cells, of others by image; only they reach the Arrow function.
     """
 
     def side(df: DataFrame, ids: Sequence[str], prefix: str) -> DataFrame:
@@ -91,11 +93,13 @@ def quad_overlap_pairs(
             *[v.alias(n) for v, n in zip(bounds, ("xmin", "ymin", "xmax", "ymax"))],
         )
 
-    near = overlapping(side(gt, left_ids, "g_"), side(det, right_ids, "d_"), ["image_id"], cell)
-    area = quad_intersection_area([f"g_{c}" for c in QUAD], [f"d_{c}" for c in QUAD], truncate=False)
-    found = near.withColumn("inter", area).where("inter > 0")
-    return found.select(
-        "image_id", *left_ids, *right_ids, "inter",
-        F.coalesce(F.try_divide("inter", "g_area"), F.lit(0.0)).alias("recall"),
-        F.coalesce(F.try_divide("inter", "d_area"), F.lit(0.0)).alias("precision"),
-    )
+    def found(left: DataFrame, right: DataFrame, size: int | None) -> DataFrame:
+        area = quad_intersection_area([f"g_{c}" for c in QUAD], [f"d_{c}" for c in QUAD], truncate=False)
+        return meeting(left, right, size).withColumn("inter", area).where("inter > 0").select(
+            "image_id", *left_ids, *right_ids, "inter",
+            F.coalesce(F.try_divide("inter", "g_area"), F.lit(0.0)).alias("recall"),
+            F.coalesce(F.try_divide("inter", "d_area"), F.lit(0.0)).alias("precision"),
+        )
+
+    parts = page_parts(side(gt, left_ids, "g_"), side(det, right_ids, "d_"), cell)
+    return reduce(DataFrame.unionByName, [found(*part) for part in parts])

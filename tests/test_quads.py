@@ -305,3 +305,39 @@ def test_places_in_blocks(monkeypatch):
     for most in (1, 5, 1000):
         monkeypatch.setattr(Q, "_PLACES", most)
         assert Q._places_inside.func(pa.array(n, pa.int32()), *(pa.array(v, pa.float64()) for v in line + box)).to_pylist() == want
+
+
+def test_quads_of_usual_pages_meet_by_image(spark):
+    """Pages of few quads meet by image, crowded ones in grid cells: the same pairs, and those of integration over strips."""
+    from pagelake.functions.polygons import quad_overlap_pairs
+
+    rnd = random.Random(5)
+
+    def quad(far):
+        x, y, w, h, a = rnd.uniform(-far, far), rnd.uniform(-far, far), rnd.uniform(5, 60), rnd.uniform(5, 60), rnd.uniform(0, 3)
+        return [c for u, v in ((0, 0), (w, 0), (w, h), (0, h)) for c in (x + u * math.cos(a) - v * math.sin(a), y + u * math.sin(a) + v * math.cos(a))]
+
+    def table(name, many):
+        made = [(page, k, *quad(60)) for page in (1, 2, None) for k in range(12)] + [(9, k, *quad(600)) for k in range(many)]
+        made.append((1, 77, *made[0][2:9], None))
+        return spark.createDataFrame(made, f"image_id long, {name} long, {QUAD}"), made
+
+    (few_gt, raw_gt), (few_det, raw_det) = table("word_idx", 0), table("det_idx", 0)
+    near = quad_overlap_pairs(few_gt, few_det, truncate=False)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "cell_x" not in plan
+    got = {(r.image_id, r.word_idx, r.det_idx): r.inter for r in near.collect()}
+    ring = lambda v: list(zip(v[::2], v[1::2]))
+    for g in raw_gt:
+        for d in raw_det:
+            if g[0] == d[0] and g[0] is not None and None not in g + d:
+                area = covered([ring(g[2:])], [], [ring(d[2:])])[0]
+                assert got.pop((g[0], g[1], d[1]), 0.0) == pytest.approx(area, abs=1e-6)
+    assert not got
+    (gt, _), (det, _) = table("word_idx", 300), table("det_idx", 40)
+    both = quad_overlap_pairs(gt, det, truncate=False, cell=64)
+    assert "cell_x" in both._jdf.queryExecution().executedPlan().toString()
+    alone = quad_overlap_pairs(gt.where("image_id = 9 AND word_idx < 200"), det.where("image_id = 9"), truncate=False)
+    pairs = lambda df: sorted(map(tuple, df.where("image_id = 9 AND word_idx < 200").collect()))
+    assert pairs(both) == pairs(alone) and pairs(alone)
+    assert {r.image_id for r in both.collect()} == {1, 2, 9}
