@@ -9,6 +9,7 @@ whatever touches a cell is cut to it. A quad may have one reflex corner. ``detec
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ def _words_of(gt: DataFrame) -> DataFrame:
     return _whole(gt).select(*_GT, F.coalesce(F.col("text") == DONT_CARE, F.lit(False)).alias("dc"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), *QUAD)
 
 
-def _scaled_area() -> Column:
-    return F.rint(F.abs(quad_area()) * C.SCALE).cast("long")
+def _scaled_area(prefix: str = "") -> Column:
+    return F.rint(F.abs(quad_area([prefix + c for c in QUAD])) * C.SCALE).cast("long")
 
 
 def _centre(prefix: str = "") -> tuple[Column, Column]:
@@ -154,25 +155,31 @@ def _changes(table: pa.Table) -> np.ndarray:
     return new
 
 
-def _dealt(sides: DataFrame, cell: int) -> DataFrame:
+def _crowds(quads: DataFrame) -> DataFrame:
+    """Images of more than ``CROWD`` quads, with a flag ``crowded``."""
+    counts = quads.groupBy(*_IMAGE).agg(F.count(F.lit(1)).alias("n"))
+    return materialise(counts.where((F.col("n") > CROWD) & F.col("image_id").isNotNull()).select(*_IMAGE, F.lit(True).alias("crowded")), "crowds")
+
+
+def _dealt(sides: DataFrame, cell: int, crowds: DataFrame | None = None) -> DataFrame:
     """One row per quad of an image of at most ``CROWD`` quads, else one per quad and grid cell, as ``crowded``, cell_x, cell_y."""
-    counts = sides.groupBy(*_IMAGE).agg(F.count(F.lit(1)).alias("n"))
-    crowds = materialise(counts.where(F.col("n") > CROWD).select(*_IMAGE, F.lit(True).alias("crowded")), "crowds")
+    crowds = _crowds(sides) if crowds is None else crowds
     known = sides.join(crowds, _IMAGE, "left").withColumn("crowded", F.col("crowded").isNotNull())
 
     # Corners may lie on the far border of a cell; a cell that holds a border alone gives no area.
     return in_cells(known, cell, where="crowded")
 
 
-def region_measures(words: DataFrame, boxes: DataFrame, cell: int = CELL, shared: bool = True) -> DataFrame:
+def region_measures(words: DataFrame, boxes: DataFrame, cell: int = CELL, shared: bool = True, crowds: DataFrame | None = None) -> DataFrame:
     """Rows (image_id, kind, word_idx, det_idx, area, mx, my), scaled whole numbers, of all regions with some area.
 
-    Without ``shared`` the areas that detections share with care words are not worked out.
+    First moments are those of what detections lose, and 0 of other kinds, where nothing reads them.
+    Without ``shared`` the areas that detections share with care words are not worked out. ``crowds`` are those of ``_crowds``, if known.
     """
     shape = [*_IMAGE, "kind", "idx", *QUAD]
     sides = words.select("image_id", F.when(F.col("dc"), _DONT_CARE).otherwise(_CARE).alias("kind"), F.col("word_idx").cast("long").alias("idx"), *QUAD)
     sides = sides.unionByName(boxes.select("image_id", F.lit(_DETECTED).alias("kind"), F.col("det_idx").cast("long").alias("idx"), *QUAD))
-    dealt = _dealt(sides.select(*shape, *quad_bounds()), cell).select(*shape, "crowded", "cell_x", "cell_y")
+    dealt = _dealt(sides.select(*shape, *quad_bounds()), cell, crowds).select(*shape, "crowded", "cell_x", "cell_y")
     id_type = words.schema["image_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +193,7 @@ def region_measures(words: DataFrame, boxes: DataFrame, cell: int = CELL, shared
             image = table["image_id"].combine_chunks()
             for kind, at, word, det, (area, mx, my) in cell_measures(group, bounds, table["kind"].to_numpy(), table["idx"].to_numpy(), quads, shared):
                 some = area > 0
+                mx, my = (v if kind == _LOST else np.zeros_like(v) for v in (mx, my))
                 yield pa.RecordBatch.from_arrays(
                     [image.take(pa.array(firsts[at[some]])), pa.array(np.full(some.sum(), kind, np.int32)), pa.array(word[some]), pa.array(det[some]), *(pa.array(C.scaled(v[some])) for v in (area, mx, my))],
                     ["image_id", "kind", "word_idx", "det_idx", "area", "mx", "my"],
@@ -217,14 +225,28 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
-def _detections(boxes: DataFrame, measured: DataFrame, r: float, p: float) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], whole: bool, how: str = "inner") -> DataFrame:
+    """A join on an image and a box of it. Of ``whole`` images, which are no crowds, both sides are dealt by image alone.
+
+    So steps by word, by detection and by image follow each other without a shuffle in between.
+    """
+    if not whole:
+        return left.join(right, keys, how)
+    image, idx = keys
+    other = right.withColumnsRenamed({image: "__image", idx: "__idx"})
+    # Not an equality, which would be a key of the shuffle.
+    same = (F.col(idx) <= F.col("__idx")) & (F.col(idx) >= F.col("__idx"))
+    return left.join(other, (F.col(image) == F.col("__image")) & same, how).drop("__image", "__idx")
+
+
+def _detections(boxes: DataFrame, measured: DataFrame, r: float, p: float, whole: bool) -> DataFrame:
     """Detections with ``det_dc``, and the area and centre of what is left of them."""
     regions = measured.where(F.col("kind") == _REGION).select(*_GT, F.col("area").alias("dc_area"))
-    held = measured.where(F.col("kind") == _HELD).select(*_DET, "word_idx", "area").join(regions, _GT)
+    held = _joined(measured.where(F.col("kind") == _HELD).select(*_DET, "word_idx", "area"), regions, _GT, whole)
     seen = held.groupBy(*_DET).agg(F.sum(F.when(F.col("area") / F.col("dc_area") > r, F.col("area")).otherwise(0)).alias("many"), F.max("area").alias("best"))
     lost = measured.where(F.col("kind") == _LOST).select(*_DET, F.col("area").alias("lost"), "mx", "my")
     x, y = _centre()
-    sized = boxes.withColumns({"det_area": _scaled_area(), "whole_cx": x, "whole_cy": y}).join(seen, _DET, "left").join(lost, _DET, "left")
+    sized = _joined(_joined(boxes, seen, _DET, whole, "left"), lost, _DET, whole, "left").withColumns({"det_area": _scaled_area(), "whole_cx": x, "whole_cy": y})
     flag = (_share(F.col("many"), F.col("det_area")) >= p) | (_share(F.col("best"), F.col("det_area")) > p)
     left = F.col("det_area") - F.coalesce("lost", F.lit(0))
 
@@ -240,13 +262,12 @@ def _reading_line(prefix: str) -> dict[str, Column]:
     return {f"{name}_{axis}": turned[f"{axis}{a}"] + turned[f"{axis}{b}"] for name, a, b in (("from", 1, 4), ("to", 2, 3)) for axis in "xy"}
 
 
-def _judged(words: DataFrame, dets: DataFrame, measured: DataFrame, r: float, p: float, centre: float) -> DataFrame:
+def _judged(words: DataFrame, dets: DataFrame, measured: DataFrame, r: float, p: float, centre: float, whole: bool) -> DataFrame:
     """Pairs that may match, before the test of bends: flags one_to_one, om, mo, and both quads as l_ and r_ columns."""
     side = lambda df, prefix: df.withColumnsRenamed({c: prefix + c for c in QUAD})
-    care = side(words.where("NOT dc").withColumn("gt_area", _scaled_area()), "l_").drop("dc")
+    care = side(words.where("NOT dc"), "l_").drop("dc")
     pairs = measured.where(F.col("kind") == _SHARED).select(*_IMAGE, "word_idx", "det_idx", F.col("area").alias("inter"))
-    cx, cy = _centre("l_")
-    pairs = pairs.join(care.withColumns({**_reading_line("l_"), "l_cx": cx, "l_cy": cy}), _GT).join(side(dets, "r_"), _DET)
+    pairs = _joined(_joined(pairs, care, _GT, whole), side(dets, "r_"), _DET, whole).withColumn("gt_area", _scaled_area("l_"))
     pairs = pairs.withColumns({"hit_r": _share(F.col("inter"), F.col("gt_area")) >= r, "hit_p": _share(F.col("inter"), F.col("left_area")) >= p}).where("hit_r OR hit_p")
     of_gt, of_det = Window.partitionBy(*_GT), Window.partitionBy(*_DET)
     many_det, many_gt = F.col("hit_p") & ~F.col("det_dc"), F.col("hit_r") & ~F.col("det_dc")
@@ -258,6 +279,8 @@ def _judged(words: DataFrame, dets: DataFrame, measured: DataFrame, r: float, p:
         }
 
     pairs = pairs.withColumns(stats(of_gt, many_det, "gt")).withColumns(stats(of_det, many_gt, "det"))
+    cx, cy = _centre("l_")
+    pairs = pairs.withColumns({"l_cx": cx, "l_cy": cy})
     gap = dist("l_cx", "l_cy", "left_cx", "left_cy")
     diagonals = mean_diagonal([f"l_{c}" for c in QUAD]) + mean_diagonal([f"r_{c}" for c in QUAD])
     judged = pairs.withColumns(
@@ -268,7 +291,7 @@ def _judged(words: DataFrame, dets: DataFrame, measured: DataFrame, r: float, p:
             "mo": many_gt & (F.col("det_many") >= 2) & (_share(F.col("det_inter"), F.col("left_area")) >= p),
         }
     ).where("one_to_one OR om OR mo")
-    return chars_in_quads(judged)
+    return chars_in_quads(judged.withColumns(_reading_line("l_")))
 
 
 @F.arrow_udf(ArrayType(IntegerType()))
@@ -326,9 +349,14 @@ def detection_matches_quads(
     A quad's pivot, from which bends are measured, is the middle between its first and its last corner.
     """
     words, boxes = _words_of(gt), _whole(det).select(*_DET, *QUAD)
-    measured = materialise(region_measures(words, boxes, cell), "measured")
-    dets = _detections(boxes, measured, r, p)
-    judged = materialise(_judged(words, dets, measured, r, p, centre), "judged")
+    crowds = _crowds(words.select(*_IMAGE).unionByName(boxes.select(*_IMAGE)))
+    measured = materialise(region_measures(words, boxes, cell, crowds=crowds), "measured")
+    parts = [(words, boxes, measured, True)]
+    if not crowds.isEmpty():
+        parts = [(*(df.join(crowds.select(*_IMAGE), _IMAGE, how) for df in (words, boxes, measured)), how == "left_anti") for how in ("left_anti", "left_semi")]
+    found = [_detections(b, m, r, p, whole) for _, b, m, whole in parts]
+    dets = reduce(DataFrame.unionByName, found)
+    judged = materialise(reduce(DataFrame.unionByName, [_judged(w, d, m, r, p, centre, whole) for (w, _, m, whole), d in zip(parts, found)]), "judged")
 
     def members(flag: str, keys: list[str], member: str, count: str, prefix: str) -> DataFrame:
         cx, cy = _centre(prefix)

@@ -341,3 +341,41 @@ def test_quads_of_usual_pages_meet_by_image(spark):
     pairs = lambda df: sorted(map(tuple, df.where("image_id = 9 AND word_idx < 200").collect()))
     assert pairs(both) == pairs(alone) and pairs(alone)
     assert {r.image_id for r in both.collect()} == {1, 2, 9}
+
+
+def test_whole_images_are_dealt_once(spark, monkeypatch):
+    """Images that are no crowds, crowds, and both in one table give the same matches; whole ones are shuffled by image alone."""
+    rng = random.Random(23)
+    spot = lambda: [float(v) for v in slanted(rng, rng.randint(0, 160), rng.randint(0, 160), rng.randint(20, 120), rng.randint(10, 60))]
+    words = [(i, k, "###" if k % 4 == 0 else "abcd", *spot()) for i, n in ((1, 16), (2, 5), (3, 6), (None, 2)) for k in range(n)]
+    dets = [(i, k, *([v + 2 for v in w[3:]] if k % 3 else spot())) for k, w in enumerate(words) for i in [w[0]]] + [(4, 0, *spot())]
+    gt, det = spark.createDataFrame(words, GT), spark.createDataFrame(dets, DET)
+
+    def found():
+        matches, boxes = Q.detection_matches_quads(gt, det, cell=64)
+        key = lambda r: str(tuple(r))
+        sides = [f"{s}{a}{k}" for s in ("l_", "r_") for k in range(1, 5) for a in "xy"]
+        assert matches.columns == ["image_id", "word_idx", "det_idx", "n_chars", "one_to_one", "one_to_many", "many_to_one", "inside", *sides]
+        return sorted(map(tuple, matches.collect())), sorted(map(tuple, boxes.select("image_id", "det_idx", "det_dc").collect()), key=key)
+
+    whole = found()
+    assert len(whole[0]) > 5 and {m[0] for m in whole[0]} == {1, 2, 3} and len(whole[1]) == len(dets)
+    for crowd in (0, 20):
+        monkeypatch.setattr(Q, "CROWD", crowd)
+        assert found() == whole
+    monkeypatch.setattr(Q, "CROWD", 256)
+    plans, write = {}, Q.materialise
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        return write(df, name)
+
+    monkeypatch.setattr(Q, "materialise", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        Q.detection_matches_quads(gt, det)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges = [line for line in plans["judged"].splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not [line for line in exchanges if "_idx" in line]
